@@ -35,5 +35,7 @@ def rnd(expression: str, digits: int) -> str:
 def load_all() -> None:
     """Import every catalog module, which registers its queries."""
     from tidemark.plans import (  # noqa: F401
+        catalog_business,
         catalog_charts,
+        catalog_growth,
     )

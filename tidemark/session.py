@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
@@ -42,3 +42,14 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
         folder = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows known when the plan is built, as plan literals rather than a job over a list."""
+    names = [part.split()[0] for part in schema.split(",")]
+    kinds = [part.split()[1] for part in schema.split(",")]
+    records = [
+        F.struct(*[F.lit(v).cast(k).alias(n) for v, k, n in zip(row, kinds, names)])
+        for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*records)))
