@@ -56,6 +56,10 @@ def differences(spark, db, name: str, folder: str) -> list[str]:
     cursor = db.execute(sql)
     right = canonical([d[0] for d in cursor.description], cursor.fetchall())
     found = []
+    kinds = {d[0]: str(d[1]) for d in cursor.description}
+    wide = {c: k for c, k in kinds.items() if k.startswith(("DECIMAL", "HUGEINT"))}
+    if wide:
+        found.append(f"types only the SQL has: {wide}")
     if left[0] != right[0]:
         found.append(f"columns {left[0]} against {right[0]}")
     if len(left[1]) != len(right[1]):
@@ -78,7 +82,7 @@ def main() -> int:
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
     })
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     db = connect(folder)
     chosen = [n for n in entry.queries() if not args.names or any(n.startswith(p) for p in args.names)]
     bad = 0

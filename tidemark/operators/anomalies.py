@@ -26,12 +26,14 @@ def rolling_anomalies(
     line = Window.partitionBy(*keys).orderBy("period")
     before = line.rowsBetween(-4, -1)
     around = line.rowsBetween(-2, 2)
+    # A decimal sum is exact, so a mean halfway between two cents rounds the same everywhere.
+    total = F.sum(F.col("value").cast("decimal(30,6)")).over(before).cast("double")
     seen = series.select(
         *keys,
         "period",
         "value",
         F.row_number().over(line).alias("_at"),
-        F.avg("value").over(before).alias("mean"),
+        (total / F.count("value").over(before)).alias("mean"),
         F.stddev_pop("value").over(before).alias("std"),
         F.collect_list("value").over(around).alias("neighbours"),
     ).where("_at > 3")

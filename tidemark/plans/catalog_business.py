@@ -217,7 +217,7 @@ def kpi_rates(t):
 
 # Insights ---------------------------------------------------------------------------------------
 
-PART_NUMBERS = ["p_partkey", "p_size", "p_retailprice"]
+TEXT_NUMBERS = ["n_chars", "blanks", "doc_id"]
 DIMENSIONS = ["n_name", "r_name", "c_mktsegment", "o_orderpriority"]
 
 
@@ -302,10 +302,14 @@ def insight_growth(t):
 @query(
     "insight_strong_corr",
     f"""SELECT *, CASE WHEN pearson > 0 THEN 'positive' ELSE 'negative' END AS direction
-    FROM ({correlations_sql('part', PART_NUMBERS)}) WHERE abs(pearson) >= 0.7""",
+    FROM ({correlations_sql(
+        "(SELECT *, length(text) - length(replace(text, ' ', '')) AS blanks FROM documents)",
+        TEXT_NUMBERS)}) WHERE abs(pearson) >= 0.7""",
 )
 def insight_strong_corr(t):
-    return insights.insight_strong_corr(t.part, PART_NUMBERS)
+    blanks = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))
+    measured = t.documents.select("doc_id", "n_chars", blanks.alias("blanks"))
+    return insights.insight_strong_corr(measured, TEXT_NUMBERS)
 
 
 # Templates --------------------------------------------------------------------------------------

@@ -230,7 +230,7 @@ DAILY = series_sql("events", "ts", "sum(value)", "event_type")
 
 def rolling_sql(ser: str, key: str, k: float) -> str:
     return f"""w AS (SELECT {key}, period, value, row_number() OVER p AS pos,
-      avg(value) OVER h AS mean, stddev_pop(value) OVER h AS std,
+      CAST(sum(CAST(value AS DECIMAL(30,6))) OVER h AS DOUBLE) / count(value) OVER h AS mean, stddev_pop(value) OVER h AS std,
       array_to_string(list(CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR)) OVER a, '|') AS neighbours
       FROM ({ser}) WINDOW p AS (PARTITION BY {key} ORDER BY period),
       h AS (PARTITION BY {key} ORDER BY period ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING),

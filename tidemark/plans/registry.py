@@ -38,4 +38,5 @@ def load_all() -> None:
         catalog_business,
         catalog_charts,
         catalog_growth,
+        catalog_quality,
     )
