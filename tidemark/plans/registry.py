@@ -37,6 +37,7 @@ def load_all() -> None:
     from tidemark.plans import (  # noqa: F401
         catalog_business,
         catalog_charts,
+        catalog_data,
         catalog_growth,
         catalog_quality,
     )

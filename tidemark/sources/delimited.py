@@ -135,7 +135,8 @@ def csv_source(
 
 
 def _decoded_name(name: str, encoding: str) -> str:
-    name = name.lstrip("﻿").removeprefix("ï»¿").strip()
+    """A header name without a byte-order mark, however the reader saw it."""
+    name = name.removeprefix("\ufeff").removeprefix("\u00ef\u00bb\u00bf").strip()
     return name.translate(str.maketrans(_LATIN, _WINDOWS)) if encoding == "cp1252" else name
 
 

@@ -32,7 +32,7 @@ def stream_kpis(
     return grouped.agg(
         F.count(F.lit(1)).alias("events"),
         F.round(F.sum("v"), 2).alias("total"),
-        F.round(F.avg("v"), 4).alias("mean"),
+        F.round(F.round(F.sum("v"), 6) / F.count("v"), 4).alias("mean"),
     ).select(
         F.col("w.start").alias("window_start"),
         F.col("w.end").alias("window_end"),
