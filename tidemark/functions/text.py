@@ -33,6 +33,11 @@ def blank_to_null(text: Column) -> Column:
     return F.when(~stripped.isin(NULL_TOKENS), stripped)
 
 
+def quoted(text: str) -> str:
+    """A SQL string literal of plain text."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def to_number(text: Column) -> Column:
     """A number with currency, percent and grouping signs dropped; ``(x)`` means ``-x``."""
     bare = F.translate(text, NUMBER_SYMBOLS.strip("[]"), "")

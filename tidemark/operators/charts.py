@@ -578,36 +578,30 @@ def metric_by_dimension(df: DataFrame, dimension: str, metric: str, limit: int =
 def correlations(df: DataFrame, columns: list[str], most: int = 6) -> DataFrame:
     """Pearson r of each pair of the first ``most`` columns: (x, y, pearson, sample_size).
 
-    All pairs are one aggregation over one scan. A pair needs three rows with both numbers and two
-    distinct values on each side among them.
+    Each row is stacked into its pairs, so one small aggregation serves all of them in one scan.
+    A pair needs three rows with both numbers and two distinct values on each side among them.
     """
     used = columns[:most]
     flat = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(used)])
-    aggregates: list[Column] = []
-    records: list[Column] = []
-    for i, j in combinations(range(len(used)), 2):
-        a, b = F.col(f"c{i}"), F.col(f"c{j}")
-        both = a.isNotNull() & b.isNotNull()
-        tag = f"{i}_{j}"
-        varied = (F.min(F.when(both, a)) < F.max(F.when(both, a))) & (
-            F.min(F.when(both, b)) < F.max(F.when(both, b))
+    pairs = list(combinations(range(len(used)), 2))
+    cells = ", ".join(f"{i}, {j}, c{i}, c{j}" for i, j in pairs)
+    stacked = flat.select(F.expr(f"stack({len(pairs)}, {cells}) AS (i, j, a, b)"))
+    a, b = F.col("a"), F.col("b")
+    facts = (
+        stacked.where(a.isNotNull() & b.isNotNull())
+        .groupBy("i", "j")
+        .agg(
+            F.covar_pop(a, b).alias("_cov"),
+            (F.stddev_pop(a) * F.stddev_pop(b)).alias("_spread"),
+            F.count(F.lit(1)).alias("sample_size"),
+            ((F.min(a) < F.max(a)) & (F.min(b) < F.max(b))).alias("_varied"),
         )
-        size = F.count(F.when(both, 1))
-        # The mask keeps constant pairs out of the division inside corr.
-        aggregates += [
-            F.corr(F.when(both, a), F.when(both, b)).alias(f"r{tag}"),
-            size.alias(f"n{tag}"),
-            varied.alias(f"v{tag}"),
-        ]
-        records.append(
-            F.struct(
-                F.lit(used[i]).alias("x"),
-                F.lit(used[j]).alias("y"),
-                F.col(f"r{tag}").alias("pearson"),
-                F.col(f"n{tag}").alias("sample_size"),
-                F.col(f"v{tag}").alias("varied"),
-            )
-        )
-    pairs = flat.agg(*aggregates).select(F.inline(F.array(*records)))
-    usable = pairs.where("varied and sample_size >= 3 and not isnan(pearson)")
-    return usable.select("x", "y", F.round("pearson", 4).alias("pearson"), "sample_size")
+        .where("_varied and sample_size >= 3")
+    )
+    names = F.array(*[F.lit(c) for c in used])
+    return facts.select(
+        names[F.col("i")].alias("x"),
+        names[F.col("j")].alias("y"),
+        F.round(F.try_divide(F.col("_cov"), F.col("_spread")), 4).alias("pearson"),
+        "sample_size",
+    )

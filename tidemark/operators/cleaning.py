@@ -7,12 +7,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.functions.fixed_values import NUMBER_KINDS
+from tidemark.functions.fixed_values import NULL_TOKENS, NUMBER_KINDS
 from tidemark.functions.numbers import number, text_columns
 from tidemark.functions.text import (
+    WHITESPACE,
     blank_to_null,
     has_phone_length,
     is_email,
+    quoted,
     strip,
     to_boolean,
     to_number,
@@ -44,30 +46,62 @@ def normalize_names(df: DataFrame) -> DataFrame:
 def trim_nulls(df: DataFrame) -> DataFrame:
     """Text columns stripped, tokens for missing values turned into null."""
     text = set(text_columns(df))
-    return df.select(
-        *[blank_to_null(F.col(f"`{c}`")).alias(c) if c in text else F.col(f"`{c}`") for c in df.columns]
+    space, tokens = quoted(WHITESPACE), ", ".join(map(quoted, NULL_TOKENS))
+    stripped = df.selectExpr(
+        *[f"btrim(`{c}`, {space}) AS `{c}`" if c in text else f"`{c}`" for c in df.columns]
+    )
+    return stripped.selectExpr(
+        *[
+            f"CASE WHEN `{c}` NOT IN ({tokens}) THEN `{c}` END AS `{c}`" if c in text else f"`{c}`"
+            for c in df.columns
+        ]
     )
 
 
-def _per_column(counts: DataFrame, columns: list[str], *measures: str) -> DataFrame:
-    """One wide row of ``{measure}_{i}`` columns as one row per column."""
-    records = [
-        F.struct(
-            F.lit(c).alias("column"), *[F.col(f"{m}_{i}").alias(m) for m in measures]
-        )
-        for i, c in enumerate(columns)
-    ]
-    return counts.select(F.inline(F.array(*records)))
+def cell_facts(raw: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """One row per cell: (column, kind, padded, missing_before, missing_after, invalid).
+
+    Stacking the columns keeps each rule in the plan once, whatever the number of columns. Columns
+    that already have a type bring only whether they are null.
+    """
+    text = set(text_columns(raw))
+    cells = ", ".join(
+        f"{quoted(c)}, {quoted(kind)}, `{c}` IS NULL, "
+        + (f"`{c}`" if c in text else "CAST(NULL AS STRING)")
+        + f", {str(c in text).lower()}"
+        for c, kind in kinds.items()
+    )
+    stacked = raw.select(
+        F.expr(f"stack({len(kinds)}, {cells}) AS (column, kind, empty, raw, is_text)")
+    )
+    trimmed = stacked.withColumn("value", blank_to_null(F.col("raw")))
+    value, kind = F.col("value"), F.col("kind")
+    reads = (
+        F.when(kind.isin(NUMBER_KINDS), to_number(value).isNotNull())
+        .when(kind == "datetime", to_timestamp_mixed(value).isNotNull())
+        .when(kind == "boolean", to_boolean(value).isNotNull())
+        .when(kind == "email", is_email(value))
+        .when(kind == "phone", has_phone_length(value))
+        .otherwise(True)
+    )
+    judged = trimmed.withColumn("broken", F.col("is_text") & value.isNotNull() & ~reads)
+    lost = F.col("broken") & kind.isin(*TYPED_KINDS, "boolean")
+    return judged.select(
+        "column",
+        "kind",
+        (F.col("raw") != strip(F.col("raw"))).alias("padded"),
+        F.col("empty").alias("missing_before"),
+        F.when(F.col("is_text"), value.isNull() | lost).otherwise(F.col("empty")).alias(
+            "missing_after"
+        ),
+        F.col("broken").alias("invalid"),
+    )
 
 
 def trim_counts(df: DataFrame) -> DataFrame:
     """(column, trimmed): text values with white space at an end."""
-    columns = text_columns(df)
-    padded = [
-        F.count(F.when(F.col(f"`{c}`") != strip(F.col(f"`{c}`")), 1)).alias(f"trimmed_{i}")
-        for i, c in enumerate(columns)
-    ]
-    return _per_column(df.agg(*padded), columns, "trimmed")
+    cells = cell_facts(df, dict.fromkeys(text_columns(df), "text"))
+    return cells.groupBy("column").agg(F.count_if("padded").alias("trimmed"))
 
 
 def coerced(df: DataFrame, column: str, kind: str) -> Column:
@@ -92,30 +126,12 @@ def coerce(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     return df.select(*[coerced(df, c, kinds.get(c, "text")).alias(c) for c in df.columns])
 
 
-def _invalid(df: DataFrame, column: str, kind: str) -> Column:
-    """Whether a present value breaks the rule of its meaning. E-mails and phones stay as is."""
-    value = F.col(f"`{column}`")
-    if kind == "email":
-        broken = ~is_email(value)
-    elif kind == "phone":
-        broken = ~has_phone_length(value)
-    elif kind in TYPED_KINDS or kind == "boolean":
-        broken = coerced(df, column, kind).isNull()
-    else:
-        broken = F.lit(False)
-    return value.isNotNull() & broken
-
-
 def invalid_counts(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    """(column, kind, invalid) over trimmed text: one aggregation for all columns."""
-    columns = list(kinds)
-    checks = [
-        F.count(F.when(_invalid(df, c, kinds[c]), 1)).alias(f"invalid_{i}")
-        for i, c in enumerate(columns)
-    ]
-    kind_of = F.create_map(*[F.lit(v) for pair in kinds.items() for v in pair])
-    rows = _per_column(df.agg(*checks), columns, "invalid")
-    return rows.select("column", kind_of[F.col("column")].alias("kind"), "invalid")
+    """(column, kind, invalid): present values that break the rule of their meaning.
+
+    E-mails and phones are judged by shape; their values stay as they are.
+    """
+    return cell_facts(df, kinds).groupBy("column", "kind").agg(F.count_if("invalid").alias("invalid"))
 
 
 def case_variants(counts: DataFrame, most: int = 10) -> DataFrame:
@@ -195,41 +211,11 @@ def cleaning_diff(raw: DataFrame, kinds: dict[str, str]) -> DataFrame:
     (column, kind, rows, trimmed, missing_before, missing_after, invalid, imputable, strategy).
     Nothing is filled. All counts come from one pass over the raw table.
     """
-    columns = list(kinds)
-    text = set(text_columns(raw))
-    trimmed = trim_nulls(raw)
-    staged = raw.select(
-        *[F.col(f"`{c}`").alias(f"raw_{i}") for i, c in enumerate(columns)],
-        *[
-            (blank_to_null(F.col(f"`{c}`")) if c in text else F.col(f"`{c}`")).alias(c)
-            for c in columns
-        ],
+    rows = cell_facts(raw, kinds).groupBy("column", "kind").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if("padded").alias("trimmed"),
+        *[F.count_if(c).alias(c) for c in ("missing_before", "missing_after", "invalid")],
     )
-    aggregates = [F.count(F.lit(1)).alias("rows")]
-    for i, c in enumerate(columns):
-        before = F.col(f"raw_{i}")
-        after = coerced(trimmed, c, kinds[c])
-        padded = before != strip(before) if c in text else F.lit(False)
-        aggregates += [
-            F.count(F.when(padded, 1)).alias(f"trimmed_{i}"),
-            F.count(F.when(before.isNull(), 1)).alias(f"missing_before_{i}"),
-            F.count(F.when(after.isNull(), 1)).alias(f"missing_after_{i}"),
-            F.count(F.when(_invalid(trimmed, c, kinds[c]), 1)).alias(f"invalid_{i}"),
-        ]
-    facts = staged.agg(*aggregates)
-    records = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.lit(kinds[c]).alias("kind"),
-            F.col("rows"),
-            *[
-                F.col(f"{m}_{i}").alias(m)
-                for m in ("trimmed", "missing_before", "missing_after", "invalid")
-            ],
-        )
-        for i, c in enumerate(columns)
-    ]
-    rows = facts.select(F.inline(F.array(*records)))
     fillable = (F.col("missing_after") > 0) & (F.col("missing_after") < F.col("rows"))
     strategy = F.when(fillable & F.col("kind").isin(NUMBER_KINDS), "median").when(
         fillable & F.col("kind").isin(MODE_KINDS), "mode"

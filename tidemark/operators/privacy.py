@@ -10,6 +10,19 @@ from tidemark.operators.cleaning import normal_name
 from tidemark.session import literal_rows
 
 
+# What must occur for a pattern to occur: optional and repeated ends do not matter for presence, and
+# without them the search does not go over a long word again and again.
+_PROBES = {
+    "email": r"[a-zA-Z0-9_.+-]@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]",
+    "phone": r"\d{3}[-.\s]?\d{4}",
+}
+
+
+def _holds(text: Column, name: str, pattern: str) -> Column:
+    found = text.rlike(_PROBES.get(name, pattern))
+    return text.contains("@") & found if name == "email" else found
+
+
 def header_finding(column: str) -> tuple[str, str, str] | None:
     """(category, severity, action) when the name holds a token as whole words."""
     name = f"_{normal_name(column)}_"
@@ -53,7 +66,7 @@ def pii_content(df: DataFrame, columns: list[str]) -> DataFrame:
     for i, c in enumerate(columns):
         text = F.col(f"`{c}`").cast("string")
         for name, pattern, *_ in PII_PATTERNS:
-            counters.append(F.count(F.when(text.rlike(pattern), 1)).alias(f"{name}_{i}"))
+            counters.append(F.count_if(_holds(text, name, pattern)).alias(f"{name}_{i}"))
             records.append(
                 F.struct(
                     F.lit(c).alias("column"),

@@ -19,7 +19,9 @@ from tidemark.functions.text import (
     has_phone_length,
     is_email,
     is_phone,
+    mask,
     mask_by,
+    quoted,
     strip,
     to_number,
     to_timestamp_mixed,
@@ -58,22 +60,18 @@ def value_histogram(df: DataFrame, columns: list[str] | None = None) -> DataFram
     than 128 characters are keyed by their SHA-256, so long texts are not shuffled; what the
     classification needs of them is worked out before.
     """
-    cells = []
-    for c in columns or df.columns:
-        text = F.col(f"`{c}`").cast("string")
-        short = F.length(text) <= _SHORT
-        cells.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                F.when(short | text.isNull(), text)
-                .otherwise(F.concat(F.lit("sha256:"), F.sha2(text, 256)))
-                .alias("value"),
-                F.when(~short, is_email(strip(text))).alias("long_email"),
-                F.when(~short, to_number(strip(text)).isNotNull()).alias("long_number"),
-            )
-        )
-    stacked = df.select(F.inline(F.array(*cells)))
-    return stacked.groupBy("column", "value", "long_email", "long_number").agg(
+    used = columns or df.columns
+    cells = ", ".join(f"{quoted(c)}, CAST(`{c}` AS STRING)" for c in used)
+    stacked = df.select(F.expr(f"stack({len(used)}, {cells}) AS (column, text)"))
+    text = F.col("text")
+    long = F.length(text) > _SHORT
+    keyed = stacked.select(
+        "column",
+        F.when(long, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text).alias("value"),
+        F.when(long, is_email(strip(text))).alias("long_email"),
+        F.when(long, to_number(strip(text)).isNotNull()).alias("long_number"),
+    )
+    return keyed.groupBy("column", "value", "long_email", "long_number").agg(
         F.count(F.lit(1)).alias("hits")
     )
 
@@ -90,28 +88,31 @@ def classify_columns(df: DataFrame, counts: DataFrame | None = None) -> DataFram
     other names, phones, booleans, numbers, categories, text.
     """
     counts = value_histogram(df) if counts is None else counts
-    text = strip(F.col("value"))
-    hits = F.col("hits")
-    present = F.col("value").isNotNull()
-
-    def share(test: Column) -> Column:
-        return F.coalesce(F.sum(F.when(present & test, hits)), F.lit(0)) / F.sum(
-            F.when(present, hits)
-        )
-
-    shares = {
+    text = F.col("text")
+    short = F.col("long_email").isNull()
+    tests = {
         "email": F.coalesce("long_email", is_email(text)),
-        "date": F.col("long_email").isNull() & to_timestamp_mixed(text).isNotNull(),
-        "phone": F.col("long_email").isNull() & is_phone(text),
-        "phone_length": F.col("long_email").isNull() & has_phone_length(text),
+        "date": short & to_timestamp_mixed(text).isNotNull(),
+        "phone": short & is_phone(text),
+        "phone_length": short & has_phone_length(text),
         "boolean": F.lower(text).isin(BOOLEAN_WORDS),
         "number": F.coalesce("long_number", to_number(text).isNotNull()),
     }
-    facts = counts.groupBy("column").agg(
-        F.sum(hits).alias("rows"),
-        F.coalesce(F.sum(F.when(present, hits)), F.lit(0)).alias("filled"),
-        F.count(F.when(present, 1)).alias("unique_count"),
-        *[share(F.coalesce(test, F.lit(False))).alias(f"p_{name}") for name, test in shares.items()],
+    judged = counts.withColumn("text", strip(F.col("value"))).select(
+        "column",
+        "hits",
+        F.when(F.col("value").isNotNull(), F.col("hits")).alias("present"),
+        *[F.when(test, F.col("hits")).otherwise(0).alias(name) for name, test in tests.items()],
+    )
+    facts = judged.groupBy("column").agg(
+        F.sum("hits").alias("rows"),
+        F.coalesce(F.sum("present"), F.lit(0)).alias("filled"),
+        F.count("present").alias("unique_count"),
+        *[F.sum(name).alias(name) for name in tests],
+    )
+    facts = facts.select(
+        "column", "rows", "filled", "unique_count",
+        *[F.try_divide(F.col(name), F.col("filled")).alias(f"p_{name}") for name in tests],
     )
     named = {c: name_semantics(c) for c in df.columns}
     kind_by_name = _lookup({c: kind or "" for c, (kind, _) in named.items()})
@@ -301,8 +302,6 @@ def numeric_stats(df: DataFrame, columns: list[str], approx: bool = False) -> Da
 
 def mask_values(df: DataFrame, kinds: dict[str, str], width: int = 80) -> DataFrame:
     """The table with e-mails and phones masked; nothing else changes."""
-    from tidemark.functions.text import mask
-
     return df.select(
         *[
             mask(F.col(f"`{c}`").cast("string"), kinds[c], width).alias(c)

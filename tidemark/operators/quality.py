@@ -4,18 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.fixed_values import NUMBER_KINDS
 from tidemark.functions.numbers import numeric_columns, number, text_columns
 from tidemark.functions.text import to_number
 from tidemark.operators.anomalies import long_numbers
-from tidemark.operators.cleaning import (
-    coerce,
-    duplicate_groups,
-    invalid_counts,
-    trim_nulls,
-)
+from tidemark.operators.cleaning import cleaning_diff, coerce, duplicate_groups, trim_nulls
 from tidemark.operators.quantiles import grouped_quantiles
 from tidemark.operators.ranks import number_rows
 
@@ -51,24 +46,24 @@ def quality_report(raw: DataFrame, kinds: dict[str, str]) -> DataFrame:
     Missing cells and duplicates are of the cleaned table; invalid values are those that cleaning
     could not read.
     """
-    trimmed = trim_nulls(raw)
-    clean = coerce(trimmed, kinds)
-    missing = null_counts(clean)
-    typed = [c for c in kinds if kinds[c] in ("datetime", "date", *NUMBER_KINDS)]
-    facts = missing.agg(
-        F.max("rows").alias("rows"),
-        F.count(F.lit(1)).alias("columns"),
-        F.sum("missing_count").alias("missing_values"),
-        F.coalesce(
-            F.sum(F.when(F.col("column").isin(typed), F.col("rows") - F.col("missing_count"))),
-            F.lit(0),
-        ).alias("_typed"),
-    )
-    invalid = invalid_counts(trimmed, kinds).agg(F.sum("invalid").alias("invalid_values"))
+    typed = F.col("kind").isin("datetime", "date", *NUMBER_KINDS)
+    filled = F.col("rows") - F.col("missing_after")
+
+    def total(column: str) -> Column:
+        return F.coalesce(F.sum(column), F.lit(0))
+
+    facts = cleaning_diff(raw, kinds).agg(
+        F.coalesce(F.max("rows"), F.lit(0)).alias("rows"),
+        total("missing_after").alias("missing_values"),
+        total("invalid").alias("invalid_values"),
+        F.coalesce(F.sum(F.when(typed, filled)), F.lit(0)).alias("_typed"),
+    )
+    facts = facts.withColumn("columns", F.lit(len(kinds)))
+    clean = coerce(trim_nulls(raw), kinds)
     extra = duplicate_groups(clean).agg(
         F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_rows")
     )
-    one = facts.crossJoin(F.broadcast(invalid)).crossJoin(F.broadcast(extra))
+    one = facts.crossJoin(F.broadcast(extra))
     rows = F.greatest(F.col("rows"), F.lit(1))
     cells = F.greatest(F.col("rows") * F.col("columns"), F.lit(1))
     none = F.lit(0)
