@@ -33,7 +33,7 @@ def rolling_anomalies(
         "period",
         "value",
         F.row_number().over(line).alias("_at"),
-        (total / F.count("value").over(before)).alias("mean"),
+        F.try_divide(total, F.count("value").over(before)).alias("mean"),
         F.stddev_pop("value").over(before).alias("std"),
         F.collect_list("value").over(around).alias("neighbours"),
     ).where("_at > 3")

@@ -291,10 +291,10 @@ def clv_summary(customers: DataFrame) -> DataFrame:
     at_risk = F.coalesce(F.sum(F.when(high, F.col("historic_spend"))), F.lit(0.0))
     return placed.agg(
         people.alias("total_customers"),
-        F.round(spend / people, 2).alias("average_historic_clv"),
+        F.round(F.try_divide(spend, people), 2).alias("average_historic_clv"),
         F.round(F.avg("predicted_annual_clv"), 2).alias("average_predicted_annual_clv"),
         F.round(top / F.greatest(spend, F.lit(1e-4)) * 100, 1).alias("whale_share_pct"),
-        F.round(F.count(F.when(high, 1)) / people * 100, 1).alias("churn_rate_pct"),
+        F.round(F.try_divide(F.count_if(high), people) * 100, 1).alias("churn_rate_pct"),
         F.round(at_risk, 2).alias("at_risk_revenue"),
     ).where("total_customers > 0")
 

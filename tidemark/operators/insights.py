@@ -136,7 +136,7 @@ def insight_missing(missing: DataFrame, least: float = 2.0) -> DataFrame:
     Takes a frame of (column, missing_count, rows).
     """
     cells = F.sum("missing_count")
-    share = F.round(cells / F.sum("rows") * 100, 2)
+    share = F.round(F.try_divide(cells, F.sum("rows")) * 100, 2)
     return missing.agg(
         share.alias("missing_pct"),
         F.count(F.when(F.col("missing_count") > 0, 1)).alias("columns"),

@@ -28,7 +28,8 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 def missing_by_column(df: DataFrame) -> DataFrame:
     """(column, missing_count, missing_pct, status), most incomplete first."""
-    share = F.round(F.col("missing_count") / F.col("rows") * 100, 2)
+    part = F.coalesce(F.try_divide(F.col("missing_count"), F.col("rows")), F.lit(0.0))
+    share = F.round(part * 100, 2)
     status = F.when(F.col("missing_pct") >= 30, "critical").when(
         F.col("missing_pct") >= 10, "warning"
     )
@@ -176,9 +177,8 @@ def quality_scorecard(
 
     Takes the null counts, the duplicate row, the schema-health row and the drift rows.
     """
-    nulls = missing.agg(
-        F.round(F.sum("missing_count") / F.sum("rows") * 100, 2).alias("null_pct")
-    )
+    part = F.coalesce(F.try_divide(F.sum("missing_count"), F.sum("rows")), F.lit(0.0))
+    nulls = missing.agg(F.round(part * 100, 2).alias("null_pct"))
     high = drifted.agg(F.count(F.when(F.col("status") == "High Drift", 1)).alias("high_drift"))
     one = (
         nulls.crossJoin(F.broadcast(duplicates.select("duplicate_pct", "duplicate_rows")))

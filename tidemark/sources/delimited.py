@@ -97,7 +97,8 @@ def csv_source(
 ) -> DataFrame:
     """Every column as text. Short lines are padded with null, longer ones than the header skipped.
 
-    A sentinel column behind the header's columns tells the two apart. Windows-1252 is read as
+    A line of the wrong length arrives with its text, whose separators outside quotes tell the two
+    apart. Windows-1252 is read as
     Latin-1 and its own characters are then mapped, which needs no session setting. Undecodable
     bytes become the replacement character.
     """
@@ -119,6 +120,7 @@ def csv_source(
             .option("quote", '"')
             .option("escape", '"')
             .option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "_line")
             .option("multiLine", multiline or wide)
             .option("nullValue", _NEVER)
             .option("emptyValue", "")
@@ -126,9 +128,12 @@ def csv_source(
 
     found = reader().option("inferSchema", False).csv(path).columns
     names = [_decoded_name(name, plain) for name in found]
-    schema = ", ".join(f"c{i} string" for i in range(len(names))) + ", _extra string"
+    schema = ", ".join(f"c{i} string" for i in range(len(names))) + ", _line string"
     rows = reader().option("enforceSchema", True).schema(schema).csv(path)
-    kept = rows.where(F.col("_extra").isNull())
+    line, last = F.col("_line"), F.col(f"c{len(names) - 1}")
+    bare = F.regexp_replace(line, '"[^"]*"', "")
+    separators = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit("")))
+    kept = rows.where(line.isNull() | (last.isNull() & (separators < len(names))))
     return kept.select(
         *[_present(_decoded(F.col(f"c{i}"), plain)).alias(name) for i, name in enumerate(names)]
     )
