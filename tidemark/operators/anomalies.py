@@ -97,6 +97,7 @@ def iqr_anomalies(
             "_least": F.min("_v"),
             "_most": F.max("_v"),
         },
+        few_groups=True,
     ).where("n >= 8 and q75 > q25")
     iqr = F.col("q75") - F.col("q25")
     fenced = boxes.select(

@@ -58,8 +58,9 @@ def agg_measure(
     grouped = df.groupBy(*keys).agg(measure(df, metric, agg).alias("value"), rows)
     if metric is None or agg != "pct":
         return grouped
-    total = grouped.agg(F.sum("value").alias("_total"))
-    share = F.coalesce(F.try_divide(F.col("value"), F.col("_total")) * 100, F.lit(0.0))
+    total = grouped.agg(F.sum("value").alias("_total"), F.sum("count").alias("_rows"))
+    part = F.try_divide(F.col("value"), F.col("_total")) * 100
+    share = F.coalesce(F.when(F.col("_rows") > 0, part), F.lit(0.0))
     return grouped.crossJoin(F.broadcast(total)).select(*keys, share.alias("value"), "count")
 
 
@@ -87,12 +88,14 @@ def group_measure(
     """
     grouped = agg_measure(with_label(df, by, grain), ["label"], metric, agg)
     rounded = grouped.withColumn("value", F.round("value", 2))
-    total = rounded.agg(F.sum("value").alias("_total"))
+    # Asking for the rows as well keeps both branches on one aggregation, whose shuffle is reused.
+    total = rounded.agg(F.sum("value").alias("_total"), F.sum("count").alias("_rows"))
+    share = percent(F.col("value"), F.col("_total"), 1)
     shared = rounded.crossJoin(F.broadcast(total)).select(
         "label",
         "value",
         "count",
-        percent(F.col("value"), F.col("_total"), 1).alias("percentage"),
+        F.when(F.col("_rows") > 0, share).otherwise(F.lit(0.0)).alias("percentage"),
     )
     result = in_order(shared, "value", "label", sort_by, descending)
     return result.limit(top_n) if top_n else result
@@ -152,14 +155,15 @@ def dense_grid(
     """(x, y, value): every pair of the most frequent x and y values, 0 where no row has it.
 
     One grouping by (x, y) feeds the two rankings and the cells. The grid is built from ``top_x``
-    times ``top_y`` rows, so its size is fixed by the arguments.
+    times ``top_y`` rows, so its size is fixed by the arguments. The rankings also sort by the
+    value, behind the unique label: it decides nothing, but lets all three reuse one shuffle.
     """
     labelled = with_label(with_label(df, x, grain, "_x"), y, grain, "_y")
     cells = agg_measure(labelled, ["_x", "_y"], metric, agg)
 
     def best(key: str, k: int) -> DataFrame:
-        counts = cells.groupBy(key).agg(F.sum("count").alias("_rows"))
-        return counts.orderBy(F.desc("_rows"), F.asc(key)).limit(k).select(key)
+        counts = cells.groupBy(key).agg(F.sum("count").alias("_rows"), F.max("value").alias("_v"))
+        return counts.orderBy(F.desc("_rows"), F.asc(key), F.asc("_v")).limit(k).select(key)
 
     pairs = best("_x", top_x).crossJoin(F.broadcast(best("_y", top_y)))
     wanted = pairs.select(F.col("_x").alias("x"), F.col("_y").alias("y"))
@@ -342,6 +346,7 @@ def box_stats(
         number(labelled, value),
         {"q1": 0.25, "median": 0.5, "q3": 0.75},
         {"_least": F.min("_v"), "_most": F.max("_v")},
+        few_groups=True,
     )
     iqr = F.col("q3") - F.col("q1")
     return boxes.where(F.col("n") >= min_rows).select(

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.numbers import number
+from tidemark.functions.numbers import is_numeric, number
 
 
 def typed_literal(df: DataFrame, column: str, value) -> Column:
@@ -17,6 +17,22 @@ def typed_literal(df: DataFrame, column: str, value) -> Column:
     return F.lit(str(value)).try_cast(df.schema[column].dataType)
 
 
+def compares(df: DataFrame, column: str, operator: str, limit: float) -> Column:
+    """``gt gte lt lte`` against a number; NaN, like null, passes none of them.
+
+    A numeric column is compared as it is, so the bound reaches the file scan. Spark ranks NaN above
+    every number, so only the upward comparisons must rule it out.
+    """
+    amount = F.col(f"`{column}`") if is_numeric(df, column) else number(df, column)
+    test = {
+        "gt": amount > limit,
+        "gte": amount >= limit,
+        "lt": amount < limit,
+        "lte": amount <= limit,
+    }[operator]
+    return test & ~F.isnan(amount) if operator in ("gt", "gte") else test
+
+
 def slice_filter(df: DataFrame, filters: list[dict]) -> DataFrame:
     """Keep rows that meet every ``{column, operator, value}``.
 
@@ -39,10 +55,8 @@ def _predicate(df: DataFrame, column: str, operator: str, value) -> Column | Non
         return field == typed_literal(df, column, value)
     if operator == "in" and isinstance(value, (list, tuple, set)):
         return field.isin([typed_literal(df, column, v) for v in value])
-    if operator == "gte":
-        return number(df, column) >= float(value)
-    if operator == "lte":
-        return number(df, column) <= float(value)
+    if operator in ("gte", "lte"):
+        return compares(df, column, operator, float(value))
     if operator == "date_range" and len(value) == 2:
         start, end = value
         ends = []

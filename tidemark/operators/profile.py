@@ -271,7 +271,9 @@ def numeric_stats(df: DataFrame, columns: list[str], approx: bool = False) -> Da
         facts = sketch.select("column", "n", *extras, *quarters)
     else:
         quarters = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-        facts = grouped_quantiles(rows, ["column"], F.col("v"), quarters, extras)
+        facts = grouped_quantiles(
+            rows, ["column"], F.col("v"), quarters, extras, few_groups=True
+        )
     iqr = F.col("q3") - F.col("q1")
     fenced = facts.select(
         F.col("column").alias("_c"), "n", "mean", "median", "std", "min", "q1", "q3", "max",

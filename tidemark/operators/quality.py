@@ -108,7 +108,12 @@ def outlier_skew(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """
     rows = long_numbers(df, columns or numeric_columns(df))
     facts = grouped_quantiles(
-        rows, ["column"], F.col("v"), {"q1": 0.25, "q3": 0.75}, {"_g1": F.skewness("_v")}
+        rows,
+        ["column"],
+        F.col("v"),
+        {"q1": 0.25, "q3": 0.75},
+        {"_g1": F.skewness("_v")},
+        few_groups=True,
     ).where("n >= 6 and q3 > q1")
     iqr = F.col("q3") - F.col("q1")
     fenced = facts.select(

@@ -20,6 +20,7 @@ def grouped_quantiles(
     probabilities: dict[str, float],
     extras: dict[str, Column] | None = None,
     accuracy: int = 10_000,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Linear-interpolated quantiles of ``value`` per group, nulls left out.
 
@@ -31,6 +32,10 @@ def grouped_quantiles(
     their full range. Pass 2 counts the values inside the brackets exactly and folds everything
     between brackets into one row, so it shuffles a sliver of a large group. A bracket that missed
     raises instead of returning a wrong number.
+
+    ``few_groups`` says that the caller has bounded the number of groups, by a top-k or by a list of
+    columns; only then are the brackets broadcast, which spares shuffling the rows. Otherwise the
+    join is left to adaptive execution, which knows the measured size and splits a frequent group.
     """
     extras = extras or {}
     slack = 4.0 / accuracy
@@ -60,9 +65,7 @@ def grouped_quantiles(
         *extras,
     )
 
-    # No broadcast hint with groups: their number is the caller's, so the join is left to
-    # adaptive execution, which knows the measured size. Without groups it is one row.
-    joined = _null_safe_join(rows, brackets, groups)
+    joined = _null_safe_join(rows, F.broadcast(brackets) if few_groups else brackets, groups)
     inside = reduce(
         Column.__or__,
         [F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i in range(len(wanted))],
@@ -77,7 +80,7 @@ def grouped_quantiles(
     counted = (
         joined.withColumn("_slot", slot)
         .withColumn("_gap", (~inside).cast("int"))
-        .groupBy(*groups, "n", "_slot", "_gap")
+        .groupBy(*groups, "n", *extras, "_slot", "_gap")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
     upto = (
@@ -107,11 +110,9 @@ def grouped_quantiles(
         results.append(
             (F.col(f"_a{i}") + share * (F.col(f"_b{i}") - F.col(f"_a{i}"))).alias(name)
         )
-    answers = ranked.groupBy(*groups, "n").agg(*picks)
-    answers = answers.select(*groups, "n", *results)
-    if not extras:
-        return answers
-    return _null_safe_join(answers, brackets.select(*groups, *extras), groups)
+    # The extras depend on the groups alone, so they ride along as keys: no second pass for them.
+    answers = ranked.groupBy(*groups, "n", *extras).agg(*picks)
+    return answers.select(*groups, "n", *extras, *results)
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, groups: list[str]) -> DataFrame:

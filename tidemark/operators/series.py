@@ -26,18 +26,18 @@ def time_series(
 ) -> DataFrame:
     """(keys, grain, period, value): metric sums, or row counts, per period that has rows.
 
-    The table is read once into per-day sums; the span, the grain and the periods are then taken
-    from the days, whose number the calendar bounds.
+    Rows are folded into per-day sums first, whose number the calendar bounds, and the days into
+    periods. The span comes from a scan of the date column alone, as one broadcast row.
     """
     when = F.col(f"`{date}`")
     value = F.count(F.lit(1)).cast("double") if metric is None else F.sum(number(df, metric))
     daily = (
         df.where(when.isNotNull())
         .groupBy(*keys, F.to_date(when).alias("_day"))
-        .agg(value.alias("_value"), F.min(when).alias("_from"), F.max(when).alias("_to"))
+        .agg(value.alias("_value"))
     )
     if grain is None:
-        span = daily.agg(whole_days(F.min("_from"), F.max("_to")).alias("_span"))
+        span = df.agg(whole_days(F.min(when), F.max(when)).alias("_span"))
         chosen = span.select(choose_grain(F.col("_span"), ladder).alias("grain"))
         daily = daily.crossJoin(F.broadcast(chosen))
     else:
