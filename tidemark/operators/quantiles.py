@@ -108,7 +108,7 @@ def grouped_quantiles(
         picks += [at(base).alias(f"_a{i}"), at(upper).alias(f"_b{i}")]
         share = position - base
         results.append(
-            (F.col(f"_a{i}") + share * (F.col(f"_b{i}") - F.col(f"_a{i}"))).alias(name)
+            (F.col(f"_a{i}") * (1.0 - share) + F.col(f"_b{i}") * share).alias(name)
         )
     # The extras depend on the groups alone, so they ride along as keys: no second pass for them.
     answers = ranked.groupBy(*groups, "n", *extras).agg(*picks)

@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 def rnd(expression: str, digits: int) -> str:
     """Half-up rounding of the shortest decimal text, which is how Spark rounds a double."""
     return (
-        f"CAST(ROUND(CAST(CAST(CAST(({expression}) AS DOUBLE) AS VARCHAR) AS DECIMAL(38,12)), "
+        f"CAST(ROUND(CAST(CAST(CAST(({expression}) AS DOUBLE) AS VARCHAR) AS DECIMAL(38,18)), "
         f"{digits}) AS DOUBLE)"
     )
 
