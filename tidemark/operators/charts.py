@@ -156,7 +156,8 @@ def dense_grid(
 
     One grouping by (x, y) feeds the two rankings and the cells. The grid is built from ``top_x``
     times ``top_y`` rows, so its size is fixed by the arguments. The rankings also sort by the
-    value, behind the unique label: it decides nothing, but lets all three reuse one shuffle.
+    value, behind the unique label, and the cells also look at their rows: neither decides
+    anything, but so all three need the same columns and reuse one shuffle.
     """
     labelled = with_label(with_label(df, x, grain, "_x"), y, grain, "_y")
     cells = agg_measure(labelled, ["_x", "_y"], metric, agg)
@@ -169,7 +170,8 @@ def dense_grid(
     wanted = pairs.select(F.col("_x").alias("x"), F.col("_y").alias("y"))
     same = wanted["x"].eqNullSafe(cells["_x"]) & wanted["y"].eqNullSafe(cells["_y"])
     found = cells.join(F.broadcast(wanted), same, "right")
-    return found.select("x", "y", F.coalesce("value", F.lit(0.0)).alias("value"))
+    filled = F.when(F.col("count") > 0, F.col("value"))
+    return found.select("x", "y", F.coalesce(filled, F.lit(0.0)).alias("value"))
 
 
 def stacked(

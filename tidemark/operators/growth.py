@@ -28,6 +28,21 @@ def detect_roles(df: DataFrame) -> dict[str, str | None]:
     }
 
 
+def role_columns(df: DataFrame) -> DataFrame:
+    """(role, column, filled): the columns found for each role, and how many cells they fill."""
+    found = {role: c for role, c in detect_roles(df).items() if c}
+    if not found:
+        return df.sparkSession.createDataFrame([], "role string, column string, filled long")
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(role) for role, c in found.items()])
+    records = [
+        F.struct(
+            F.lit(role).alias("role"), F.lit(c).alias("column"), F.col(role).alias("filled")
+        )
+        for role, c in found.items()
+    ]
+    return counts.select(F.inline(F.array(*records)))
+
+
 def _purchases(df: DataFrame, customer: str, date: str, amount: str) -> DataFrame:
     return df.select(
         F.col(f"`{customer}`").alias("customer"),

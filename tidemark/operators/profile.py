@@ -52,6 +52,26 @@ def name_semantics(name: str) -> tuple[str | None, float]:
     return None, 0.0
 
 
+def named_columns(df: DataFrame) -> DataFrame:
+    """(column, kind, confidence, filled): what names alone say, and how many cells are filled.
+
+    The kind is empty where a name says nothing.
+    """
+    filled = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    records = []
+    for c in df.columns:
+        kind, confidence = name_semantics(c)
+        records.append(
+            F.struct(
+                F.lit(c).alias("column"),
+                F.lit(kind or "").alias("kind"),
+                F.lit(confidence).alias("confidence"),
+                F.col(f"`{c}`").alias("filled"),
+            )
+        )
+    return filled.select(F.inline(F.array(*records)))
+
+
 def value_histogram(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, value, hits): how often each column holds each value, as text, nulls included.
 

@@ -16,6 +16,7 @@ from tidemark.plans.catalog_charts import (
 )
 from tidemark.plans.catalog_quality import (
     BOOLEAN,
+    CUSTOMER_FACTS,
     DATE,
     EMAIL_MASK,
     KINDS,
@@ -216,6 +217,14 @@ def preview(t):
     return shown.select("lead_id", "email", "mobile", "price")
 
 
+FIRST_ROWS = "FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 15)"
+
+
+@query("preview_schema", CUSTOMER_FACTS.replace("FROM customer", FIRST_ROWS))
+def preview_schema(t):
+    return browse.preview_schema(t.customer, ["c_custkey"])
+
+
 PAGE = """SELECT * FROM customer WHERE contains(lower(c_name), '11') OR contains(lower(c_mktsegment), '11')
   OR contains(CAST(c_custkey AS VARCHAR), '11') OR contains(CAST(c_nationkey AS VARCHAR), '11')
   OR contains(CAST(c_acctbal AS VARCHAR), '11')"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.fixed_values import CHURN_TIERS, HOLT, OLS, SEGMENT_NOTES, WMA
 from tidemark.operators import anomalies, forecast, growth, isolation, kpis, series
-from tidemark.plans.catalog_business import FORECAST_GRAINS, series_sql
+from tidemark.plans.catalog_business import FORECAST_GRAINS, KPI_SOURCE, kpi_table, series_sql
 from tidemark.plans.registry import query, rnd
 from tidemark.session import literal_rows
 
@@ -53,6 +53,17 @@ SUMMARY = f"""summary AS (SELECT segment, first(tier) AS tier, count(*) AS custo
     {rnd('avg(recency_days)', 0)} AS avg_recency_days FROM noted GROUP BY segment)"""
 
 
+@query(
+    "detect_roles",
+    " UNION ALL ".join(
+        f"SELECT '{role}' AS role, '{c}' AS \"column\", count({c}) AS filled FROM ({KPI_SOURCE})"
+        for role, c in (("customer", "customer_id"), ("monetary", "revenue"), ("category", "country"))
+    ),
+)
+def detect_roles(t):
+    return growth.role_columns(kpi_table(t))
+
+
 @query("rfm_scores", f"WITH {PEOPLE} SELECT * FROM scores")
 def rfm_scores(t):
     return growth.rfm_scores(t.orders, *BUYER)

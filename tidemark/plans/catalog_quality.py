@@ -336,6 +336,28 @@ CUSTOMER_FACTS = f"""{number_facts('customer', 'c_custkey', 'bigint')}
     FROM customer"""
 
 
+EVENT_NAMES = {
+    "event_id": ("identifier", 0.9),
+    "ts": ("", 0.0),
+    "user_id": ("identifier", 0.9),
+    "event_type": ("", 0.0),
+    "value": ("currency", 0.96),
+    "props": ("", 0.0),
+}
+
+
+@query(
+    "name_semantics",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", '{kind}' AS kind, CAST({sure} AS DOUBLE) AS confidence,
+          count({c}) AS filled FROM events"""
+        for c, (kind, sure) in EVENT_NAMES.items()
+    ),
+)
+def name_semantics(t):
+    return profile.named_columns(t.events)
+
+
 @query("classify_columns", CUSTOMER_FACTS)
 def classify_columns(t):
     return profile.classify_columns(t.customer)

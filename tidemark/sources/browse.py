@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.functions.fixed_values import PII_KINDS
 from tidemark.functions.text import mask
 from tidemark.operators.filters import text_search
+from tidemark.operators.profile import classify_columns
 
 
 def shown(df: DataFrame, column: str, kind: str | None, width: int | None = None) -> Column:
@@ -25,6 +26,11 @@ def preview(
     return first.select(*[shown(df, c, kinds.get(c), width).alias(c) for c in df.columns])
 
 
+def preview_schema(df: DataFrame, order_by: list[str], n: int = 15) -> DataFrame:
+    """The classification of the columns by the first ``n`` rows alone."""
+    return classify_columns(df.orderBy(*order_by).limit(n))
+
+
 def matching_rows(df: DataFrame, kinds: dict[str, str], search: str = "") -> DataFrame:
     """Rows that hold the text in any column that is not personal."""
     return text_search(df, search, [c for c in df.columns if kinds.get(c) not in PII_KINDS])
