@@ -56,10 +56,11 @@ def make_values(spark):
     )
 
 
-@pytest.mark.parametrize("small", [100_000, 50])
-def test_group_quantiles_are_exact(spark, monkeypatch, small):
-    """With the small-group rule and without it, where only brackets are counted."""
+@pytest.mark.parametrize("small, few", [(100_000, 100_000), (50, 100_000), (50, 0)])
+def test_group_quantiles_are_exact(spark, monkeypatch, small, few):
+    """With the small-group rule and without it, with broadcast brackets and with shuffled ones."""
     monkeypatch.setattr(quantiles, "_SMALL_GROUP", small)
+    monkeypatch.setattr(quantiles, "_FEW_GROUPS", few)
     pdf, df = make_values(spark)
     wanted = {"a": 0.1, "q1": 0.25, "m": 0.5, "q3": 0.75}
     got = quantiles.grouped_quantiles(

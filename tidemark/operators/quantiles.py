@@ -10,7 +10,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.session import scratch_path
+
 _SMALL_GROUP = 100_000
+# Bracket rows are some 200 bytes besides their keys, so this many are about 20 MB.
+_FEW_GROUPS = 100_000
+_KEY_BYTES = 32 << 20
 
 
 def grouped_quantiles(
@@ -20,7 +25,7 @@ def grouped_quantiles(
     probabilities: dict[str, float],
     extras: dict[str, Column] | None = None,
     accuracy: int = 10_000,
-    few_groups: bool = False,
+    few_groups: bool | None = None,
 ) -> DataFrame:
     """Linear-interpolated quantiles of ``value`` per group, nulls left out.
 
@@ -33,9 +38,11 @@ def grouped_quantiles(
     between brackets into one row, so it shuffles a sliver of a large group. A bracket that missed
     raises instead of returning a wrong number.
 
-    ``few_groups`` says that the caller has bounded the number of groups, by a top-k or by a list of
-    columns; only then are the brackets broadcast, which spares shuffling the rows. Otherwise the
-    join is left to adaptive execution, which knows the measured size and splits a frequent group.
+    Brackets are broadcast, which spares shuffling the rows, only when there are few of them.
+    ``few_groups`` says that the caller has bounded the groups, by a top-k or a list of columns. If
+    it does not, the sketches are written to the shared scratch folder and measured: up to 100,000
+    with 32 MB of keys are broadcast, and beyond that the join is a shuffled one, where adaptive
+    execution splits a frequent group.
     """
     extras = extras or {}
     slack = 4.0 / accuracy
@@ -52,6 +59,16 @@ def grouped_quantiles(
         F.percentile_approx("_v", flat, accuracy).alias("_q"),
         *[column.alias(name) for name, column in extras.items()],
     )
+    if groups and few_groups is None:
+        path = scratch_path(df.sparkSession, "sketches")
+        sketch.write.parquet(path)
+        sketch = df.sparkSession.read.schema(sketch.schema).parquet(path)
+        key = F.concat_ws("", *[F.col(f"`{g}`").cast("string") for g in groups])
+        size = sketch.agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.coalesce(F.sum(F.octet_length(key)), F.lit(0)).alias("bytes"),
+        ).first()
+        few_groups = size["rows"] <= _FEW_GROUPS and size["bytes"] <= _KEY_BYTES
     small = F.col("n") <= _SMALL_GROUP
     lows = [F.when(small, F.col("_min")).otherwise(F.col("_q")[2 * i]) for i in range(len(wanted))]
     highs = [
