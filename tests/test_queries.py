@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from tidemark.plans import registry
 from tests.compare import differences
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_agrees(spark, db, folder, name):
     assert [d for d in differences(spark, db, name, folder) if d != "no rows"] == []
 
