@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import embedding_dedup, html, packing, quality, secret_scan, urls
+from tidemark.llm import embedding_dedup, html, mixing, packing, quality, secret_scan, sharding, urls
 from tidemark.session import literal_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,11 @@ def url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict", "url")
 
 
+@query("op3_sharding")
+def sharded(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, folder, "documents"))
+
+
 @query("op4_secret_scans")
 def secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     found = secret_scan.scan_secrets(table(spark, folder, "documents").select("doc_id", "text"))
@@ -86,6 +91,15 @@ def secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op6_mixing")
+def mixed(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    domains = mixing.label_domains(table(spark, folder, "labels"))
+    return mixing.mix(documents.select("doc_id", "text"), domains, mixing.CLEAN_WEIGHTS, most=1.0).select(
+        "doc_id", "n_tokens", *[f"p_{d}" for d in mixing.CLEAN_WEIGHTS], "rate", "copies"
+    )
+
+
 @query("op7_packing")
 def packed(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
