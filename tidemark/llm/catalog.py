@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import embedding_dedup, html, mixing, packing, quality, secret_scan, sharding, urls
+from tidemark.llm import embedding_dedup, html, mixing, ngram_join, packing, quality, secret_scan, sharding, urls
 from tidemark.session import literal_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,11 @@ def secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op5_ngram_jaccard_join")
+def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, folder, "documents"))
+
+
 @query("op6_mixing")
 def mixed(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
