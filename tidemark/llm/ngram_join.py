@@ -10,13 +10,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import WHITE_SPACE, lower_ascii, written
+from tidemark.llm.common import LOWER, UPPER, written
 from tidemark.llm.graph import components
 
 _CELLS = 1 << 18  # of the count sketch; its size bounds what is broadcast
 _BITS = 1 << 24  # of the bitmap of wanted texts
 _REMEMBERED = 400_000  # word hashes a worker keeps
-_SPLIT = str.maketrans({c: " " for c in WHITE_SPACE})
+_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
+_SPREAD = 3, 2  # parts of the domain for each part that must agree, as a fraction
 _MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -28,34 +29,38 @@ def _mixed(values: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Words(dict):
+    """Hashes of words, each computed once while it is remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
 class Shingles:
-    """Sorted distinct 64-bit hashes of the word n-grams of a text (already in lower case)."""
+    """Sorted distinct 64-bit hashes of the word n-grams of a text in UTF-8."""
 
     def __init__(self, n: int):
         self.n = n
-        self.known: dict[str, int] = {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").translate(_SPLIT).split(" ")
-        known = self.known
-        if len(known) > _REMEMBERED:
-            known.clear()
-        hashes = []
-        for word in words:
-            if word:
-                value = known.get(word)
-                if value is None:
-                    value = known[word] = xxhash.xxh3_64_intdigest(word)
-                hashes.append(value)
-        if not hashes:
+        self.known = _Words()
+
+    def __call__(self, text: bytes | None) -> np.ndarray:
+        words = (text or b"").translate(_LOWER).split()  # at the six white-space bytes
+        if not words:
             return np.zeros(0, dtype=np.uint64)
-        size = min(self.n, len(hashes))
-        word = np.array(hashes, dtype=np.uint64)
-        total = np.full(len(hashes) - size + 1, size, dtype=np.uint64)
+        if len(self.known) > _REMEMBERED:
+            self.known.clear()
+        word = np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words))
+        size = min(self.n, len(words))
+        total = np.full(len(words) - size + 1, size, dtype=np.uint64)
         for i in range(size):
-            total = (total + word[i : i + len(total)]) * _MIX[1]
+            total += word[i : i + len(total)]
+            total *= _MIX[1]
             total ^= total >> np.uint64(29)
-        return np.unique(_mixed(total))
+        total.sort()
+        if len(total) > 1:
+            total = total[np.concatenate(([True], total[1:] != total[:-1]))]
+        return total
 
 
 def _print(shingles: np.ndarray) -> bytes | None:
@@ -94,7 +99,8 @@ def signatures(shingles: np.ndarray, bands: Bands, hot: np.ndarray) -> np.ndarra
     Within a band two linked sets differ in at most k elements, so of parts of the domain at most k
     hold different elements: of the non-empty parts of either set all but k are equal. It is enough
     that each set names k + 1 of them in one order of all parts' contents; that order puts parts
-    with an element that is not hot first. Small sets use single elements as parts. A set with no
+    with the most elements that are not hot first, which unrelated sets hardly share. Small sets
+    use single elements as parts. A set with no
     more than k non-empty parts also gets the signature of all such sets of the band.
     """
     found = []
@@ -105,17 +111,17 @@ def signatures(shingles: np.ndarray, bands: Bands, hot: np.ndarray) -> np.ndarra
         if k == 0:
             continue  # only equal sets, which are one already
         if bands.ends[band] <= 30:
-            tokens, good = _mixed(shingles, band), rare
+            tokens, good = _mixed(shingles, band), rare.astype(np.int64)
         else:
-            parts = (_mixed(shingles, 7 * band + 3) >> np.uint64(20)) % np.uint64(2 * (k + 1))
+            parts = (_mixed(shingles, 7 * band + 3) >> np.uint64(20)) % np.uint64(_SPREAD[0] * (k + 1) // _SPREAD[1])
             order = np.argsort(parts, kind="stable")
             parts = parts[order]
             starts = np.flatnonzero(np.concatenate(([True], parts[1:] != parts[:-1])))
             sums = np.add.reduceat(_mixed(shingles[order], band), starts)
             tokens = _mixed(sums + parts[starts] * _MIX[0], band)
-            good = np.logical_or.reduceat(rare[order], starts)
+            good = np.add.reduceat(rare[order].astype(np.int64), starts)
         if len(tokens) > k + 1:
-            score = (tokens >> np.uint64(1)) | (np.uint64(1 << 63) * (~good).astype(np.uint64))
+            score = (tokens >> np.uint64(2)) | ((3 - np.minimum(good, 3)).astype(np.uint64) << np.uint64(62))
             tokens = tokens[np.argpartition(score, k)[: k + 1]]
         elif len(tokens) <= k:
             tokens = np.append(tokens, _mixed(np.array([band], dtype=np.uint64), 99))
@@ -141,7 +147,7 @@ def document_sets(docs: DataFrame, key: str, text: str, n: int) -> tuple[DataFra
     """
     kind = docs.schema[key].dataType.simpleString()
     prepared = docs.select(
-        F.col(f"`{key}`").alias("doc_id"), lower_ascii(F.col(f"`{text}`").cast("string")).alias("text")
+        F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").cast("binary").alias("text")
     ).withColumn("th", F.xxhash64("text"))
 
     def digest(batches):
@@ -234,14 +240,14 @@ def candidate_links(docs: DataFrame, text: str, n: int, bands: tuple[int, int],
         pairs = np.unique(np.stack([node, least], axis=1)[node != least], axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    blocks = docs.select(lower_ascii(F.col(f"`{text}`").cast("string")).alias("text")).mapInArrow(
+    blocks = docs.select(F.col(f"`{text}`").cast("string").cast("binary").alias("text")).mapInArrow(
         _batches(name), "bucket long, signs binary, nodes binary"
     )
     return blocks.groupBy("bucket").applyInPandas(join, "a long, b long")
 
 
 def wanted_sets(docs: DataFrame, text: str, n: int, hashes: DataFrame) -> DataFrame:
-    """(node, set, shingles) of texts whose hash is among ``hashes`` (th), once or more per set.
+    """(set, shingles) of texts whose hash is among ``hashes`` (th), once or more per set.
 
     A bitmap of fixed size keeps other texts from being read into sets; those that slip through
     find no partner in later joins.
@@ -277,12 +283,10 @@ def wanted_sets(docs: DataFrame, text: str, n: int, hashes: DataFrame) -> DataFr
                     seen.add(digest)
                     prints.append(digest)
                     sets.append(found.tobytes())
-            nodes = [_node(p) for p in prints]
-            yield {"node": pa.array(nodes, pa.int64()), "set": pa.array(prints, pa.binary()),
-                   "shingles": pa.array(sets, pa.binary())}
+            yield {"set": pa.array(prints, pa.binary()), "shingles": pa.array(sets, pa.binary())}
 
-    prepared = docs.select(lower_ascii(F.col(f"`{text}`").cast("string")).alias("text")).withColumn("th", F.xxhash64("text"))
-    return prepared.mapInArrow(_batches(read), "node long, set binary, shingles binary")
+    prepared = docs.select(F.col(f"`{text}`").cast("string").cast("binary").alias("text")).withColumn("th", F.xxhash64("text"))
+    return prepared.mapInArrow(_batches(read), "set binary, shingles binary")
 
 
 def cluster_links(names: list[bytes], sets: list[np.ndarray], num: int, den: int, sides: np.ndarray | None = None):
@@ -323,18 +327,21 @@ def cluster_links(names: list[bytes], sets: list[np.ndarray], num: int, den: int
                 group[group == group[other]] = group[pivot]
 
 
-def exact_links(sets: DataFrame, clusters: DataFrame, num: int, den: int, most: int = 1_500_000) -> DataFrame:
+def exact_links(sets: DataFrame, members: DataFrame, clusters: DataFrame, num: int, den: int, most: int = 1_500_000) -> DataFrame:
     """(a, b): links of exact similarity that span every linked component of each cluster.
 
-    ``clusters`` is (node, root) of candidate clusters, ``sets`` from :func:`wanted_sets`. Small
+    ``clusters`` is (node, root) of candidate clusters, ``members`` has node, set and n_shingles,
+    ``sets`` is from :func:`wanted_sets`. Small
     clusters share tasks. A cluster of more than ``most`` shingles is cut into blocks: its sets are
     first compared with one pivot; then blocks of those that did not link with it meet all blocks,
     pair by pair, while those that did are one component already.
     """
-    placed = written(sets.join(clusters, "node").select(
-        "root", "set", "shingles", (F.octet_length("shingles") / 8).cast("long").alias("size")
-    ), "clustered")
-    weights = written(placed.groupBy("root").agg(F.sum("size").alias("weight"), F.min("set").alias("pivot")), "weights")
+    known = clusters.join(
+        members.select("node", "set", "n_shingles").distinct(), "node"
+    ).select("root", "set", "n_shingles")
+    weights = written(known.groupBy("root").agg(
+        F.sum("n_shingles").alias("weight"), F.min("set").alias("pivot"), F.count(F.lit(1)).alias("n")
+    ).where("n > 1"), "weights")
     total, heavy = weights.agg(F.sum("weight"), F.sum((F.col("weight") > most).cast("long"))).first()
     tasks = max(8, int(total or 0) // most)
     shape = "a binary, b binary"
@@ -348,13 +355,15 @@ def exact_links(sets: DataFrame, clusters: DataFrame, num: int, den: int, most:
                 links += cluster_links(one["set"].tolist(), values, num, den)
         return pd.DataFrame(links, columns=["a", "b"], dtype=object)
 
-    sized = placed.join(weights, "root")
+    sized = sets.join(known.join(weights, "root"), "set")
     small = sized.where(F.col("weight") <= most).withColumn("task", F.pmod(F.xxhash64("root"), F.lit(tasks)))
     links = small.select("task", "root", "set", "shingles").groupBy("task").applyInPandas(whole, shape)
     if not heavy:
         return links
 
-    large = sized.where(F.col("weight") > most).dropDuplicates(["root", "set"])
+    large = written(
+        sized.where(F.col("weight") > most).withColumnRenamed("n_shingles", "size").dropDuplicates(["set"]), "large"
+    )
     pivots = large.where(F.col("set") == F.col("pivot")).select("root", F.col("shingles").alias("pivot_shingles"))
 
     @F.pandas_udf("boolean")
@@ -413,7 +422,7 @@ def ngram_components(
     pairs = candidate_links(docs, text, n, (num, den), hot, int(shingles))
     clusters = written(components(pairs), "clusters")
     hashes = members.join(clusters, "node", "left_semi").groupBy("set").agg(F.min("th").alias("th")).select("th")
-    links = exact_links(wanted_sets(docs, text, n, hashes), clusters, num, den)
+    links = exact_links(wanted_sets(docs, text, n, hashes), members, clusters, num, den)
     roots = written(components(links).withColumnRenamed("node", "set"), "roots")
     known = members.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
     firsts = known.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("first"))
