@@ -82,7 +82,10 @@ def test_every_linked_pair_shares_a_signature():
             y = np.unique(np.concatenate([rng.permutation(x)[gone:], rng.integers(0, 2**63, more).astype(np.uint64)]))
             common = len(np.intersect1d(x, y))
             if common < len(x) + len(y) - common and 4 * common >= 3 * (len(x) + len(y) - common):
-                assert len(np.intersect1d(ngram_join.signatures(x, bands, hot), ngram_join.signatures(y, bands, hot)))
+                (a, thin_a), (b, thin_b) = (ngram_join.signatures(s, bands, hot) for s in (x, y))
+                shared, at, to = np.intersect1d(a, b, return_indices=True)
+                scores = 12 // ((shared & np.uint64(3)).astype(int) + 1)
+                assert np.where(thin_a[at] | thin_b[to], 12, scores).sum() >= 12
 
 
 def test_large_clusters_are_cut_into_blocks(spark, monkeypatch):

@@ -17,6 +17,8 @@ _CELLS = 1 << 18  # of the count sketch; its size bounds what is broadcast
 _BITS = 1 << 24  # of the bitmap of wanted texts
 _REMEMBERED = 400_000  # word hashes a worker keeps
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
+_PAIRED = 16  # sets with one signature that are still counted pair by pair
+_WHOLE = 12  # score of a candidate pair; a multiple of 1, 2, 3 and 4
 _SPREAD = 3, 2  # parts of the domain for each part that must agree, as a fraction
 _MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -68,8 +70,8 @@ def _print(shingles: np.ndarray) -> bytes | None:
 
 
 def _node(digest: bytes | None) -> int | None:
-    """A short name of a set while candidates are sought; exact steps use the whole digest."""
-    return None if digest is None else int.from_bytes(digest[:8], "little", signed=True)
+    """A short, even name of a set while candidates are sought; exact steps use the whole digest."""
+    return None if digest is None else int.from_bytes(digest[:8], "little", signed=True) & ~1
 
 
 class Bands:
@@ -93,17 +95,20 @@ class Bands:
         return 2 * self.ends[band] * (self.den - self.num) // (self.den + self.num)
 
 
-def signatures(shingles: np.ndarray, bands: Bands, hot: np.ndarray) -> np.ndarray:
-    """PartEnum signatures of one set: for its size band and the next, k + 1 parts of the domain.
+def signatures(shingles: np.ndarray, bands: Bands, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """PartEnum signatures of one set, and which of them suffice alone.
+
+    For its size band and the next, a set names k + m parts of the domain with what it holds there.
 
     Within a band two linked sets differ in at most k elements, so of parts of the domain at most k
     hold different elements: of the non-empty parts of either set all but k are equal. It is enough
-    that each set names k + 1 of them in one order of all parts' contents; that order puts parts
-    with the most elements that are not hot first, which unrelated sets hardly share. Small sets
-    use single elements as parts. A set with no
-    more than k non-empty parts also gets the signature of all such sets of the band.
+    that each set names k + m of them in one order of all parts' contents: linked sets then share m.
+    That order puts parts with the most elements that are not hot first, which unrelated sets hardly
+    share. Small sets use single elements as parts and m = 1; m - 1 stands in the last two bits of a
+    signature. A set with fewer than k + m non-empty parts names them all and shares one at least;
+    with no more than k, it also gets the signature of all such sets of the band.
     """
-    found = []
+    found, thin = [], []
     own = bands.of(len(shingles))
     rare = ~hot[(shingles & np.uint64(_CELLS - 1)).astype(np.int64)]
     for band in (own, own + 1):
@@ -120,13 +125,19 @@ def signatures(shingles: np.ndarray, bands: Bands, hot: np.ndarray) -> np.ndarra
             sums = np.add.reduceat(_mixed(shingles[order], band), starts)
             tokens = _mixed(sums + parts[starts] * _MIX[0], band)
             good = np.add.reduceat(rare[order].astype(np.int64), starts)
-        if len(tokens) > k + 1:
+        need = min(1 + k // 8, 4) if bands.ends[band] > 30 else 1
+        slim = len(tokens) < k + need
+        if len(tokens) > k + need:
             score = (tokens >> np.uint64(2)) | ((3 - np.minimum(good, 3)).astype(np.uint64) << np.uint64(62))
-            tokens = tokens[np.argpartition(score, k)[: k + 1]]
+            tokens = tokens[np.argpartition(score, k + need - 1)[: k + need]]
         elif len(tokens) <= k:
             tokens = np.append(tokens, _mixed(np.array([band], dtype=np.uint64), 99))
+        thin.append(np.full(len(tokens), slim))
+        tokens = tokens & ~np.uint64(3) | np.uint64(need - 1)
         found.append(tokens)
-    return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
+    if not found:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
+    return np.concatenate(found), np.concatenate(thin)
 
 
 def _batches(work):
@@ -191,11 +202,14 @@ def document_sets(docs: DataFrame, key: str, text: str, n: int) -> tuple[DataFra
         at = r["slice"] * (_CELLS // 16)
         cells[at : at + _CELLS // 16] = np.frombuffer(r["cells"], dtype=np.int64)
     mean = cells.mean()
-    return both.where("slice is null").drop("slice", "cells"), cells > mean + 8 * np.sqrt(mean) + 8
+    return both.where("slice is null").drop("slice", "cells"), cells > mean + 5 * np.sqrt(mean) + 8
 
 
 def candidate_links(docs: DataFrame, text: str, n: int, bands: tuple[int, int], hot: np.ndarray, shingles: int) -> DataFrame:
-    """(a, b): 64-bit set digests; sets that share a signature are joined to the least of them.
+    """(a, b): names of sets that share enough signatures.
+
+    Sets that share a signature with few others are counted pair by pair, as linked sets share m of
+    them; all that share one with more than ``_PAIRED`` sets are joined to the first of these.
 
     Each task names a set once and hands its signatures over in blocks, one per bucket of the
     signature's hash; the number of buckets follows the number of shingles, so a bucket stays
@@ -217,8 +231,9 @@ def candidate_links(docs: DataFrame, text: str, n: int, bands: tuple[int, int],
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(digest)
-                signs.append(signatures(found, banded, shared.value))
-                nodes.append(np.full(len(signs[-1]), _node(digest), dtype=np.int64))
+                sign, thin = signatures(found, banded, shared.value)
+                signs.append(sign)
+                nodes.append(thin + np.int64(_node(digest)))
             sign = np.concatenate(signs) if signs else np.zeros(0, dtype=np.uint64)
             node = np.concatenate(nodes) if nodes else np.zeros(0, dtype=np.int64)
             bucket = (sign >> np.uint64(33)) % np.uint64(buckets)
@@ -234,16 +249,30 @@ def candidate_links(docs: DataFrame, text: str, n: int, bands: tuple[int, int],
         sign = np.frombuffer(b"".join(frame["signs"]), dtype=np.uint64)
         node = np.frombuffer(b"".join(frame["nodes"]), dtype=np.int64)
         order = np.lexsort((node, sign))
-        sign, node = sign[order], node[order]
-        new = np.concatenate(([True], sign[1:] != sign[:-1]))
-        least = node[np.flatnonzero(new)][np.cumsum(new) - 1]
-        pairs = np.unique(np.stack([node, least], axis=1)[node != least], axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        sign, node, thin = sign[order], node[order] & ~1, node[order] & 1 == 1
+        starts = np.flatnonzero(np.concatenate(([True], sign[1:] != sign[:-1])))
+        sizes = np.diff(np.append(starts, len(sign)))
+        small = np.repeat(sizes <= _PAIRED, sizes)
+        worth = _WHOLE // ((sign & np.uint64(3)).astype(np.int64) + 1)
+        first = np.repeat(node[starts], sizes)
+        ends, scores = [np.stack([node, first], axis=1)[~small]], [np.full(int((~small).sum()), _WHOLE)]
+        for step in range(1, _PAIRED):
+            at = np.flatnonzero((sign[step:] == sign[:-step]) & small[step:])
+            if len(at) == 0:
+                break
+            ends.append(np.stack([node[at + step], node[at]], axis=1))
+            scores.append(np.where(thin[at] | thin[at + step], _WHOLE, worth[at]))
+        ends, scores = np.concatenate(ends), np.concatenate(scores)
+        differ = ends[:, 0] != ends[:, 1]
+        pairs, back = np.unique(ends[differ], axis=0, return_inverse=True)
+        total = np.bincount(back.ravel(), weights=scores[differ], minlength=len(pairs)).astype(np.int64)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "score": total})
 
     blocks = docs.select(F.col(f"`{text}`").cast("string").cast("binary").alias("text")).mapInArrow(
         _batches(name), "bucket long, signs binary, nodes binary"
     )
-    return blocks.groupBy("bucket").applyInPandas(join, "a long, b long")
+    scored = blocks.groupBy("bucket").applyInPandas(join, "a long, b long, score long")
+    return scored.groupBy("a", "b").agg(F.sum("score").alias("score")).where(F.col("score") >= _WHOLE).select("a", "b")
 
 
 def wanted_sets(docs: DataFrame, text: str, n: int, hashes: DataFrame) -> DataFrame:

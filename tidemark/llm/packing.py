@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -12,11 +13,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import LOWER, UPPER, written
 from tidemark.operators.ranks import number_rows
 
 #: Words whose ids a Python worker remembers at a time.
-_REMEMBERED = 300_000
+_REMEMBERED = 250_000
+#: Rows read into Python objects at a time.
+_ROWS = 500
+_MARKS = b"!#$%&()*+,-./:;<=>?@[]^_`{|}~"
+_PLAIN = bytes.maketrans(b"\n\t\r" + UPPER.encode(), b"   " + LOWER.encode())
 
 
 @lru_cache(maxsize=2)
@@ -27,31 +32,47 @@ def _tokenizer(path: str):
 
 
 class WordIds:
-    """Ids of texts under a tokenizer that never joins characters across white space.
+    """Ids of texts, as little-endian unsigned 32-bit numbers, under a tokenizer of lower-case words.
 
-    Each word is encoded once while it is remembered. A text that may hold a special token is
-    encoded as a whole.
+    The tokenizer must never join characters across white space and must keep letters apart from
+    marks. Each word is encoded once while it is remembered; a word with marks at its end is put
+    together from both. A text that may hold a special token is encoded as a whole.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = _tokenizer(path)
-        self.known: dict[str, list[int]] = {}
-
-    def __call__(self, text: str) -> list[int]:
-        if "<|" in text:
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(new) > _REMEMBERED:
-            known.clear()
-            new = list(dict.fromkeys(words))
-        for word, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[word] = coded.ids
-        ids: list[int] = []
+        self.known: dict[bytes, bytes] = {}
+
+    def _encode(self, parts: list[bytes]) -> None:
+        texts = [part.decode() for part in parts]
+        for part, coded in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            self.known[part] = np.asarray(coded.ids, dtype="<u4").tobytes()
+
+    def _learn(self, words: list[bytes]) -> None:
+        cut, parts = [], set()
         for word in words:
-            ids += known[word]
-        return ids
+            base = word.rstrip(_MARKS)
+            if base and len(base) < len(word) and base.decode().isalpha():
+                cut.append((word, base, word[len(base) :]))
+                parts.update(cut[-1][1:])
+            else:
+                parts.add(word)
+        self._encode([part for part in parts if part not in self.known])
+        for word, base, marks in cut:
+            self.known[word] = self.known[base] + self.known[marks]
+
+    def __call__(self, text: str | bytes) -> np.ndarray:
+        text = text.encode() if isinstance(text, str) else text
+        if b"<|" in text:
+            ids = self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+            return np.asarray(ids, dtype="<u4")
+        words = text.translate(_PLAIN).split(b" ")
+        if len(self.known) > _REMEMBERED:
+            self.known.clear()
+        if new := dict.fromkeys(word for word in words if word not in self.known):
+            self._learn(list(new))
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype="<u4")
 
 
 def token_pieces(
@@ -69,10 +90,10 @@ def token_pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordIds(vocabulary)
-        for batch in batches:
+        for batch in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
             rows, starts, lengths, sums, totals, pieces = [], [], [], [], [], []
             for row, value in enumerate(batch.column(1).to_pylist()):
-                ids = np.asarray(encode(value or "") + [end_id], dtype="<u4")
+                ids = np.append(encode(value or b""), np.array([end_id], dtype="<u4"))
                 for start in range(0, len(ids), size):
                     piece = ids[start : start + size]
                     rows.append(row)
@@ -90,7 +111,7 @@ def token_pieces(
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    source = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    source = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").cast("binary").alias("text"))
     return source.mapInArrow(cut, schema + (", ids array<int>" if with_ids else ""))
 
 
