@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import embedding_dedup, html, mixing, ngram_join, packing, quality, secret_scan, sharding, urls
+from tidemark.llm import (
+    embedding_dedup, html, line_dedup, mixing, ngram_join, packing, quality, secret_scan, sharding, urls,
+)
 from tidemark.session import literal_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +124,16 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     pages = html.extract_text(table(spark, folder, "pages"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op10_line_dedup")
+def line_dedup_documents(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.drop_later_lines(documents).select("doc_id", "n_removed", "text")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
