@@ -33,11 +33,11 @@ def _counted(least: int) -> Column:
     return F.length("line") >= 2 * least - 1
 
 
-def _grams(n: int, stride: int = 1) -> Column:
-    """Hashes of the n-word shingles that start at every ``stride``-th of the words ``w``."""
+def _grams(n: int) -> Column:
+    """Hashes of the n-word shingles of the words ``w``."""
     w = F.col("w")
     return F.transform(
-        F.sequence(F.lit(0), F.size("w") - n, F.lit(stride)),
+        F.sequence(F.lit(0), F.size("w") - n),
         lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]),
     )
 
@@ -62,7 +62,7 @@ def _common_cells(lines: DataFrame, n: int) -> list[int]:
     """Cells of a fixed-size count sketch, over all lines, that hold far more shingles than others."""
     counts = (
         lines.withColumn("w", words(lower_ascii("line"))).where(F.size("w") >= n)
-        .select(F.explode(_grams(n, n)).alias("gram"))
+        .select(F.explode(_grams(n)).alias("gram"))
         .groupBy(F.pmod("gram", F.lit(_CELLS)).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     )
     found = counts.select("cell", "n").collect()
