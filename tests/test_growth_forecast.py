@@ -164,6 +164,10 @@ def test_rates(spark):
 
 def test_sql_cap(spark):
     df = spark.range(2000)
-    assert templates.capped_sql(df, "SELECT * FROM dataset").count() == 500
+    assert templates.capped_sql(df, "SELECT * FROM dataset", 500).count() == 500
     assert templates.capped_sql(df, "SELECT * FROM dataset LIMIT 700").count() == 700
-    assert templates.capped_sql(df, "SELECT * FROM dataset LIMIT 5000").count() == 500
+    assert templates.capped_sql(df, "SELECT * FROM dataset LIMIT 5000;").count() == df.count()
+    assert templates.capped_sql(df, "SELECT 'the dataset {x}' AS c FROM dataset").first()["c"] == "the dataset {x}"
+    for command in ("SET spark.zzz.abc=1", "DROP TABLE dataset", "SELECT 1; SELECT 2"):
+        with pytest.raises(Exception):
+            templates.capped_sql(df, command)

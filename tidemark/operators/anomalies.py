@@ -76,15 +76,15 @@ def long_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def iqr_anomalies(
-    df: DataFrame, columns: Sequence[str], sensitivity: str = "medium", most: int = 5
+    df: DataFrame, columns: Sequence[str], sensitivity: str = "medium"
 ) -> DataFrame:
     """Columns with values beyond their quartile fences: counts, extreme value, severity.
 
-    Judges the first ``most`` columns that have eight values, four distinct ones and a positive
+    Judges the columns that have eight values, four distinct ones and a positive
     IQR. Four distinct values exist exactly when the second smallest is below the second largest,
     which costs no distinct count.
     """
-    rows = long_numbers(df, columns[:most])
+    rows = long_numbers(df, columns)
     k = FENCE_WIDTH.get(sensitivity, 2.0)
     boxes = grouped_quantiles(
         rows,
@@ -106,7 +106,7 @@ def iqr_anomalies(
         (F.col("q75") + k * iqr).alias("high"),
     )
     v = F.col("v")
-    # One fence row per judged column, so at most ``most`` rows are broadcast.
+    # One fence row per judged column, so no more rows than columns are broadcast.
     found = (
         rows.join(F.broadcast(fenced), F.col("column") == F.col("_c"))
         .groupBy("column", "mean", "std", "q25", "q75", "low", "high")

@@ -582,13 +582,13 @@ def metric_by_dimension(df: DataFrame, dimension: str, metric: str, limit: int =
     return shown.crossJoin(F.broadcast(groups)).where("_groups >= 2").drop("_groups")
 
 
-def correlations(df: DataFrame, columns: list[str], most: int = 6) -> DataFrame:
-    """Pearson r of each pair of the first ``most`` columns: (x, y, pearson, sample_size).
+def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Pearson r of each pair of columns: (x, y, pearson, sample_size).
 
     Each row is stacked into its pairs, so one small aggregation serves all of them in one scan.
     A pair needs three rows with both numbers and two distinct values on each side among them.
     """
-    used = columns[:most]
+    used = columns
     flat = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(used)])
     pairs = list(combinations(range(len(used)), 2))
     cells = ", ".join(f"{i}, {j}, c{i}, c{j}" for i, j in pairs)

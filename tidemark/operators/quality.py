@@ -137,13 +137,13 @@ def outlier_skew(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
 
 
-def drift(df: DataFrame, columns: list[str], order_by: list[str], most: int = 6) -> DataFrame:
+def drift(df: DataFrame, columns: list[str], order_by: list[str]) -> DataFrame:
     """Earlier half of the rows against the later half, per numeric column.
 
     (column, baseline_mean, recent_mean, mean_shift_pct, status, variance_ratio). ``order_by``
     says what earlier means and must be unique. Needs twenty rows, and five values in each half.
     """
-    used = columns[:most]
+    used = columns
     keys = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(order_by)]
     slim = df.select(*keys, *[number(df, c).alias(f"_c{i}") for i, c in enumerate(used)])
     placed = number_rows(slim, [f"_k{i}" for i in range(len(order_by))]).where("row_total >= 20")

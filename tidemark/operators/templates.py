@@ -55,14 +55,21 @@ def sample_columns(df: DataFrame, columns: list[str], order_by: list[str], k: in
     return df.orderBy(*order_by).select(*columns).limit(k)
 
 
-def capped_sql(df: DataFrame, text: str, cap: int = 500, most: int = 1000) -> DataFrame:
-    """A SELECT over the table ``dataset``, cut at ``cap`` rows.
+_LITERAL = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
 
-    A final LIMIT of the query's own up to ``most`` stands; a larger one becomes ``cap``.
+
+def capped_sql(df: DataFrame, text: str, cap: int | None = None) -> DataFrame:
+    """The result of a query over the table ``dataset``; with ``cap``, so many rows at most.
+
+    Only one query is accepted: commands and several statements do not parse as one. The word
+    ``dataset`` inside a literal is left alone.
     """
-    result = df.sparkSession.sql(re.sub(r"\bdataset\b", "{dataset}", text), dataset=df)
-    own = re.search(r"\blimit\s+(\d+)\s*;?\s*$", text, re.IGNORECASE)
-    return result if own and int(own.group(1)) <= most else result.limit(cap)
+    text = text.strip().rstrip(";")
+    df.sparkSession._jsparkSession.sessionState().sqlParser().parseQuery(text)
+    text = text.replace("{", "{{").replace("}", "}}")
+    bound = re.sub(rf"({_LITERAL})|\bdataset\b", lambda m: m[1] or "{dataset}", text)
+    result = df.sparkSession.sql(bound, dataset=df)
+    return result if cap is None else result.limit(cap)
 
 
 def column_summary(df: DataFrame, column: str) -> DataFrame:

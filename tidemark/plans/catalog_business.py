@@ -379,7 +379,7 @@ def sample_columns(t):
 @query(
     "capped_sql",
     f"""SELECT o_custkey, {rnd('sum(o_totalprice)', 2)} AS spend FROM orders GROUP BY 1
-    ORDER BY spend DESC, o_custkey LIMIT 500""",
+    ORDER BY spend DESC, o_custkey LIMIT 5000""",
 )
 def capped_sql(t):
     return templates.capped_sql(
