@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import free_name, lower_ascii, words, written
+from tidemark.llm.common import WHITE_SPACE, free_name, lower_ascii, written
 
 _CELLS = 1 << 16  # of the count sketch
 _FILTER = 1 << 20  # cells of the filter that picks candidate lines from the documents
@@ -28,42 +28,48 @@ def _hashes(line: str = "line") -> list[Column]:
     return [F.xxhash64(line).alias("h"), F.xxhash64(F.lit("line"), F.col(line)).alias("g")]
 
 
-def _counted(least: int) -> Column:
-    """Whether a line can have ``least`` words: a cheap test before it is split."""
-    return F.length("line") >= 2 * least - 1
+def _counted(n: int) -> Column:
+    """Whether a line has ``n`` words; reads no more of it than those."""
+    return F.col("line").rlike(rf"(?:[^ \t-\r]+[ \t-\r]+){{{n - 1}}}[^ \t-\r]")
+
+
+def _words() -> Column:
+    """The words of a line, A-Z in lower case; ``lower`` does just that to ASCII, and faster than ``translate``."""
+    line = F.col("line")
+    line = F.when(F.length(line) == F.octet_length(line), F.lower(line)).otherwise(lower_ascii(line))
+    spaced = F.when(line.rlike(r"[\t-\r]"), F.translate(line, WHITE_SPACE, " " * len(WHITE_SPACE))).otherwise(line)
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def _grams(n: int) -> Column:
-    """Hashes of the n-word shingles of the words ``w``."""
-    w = F.col("w")
-    return F.transform(
-        F.sequence(F.lit(0), F.size("w") - n),
-        lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]),
-    )
+    """Hashes of the distinct n-word shingles of a line that has n words, in order of size."""
+
+    def hashes(w: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)])
+        )
 
+    # The array around the words names them, so that they are split once and not for each use.
+    return F.array_distinct(F.sort_array(F.get(F.transform(F.array(_words()), hashes), F.lit(0))))
 
-def _keyed(gram: Column, hot_cells: list[int]) -> Column:
-    """A gram as a token of 62 bits: in order of size, those of hot cells come last."""
-    short = F.shiftrightunsigned(gram, 2)
+
+def _rare_first(hot_cells: list[int]) -> Column:
+    """The tokens with those of hot cells last, and in order of size otherwise."""
     if not hot_cells:
-        return short
-    return F.when(F.pmod(gram, F.lit(_CELLS)).isin(hot_cells), short.bitwiseOR(F.lit(1 << 62))).otherwise(short)
+        return F.col("tokens")
+    return F.concat(
+        F.filter("tokens", lambda t: ~_cell(t).isin(hot_cells)), F.filter("tokens", lambda t: _cell(t).isin(hot_cells))
+    )
 
 
-def _tokens(lines: DataFrame, n: int, hot_cells: list[int]) -> DataFrame:
-    """Lines with ``tokens``: their distinct shingles, rare ones first."""
-    grams = lines.withColumn("w", words(lower_ascii("line"))).where(F.size("w") >= n).withColumn("grams", _grams(n)).drop("w")
-    return grams.withColumn(
-        "tokens", F.sort_array(F.array_distinct(F.transform("grams", lambda g: _keyed(g, hot_cells))))
-    ).drop("grams")
+def _cell(token: Column | str) -> Column:
+    return F.pmod(token, F.lit(_CELLS))
 
 
-def _common_cells(lines: DataFrame, n: int) -> list[int]:
+def _common_cells(tokens: DataFrame) -> list[int]:
     """Cells of a fixed-size count sketch, over all lines, that hold far more shingles than others."""
-    counts = (
-        lines.withColumn("w", words(lower_ascii("line"))).where(F.size("w") >= n)
-        .select(F.explode(_grams(n)).alias("gram"))
-        .groupBy(F.pmod("gram", F.lit(_CELLS)).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    counts = tokens.select(F.explode("tokens").alias("token")).groupBy(_cell("token").alias("cell")).agg(
+        F.count(F.lit(1)).alias("n")
     )
     found = counts.select("cell", "n").collect()
     mean = sum(r["n"] for r in found) / _CELLS
@@ -92,18 +98,20 @@ def later_lines(
     lines = _lines(docs, key, text).where(_counted(n))
     named = lines.select("doc", "at", "line", *_hashes())
     classes = written(
-        named.where(F.size(words(F.col("line"))) >= n).groupBy("h", "g").agg(
-            F.min(_place()).alias("first"), F.count(F.lit(1)).alias("copies")
-        ), "lines",
+        named.groupBy("h", "g").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("copies")), "lines",
     )
     total = classes.agg(F.sum("copies")).first()[0] or 0
     hot = classes.where(F.col("copies") > max(2, total // _HOT)).select("h", "g", F.col("first").alias("only"))
-    cells = _common_cells(lines, n)
 
     once = named.join(F.broadcast(hot), ["h", "g"], "left").where(F.col("only").isNull() | (F.col("only") == _place()))
-    tokens = _tokens(once.select("h", "line"), n, cells).select("h", F.size("tokens").alias("size"), "tokens")
+    # Half a hash is a token. Shingles that share one stay apart in the array, so sizes are right and common
+    # tokens are no fewer than common shingles: this finds candidates, and whole hashes verify them.
+    tokens = written(
+        once.select("h", F.transform(_grams(n), lambda g: F.shiftright(g, 32).cast("int")).alias("tokens")), "line-tokens"
+    )
+    ordered = tokens.select("h", F.size("tokens").alias("size"), _rare_first(_common_cells(tokens)).alias("tokens"))
     prefix = F.col("size") - F.ceil(F.col("size") * num / den).cast("int") + 1
-    heads = tokens.select("h", "size", F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("pos", "token"))
+    heads = ordered.select("h", "size", F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("pos", "token"))
     heads = heads.select("token", "h", "size", "pos").repartition("token").distinct()
     one, two = heads.alias("one"), heads.alias("two")
     fits = (F.col("one.h") < F.col("two.h")) & (
@@ -123,7 +131,7 @@ def later_lines(
         "h", "g", "line"
     )
     sets = written(
-        _tokens(picked.join(wanted, "h", "left_semi").dropDuplicates(["h", "g"]), n, cells).select("h", "g", "tokens"),
+        picked.join(wanted, "h", "left_semi").dropDuplicates(["h", "g"]).select("h", "g", _grams(n).alias("tokens")),
         "line-sets",
     )
 
