@@ -41,6 +41,15 @@ def test_a_mixed_folder_becomes_one_table(spark, tmp_path):
     ]
 
 
+def test_headers_in_another_order_and_quoted_line_breaks(spark, tmp_path):
+    folder = tmp_path / "in"
+    write(folder, "a.csv", b"id,name\n1,ant\n")
+    write(folder, "b.csv", b"name,id\ncat,3\n")
+    write(folder, "c.csv", b'id,name\n5,"a\nb"\n')
+    rows = delimited.csv_folder(spark, str(folder)).collect()
+    assert {(r["id"], r["name"]) for r in rows} == {("1", "ant"), ("3", "cat"), ("5", "a\nb")}
+
+
 def test_windows_dash_far_into_the_file(spark, tmp_path):
     lines = ["order_id,region_range,sales"] + [f"{i},North,{i}" for i in range(6000)]
     data = ("\n".join(lines) + "\n6001,North \x96 South,5\n").encode("latin-1")

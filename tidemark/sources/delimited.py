@@ -20,12 +20,18 @@ _NEVER = "\x00"
 
 
 def csv_dialects(spark: SparkSession, path: str) -> DataFrame:
-    """(path, encoding, sep) of each file below ``path``.
+    """(path, encoding, sep) of each file below ``path``, as :func:`_files` finds them."""
+    return _files(spark, path).select("path", "encoding", "sep")
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, encoding, sep, header, broken) of each file below ``path``.
 
     Encoding: a byte-order mark, else UTF-8 if every line is, else Windows-1252 if no line holds a
     byte it leaves undefined, else Latin-1. All lines of a file are looked at, in splits, so a
     large file is not read by one task. Separator: the one found equally often, and most often, in
     each of the first ten lines that are not blank; else the most frequent in the first line.
+    Header: the first line that is not blank, as Latin-1. Broken: whether a line leaves a quote open.
     """
     raw = spark.read.text(path).select(
         "value",
@@ -40,6 +46,7 @@ def csv_dialects(spark: SparkSession, path: str) -> DataFrame:
         F.min(F.when(F.col("block") == 0, start))["b"].alias("mark"),
         F.min(F.is_valid_utf8("value").cast("int")).alias("utf8"),
         F.max(latin.rlike(_UNDEFINED).cast("int")).alias("undefined"),
+        F.max((F.length(latin) - F.length(F.replace(latin, F.lit('"'), F.lit("")))) % 2 == 1).alias("broken"),
     )
     mark = F.col("mark")
     encoding = (
@@ -58,6 +65,7 @@ def csv_dialects(spark: SparkSession, path: str) -> DataFrame:
         return F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit("")))
 
     counted = head.groupBy("path").agg(
+        F.max(F.when(F.col("n") == 1, latin)).alias("header"),
         *[
             fold(value).alias(f"{name}{i}")
             for i, sep in enumerate(DELIMITERS)
@@ -84,7 +92,7 @@ def csv_dialects(spark: SparkSession, path: str) -> DataFrame:
         F.greatest(*frequent)["sep"]
     )
     return files.join(counted, "path", "left").select(
-        "path", encoding.alias("encoding"), F.coalesce(sep, F.lit(",")).alias("sep")
+        "path", encoding.alias("encoding"), F.coalesce(sep, F.lit(",")).alias("sep"), "header", "broken"
     )
 
 
@@ -154,16 +162,16 @@ def _present(text: Column) -> Column:
 
 
 def csv_folder(spark: SparkSession, path: str) -> DataFrame:
-    """All files below ``path``, each read in its own dialect, as one table.
+    """All files below ``path``, each read in its own dialect and under its own header, as one table.
 
-    Files are grouped by dialect, so there are at most a couple of dozen reads however many files
-    there are. Columns that a file lacks are null.
+    Files are grouped by dialect and header, so there are as many reads as kinds of files, however
+    many files there are. Files with line breaks inside quotes are read whole, the others in splits.
+    Columns are matched by name; those that a file lacks are null.
     """
-    dialects = csv_dialects(spark, path).groupBy("encoding", "sep").agg(
-        F.sort_array(F.collect_list("path")).alias("paths")
-    )
+    kinds = ["encoding", "sep", "header", "broken"]
+    groups = _files(spark, path).groupBy(*kinds).agg(F.sort_array(F.collect_list("path")).alias("paths"))
     parts = [
-        csv_source(spark, row["paths"], row["sep"], row["encoding"])
-        for row in dialects.orderBy("encoding", "sep").collect()
+        csv_source(spark, row["paths"], row["sep"], row["encoding"], multiline=row["broken"])
+        for row in groups.orderBy(*kinds).collect()
     ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
