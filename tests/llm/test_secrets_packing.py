@@ -42,6 +42,20 @@ def test_random_strings_and_what_is_excluded():
     assert secret_scan.spans_of(text, BYTES)[0][1:3] == (51, 51 + len(random))
 
 
+def test_dotted_tokens_and_random_letters_of_one_case():
+    token = ["eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9", "eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4gRG9lIiwiaWF0IjoxNTE2MjM5MDIyfQ",
+             "SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV_adQssw5c"]
+    assert kinds(f"see {'.'.join(token)}.") == [("random", part) for part in token]
+    key = ["q7Zp2LxV9Rk4TnW8sYb3Hd", "mW4kQ9zX2vB7nL5cR8tY1pD6sF3gH0jKaUeIoPqZxNw"]
+    assert kinds(f"SG.{key[0]}.{key[1]}") == [("random", part) for part in key]
+    assert kinds("www.internationalization.example.com/documentation/settings/account.html") == []
+    for word in ("qzxkvjwpbnmtrqhgdzfk", "QZXKVJWPBNMTRQHGDZFK", "qzxkvjw-pbnmtrq-hgdzfk"):
+        assert kinds(f"a {word} b") == [("random", word)]
+    for word in ("internationalization", "UNCHARACTERISTICALLY", "rechtsschutzversicherungsgesellschaften",
+                 "state-of-the-art-in-the-world", "a-b-c-d-e-f-g-h-i-j-k", "a+b+c+d+e+f+g+h+i+j=k", "src/main/java/org/qzxw/util"):
+        assert kinds(f"a {word} b") == []
+
+
 def test_scan_against_a_loop(spark, folder):
     out = {r.doc_id: r for r in entry.queries()["op4_secret_scans"](spark, folder).collect()}
     docs = spark.read.parquet(f"{folder}/documents.parquet").collect()

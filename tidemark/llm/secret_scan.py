@@ -20,7 +20,7 @@ BASE = [
 #: Hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGEST_SIZES = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-RUN = re.compile(r"(?<![\w+/=.-])[A-Za-z0-9+/_=-]{20,}(?![\w+/=-])")
+RUN = re.compile(r"(?<![\w+/=-])[A-Za-z0-9+/_=-]{20,}(?![\w+/=-])")
 _PATTERNS = [(kind, re.compile(pattern, re.ASCII), group, least) for kind, pattern, group, least in BASE]
 
 
@@ -34,13 +34,28 @@ def _encoder(path: str):
     return tiktoken.Encoding("scan", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _unlike_words(text: str, path: str, ratio: float) -> bool:
+    """Whether the runs of letters in a text have few characters a token, in both cases.
+
+    One or two letters that are a token are left out: they say nothing, as in ``a-b-c`` or ``of``.
+    """
+    encode, letters, tokens = _encoder(path).encode_ordinary, 0, 0
+    for part in re.findall(r"[A-Za-z]+", text):
+        size = min(len(encode(part)), len(encode(part.lower())))
+        if size > 1 or len(part) > 2:
+            letters, tokens = letters + len(part), tokens + size
+    return letters < ratio * tokens
+
+
 def _random(text: str, path: str, ratio: float) -> bool:
-    """Whether a run is neither a word, an identifier nor a digest, and few characters make a token."""
+    """Whether a run has letters, is neither an identifier nor a digest, and few characters make a token."""
     kinds = [any(c.isdigit() for c in text), any(c.isupper() for c in text), any(c.islower() for c in text)]
-    if sum(kinds) < 2 or not kinds[0] and re.fullmatch(r"(?:[A-Z]?[a-z]+|[A-Z]+)(?:[-_/](?:[A-Z]?[a-z]+|[A-Z]+))*", text):
+    if not any(kinds[1:]):
         return False
     if UUID.fullmatch(text) or re.fullmatch(r"[0-9A-Fa-f]+", text) and len(text) in DIGEST_SIZES:
         return False
+    if sum(kinds) < 2 or not kinds[0] and re.fullmatch(r"(?:[A-Z]?[a-z]+|[A-Z]+)(?:[-_/](?:[A-Z]?[a-z]+|[A-Z]+))*", text):
+        return _unlike_words(text, path, ratio)
     return len(text) < ratio * len(_encoder(path).encode_ordinary(text))
 
 
@@ -66,11 +81,12 @@ def scan_secrets(
 
     ``assign``, ``access`` and ``hex`` are the leftmost non-overlapping matches of the patterns,
     less those that are too short. ``random`` marks a further run of 20 or more characters of
-    base64 or a name that no such match touches: of at least two kinds of characters, not a plain
-    compound of words, a UUID or a digest of a known length, and with fewer than ``ratio``
-    characters a token under the tiktoken vocabulary at ``vocabulary`` (a file on every machine;
-    None: ``byte_bpe_50k.tiktoken`` of the installed public tokenizers). Places are code points,
-    ends exclusive; they are in order of start.
+    base64 or a name that no such match touches: with a letter, not a UUID or a digest of a known
+    length, and with fewer than ``ratio`` characters a token under the tiktoken vocabulary at
+    ``vocabulary`` (a file on every machine; None: ``byte_bpe_50k.tiktoken`` of the installed
+    public tokenizers). Of a run without digits that is a compound of words, or of letters of one
+    case, only the letters are judged. Dots end a run: each segment of a dotted string is judged by
+    itself. Places are code points, ends exclusive; they are in order of start.
 
     A null or empty text has an empty array. Rows and other columns stay as they are; a column
     ``into`` of the input is replaced.
