@@ -137,11 +137,10 @@ def invalid_counts(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
 def case_variants(counts: DataFrame, most: int = 10) -> DataFrame:
     """(column, normalized, spellings, variants) where values differ only by case.
 
-    Takes (column, value) histogram rows. The list keeps the first spellings in order; the count
-    is of all of them.
+    Takes (column, value) histogram rows. The list keeps the first ``most`` spellings in order; the
+    count is of all of them, and :func:`case_spellings` lists them all.
     """
-    present = counts.where(F.col("value").isNotNull() & (strip(F.col("value")) != ""))
-    folded = present.select("column", "value", F.lower("value").alias("normalized"))
+    folded = _folded(counts)
     line = Window.partitionBy("column", "normalized").orderBy("value")
     placed = folded.withColumn("_at", F.row_number().over(line))
     shown = F.collect_list(F.when(F.col("_at") <= most, F.col("value")))
@@ -151,6 +150,23 @@ def case_variants(counts: DataFrame, most: int = 10) -> DataFrame:
     return spelled.where("spellings > 1")
 
 
+def case_spellings(counts: DataFrame) -> DataFrame:
+    """(column, normalized, value): one row for every spelling of values that differ only by case."""
+    folded = _folded(counts)
+    several = folded.groupBy("column", "normalized").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return folded.join(several, ["column", "normalized"], "left_semi").select("column", "normalized", "value")
+
+
+def _folded(counts: DataFrame) -> DataFrame:
+    """Present values with their text in lower case, or the key of that where the value is a key."""
+    present = counts.where(F.col("value").isNotNull() & (strip(F.col("value")) != ""))
+    lower = F.lower("value")
+    if "long_folded" in counts.columns:
+        present = present.where(F.col("long_boolean").isNull() | F.col("long_folded").isNotNull())
+        lower = F.coalesce("long_folded", lower)
+    return present.select("column", "value", lower.alias("normalized"))
+
+
 def duplicate_groups(df: DataFrame) -> DataFrame:
     """The rows that occur more than once, each once, with ``copies``. Null equals null.
 

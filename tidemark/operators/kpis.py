@@ -76,8 +76,8 @@ def distinct_labels(column: str, kind: str) -> list[str]:
 def kpi_distinct(df: DataFrame, kinds: dict[str, str], approx: bool = False) -> DataFrame:
     """Distinct counts of the columns whose meaning calls for one.
 
-    Categories and sources count only up to 100 values. Columns are stacked first, so several
-    exact counts share one grouping instead of multiplying the rows per count.
+    Columns are stacked first, so several exact counts share one grouping instead of multiplying
+    the rows per count.
     """
     wanted = [(c, k, label) for c, k in kinds.items() for label in distinct_labels(c, k)]
     columns = list(dict.fromkeys(c for c, _, _ in wanted))
@@ -90,11 +90,8 @@ def kpi_distinct(df: DataFrame, kinds: dict[str, str], approx: bool = False) ->
     counts = stacked.groupBy("column").agg(count.alias("n"))
     one_row = counts.groupBy().pivot("column", columns).agg(F.first("n"))
     entries = []
-    for column, kind, label in wanted:
-        value = F.col(f"`{column}`")
-        if kind in ("category", "source"):
-            value = F.when(value <= 100, value)
-        entries.append((label, value, "count", f"COUNT(DISTINCT {column})"))
+    for column, _, label in wanted:
+        entries.append((label, F.col(f"`{column}`"), "count", f"COUNT(DISTINCT {column})"))
     return as_kpis(one_row, entries)
 
 

@@ -78,22 +78,37 @@ def value_histogram(df: DataFrame, columns: list[str] | None = None) -> DataFram
     One grouping of the stacked columns serves distinct counts, modes, flags, case variants and
     classification. Partial aggregation folds frequent values before the shuffle. Values longer
     than 128 characters are keyed by their SHA-256, so long texts are not shuffled; what the
-    classification needs of them is worked out before.
+    classification and the case variants need of them is worked out before (``long_*``, null for
+    short values): every test of the content, and the key of the text in lower case.
     """
     used = columns or df.columns
     cells = ", ".join(f"{quoted(c)}, CAST(`{c}` AS STRING)" for c in used)
     stacked = df.select(F.expr(f"stack({len(used)}, {cells}) AS (column, text)"))
     text = F.col("text")
     long = F.length(text) > _SHORT
+    facts = {f"long_{name}": F.when(long, test) for name, test in _content_tests(strip(text)).items()}
+    facts["long_folded"] = F.when(long & (strip(text) != ""), _key(F.lower(text)))
     keyed = stacked.select(
         "column",
-        F.when(long, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text).alias("value"),
-        F.when(long, is_email(strip(text))).alias("long_email"),
-        F.when(long, to_number(strip(text)).isNotNull()).alias("long_number"),
-    )
-    return keyed.groupBy("column", "value", "long_email", "long_number").agg(
-        F.count(F.lit(1)).alias("hits")
+        F.when(long, _key(text)).otherwise(text).alias("value"),
+        *[fact.alias(name) for name, fact in facts.items()],
     )
+    return keyed.groupBy("column", "value", *facts).agg(F.count(F.lit(1)).alias("hits"))
+
+
+def _key(text: Column) -> Column:
+    return F.concat(F.lit("sha256:"), F.sha2(text, 256))
+
+
+def _content_tests(text: Column) -> dict[str, Column]:
+    return {
+        "email": is_email(text),
+        "date": to_timestamp_mixed(text).isNotNull(),
+        "phone": is_phone(text),
+        "phone_length": has_phone_length(text),
+        "boolean": F.lower(text).isin(BOOLEAN_WORDS),
+        "number": to_number(text).isNotNull(),
+    }
 
 
 def _lookup(values: dict[str, object]) -> Column:
@@ -108,15 +123,8 @@ def classify_columns(df: DataFrame, counts: DataFrame | None = None) -> DataFram
     other names, phones, booleans, numbers, categories, text.
     """
     counts = value_histogram(df) if counts is None else counts
-    text = F.col("text")
-    short = F.col("long_email").isNull()
     tests = {
-        "email": F.coalesce("long_email", is_email(text)),
-        "date": short & to_timestamp_mixed(text).isNotNull(),
-        "phone": short & is_phone(text),
-        "phone_length": short & has_phone_length(text),
-        "boolean": F.lower(text).isin(BOOLEAN_WORDS),
-        "number": F.coalesce("long_number", to_number(text).isNotNull()),
+        name: F.coalesce(f"long_{name}", test) for name, test in _content_tests(F.col("text")).items()
     }
     judged = counts.withColumn("text", strip(F.col("value"))).select(
         "column",

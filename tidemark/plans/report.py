@@ -47,7 +47,7 @@ def auto_charts(
     decide which charts there are; each chart is an ordinary chart query, and all of them are
     parts of one plan.
     """
-    numbers = [c for c in kinds if kinds[c] in NUMBER_KINDS][:6]
+    numbers = [c for c in kinds if kinds[c] in NUMBER_KINDS]
     wide = [c for c in kinds if kinds[c] in DIMENSION_KINDS and 1 < distinct.get(c, 0) <= 30]
     narrow = [c for c in wide if distinct[c] <= 25]
     metric = revenue or (numbers[0] if numbers else None)
@@ -62,12 +62,12 @@ def auto_charts(
     if date:
         line = series.time_series(df, date, revenue)
         add("trend", "line", line, "period", "value")
-    for c in numbers[:3]:
+    for c in numbers:
         add(f"hist_{c}", "histogram", charts.histogram(df, c, min_bins=5), "bin", "count")
-    for c in [c for c in wide if distinct[c] <= 6][:2]:
+    for c in [c for c in wide if distinct[c] <= 6]:
         add(f"pie_{c}", "pie", charts.group_counts(df, c), "label", "value")
     if not revenue:
-        for c in narrow[:3]:
+        for c in narrow:
             if numbers:
                 rows = charts.metric_by_dimension(df, c, numbers[0])
                 add(f"avg_{c}_{numbers[0]}", "bar", rows, "label", "value")
