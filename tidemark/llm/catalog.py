@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import (
-    embedding_dedup, html, line_dedup, mixing, ngram_join, packing, quality, secret_scan, sharding, urls,
+    embedding_dedup, html, line_dedup, mixing, ngram_join, packing, periodic_runs, quality, secret_scan, sharding,
+    token_counts, urls, vector_codes,
 )
 from tidemark.session import literal_rows
 
@@ -132,6 +133,64 @@ def line_dedup_documents(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.drop_later_lines(documents).select("doc_id", "n_removed", "text")
 
 
+@query("op11_periodic_runs")
+def found_runs(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return periodic_runs.find_runs(documents, text=periodic_runs.repeat_tails(documents))
+
+
+@query("op12_token_counts")
+def counted_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    model = str(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.count_tokens(table(spark, folder, "documents"), model, limit=4096)
+
+
+_FOUR = "struct_pack(a := x[1], b := x[2], c := x[3], d := x[4])"
+_DISTANCE = " + ".join(f"(s.x.{c} - b.x.{c}) * (s.x.{c} - b.x.{c})" for c in "abcd")
+
+
+def _round(number: int) -> str:
+    """The assignment under codebook ``number`` and the codebook after it, as two named queries."""
+    return f"""
+assigned{number} AS (
+  SELECT s.vec_id, s.p, any_value(s.x) AS x, min(({_DISTANCE}) * 64 + b.e) AS best
+  FROM split s JOIN book{number} b ON b.p = s.p GROUP BY s.vec_id, s.p),
+book{number + 1} AS (
+  SELECT b.p, b.e, CASE WHEN n IS NULL THEN b.x ELSE struct_pack({", ".join(
+      f"{c} := CAST(floor(CAST({c} AS DOUBLE) / n) AS BIGINT)" for c in "abcd")}) END AS x
+  FROM book{number} b LEFT JOIN (
+    SELECT p, best % 64 AS e, count(*) AS n, {", ".join(f"sum(x.{c}) AS {c}" for c in "abcd")}
+    FROM assigned{number} GROUP BY p, best % 64) m ON m.p = b.p AND m.e = b.e)"""
+
+
+@query("op13_vector_codes", f"""
+WITH kept AS (
+  SELECT vec_id, label, [CAST(floor(CAST(c AS DOUBLE) * 256) AS BIGINT) FOR c IN embedding] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len([1 FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0),
+split AS (
+  SELECT vec_id, p, {_FOUR} AS x
+  FROM (SELECT vec_id, t.p, v[4 * t.p + 1:4 * t.p + 4] AS x FROM kept, range(16) t(p))),
+book0 AS (
+  SELECT p, e, x FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM split) WHERE e < 64),
+{_round(0)},
+{_round(1)},
+{_round(2)},
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', best % 64), '' ORDER BY p) AS code,
+         CAST(sum(best // 64) AS BIGINT) AS error FROM assigned2 GROUP BY vec_id),
+books AS (
+  SELECT sha256(string_agg(concat_ws(',', x.a, x.b, x.c, x.d), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book2)
+SELECT c.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error,
+       codebooks_sha256
+FROM coded c JOIN kept k ON k.vec_id = c.vec_id CROSS JOIN books
+""")
+def vector_code_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compress_vectors(table(spark, folder, "embeddings"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
