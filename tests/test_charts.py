@@ -1,5 +1,7 @@
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +140,28 @@ def test_gauge_share_is_of_everything(spark):
     row = charts.gauge(df, "v", "pct").first()
     assert (row["value"], row["max"], row["pct"]) == (100.0, 100.0, 100.0)
     assert charts.gauge(df, "v", "median").first()["value"] == 2.5
+
+
+def test_correlations_of_a_hundred_columns_in_one_pass(spark):
+    rng = np.random.default_rng(5)
+    values = rng.normal(size=(400, 100)) + 1e6
+    values[:, 1] = 3 * values[:, 0] + rng.normal(size=400)
+    values[rng.random(values.shape) < 0.2] = np.nan
+    values[:, 7] = 4.25
+    pdf = pd.DataFrame(values, columns=[f"c{i}" for i in range(100)])
+    df = spark.createDataFrame(pdf).repartition(5)
+    rows = {(r.x, r.y): r for r in charts.correlations(df, pdf.columns.tolist()).collect()}
+    want, seen = pdf.corr(), pdf.notna().astype(int)
+    assert len(rows) == 99 * 98 // 2 and not any("c7" in pair for pair in rows)
+    for (x, y), r in rows.items():
+        assert r.sample_size == (seen[x] * seen[y]).sum()
+        assert r.pearson == pytest.approx(want.loc[x, y], abs=6e-5)
+    text = charts.correlations(df, ["c0", "c1"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in text and "stack" not in text
+
+
+def test_pair_moments_far_from_zero_and_empty(spark):
+    df = spark.range(1000).select((F.col("id") + 10**12).cast("double").alias("a"), (F.col("id") * 2).alias("b"), F.lit(None).cast("double").alias("z"))
+    assert [(r.x, r.y, r.pearson, r.sample_size) for r in charts.correlations(df, ["a", "b", "z"]).collect()] == [("a", "b", 1.0, 1000)]
+    assert charts.correlations(df.limit(0), ["a", "b"]).collect() == []
+    assert charts.correlations(df, ["a"]).collect() == []

@@ -69,10 +69,25 @@ def test_first_of_duplicates_folds_before_the_shuffle(spark, folder):
     assert text.count("partial_min") == 1 and "Window" not in text
 
 
-def test_brackets_send_few_rows_of_a_large_group(spark, monkeypatch):
-    """With the small-group rule off, the counted rows are a sliver of the values."""
-    monkeypatch.setattr(quantiles, "_SMALL_GROUP", 0)
-    df = spark.range(200_000).select((F.col("id") * 7919 % 200_003).cast("double").alias("v"))
+def test_the_last_quantile_pass_counts_few_rows(spark, monkeypatch):
+    """Cells of a continuous column are cut until few rows are counted one by one, at any size."""
+    monkeypatch.setattr(quantiles, "_BOUNDED", 500)
+    monkeypatch.setattr(quantiles, "_CELLS", 4)
+    seen, keep = [], quantiles._as_literals
+
+    def watched(state):
+        kept = keep(state)
+        seen.append(kept[1])
+        return kept
+
+    monkeypatch.setattr(quantiles, "_as_literals", watched)
+    df = spark.range(200_000).select((1e6 + F.col("id") * 7919 % 200_003).cast("double").alias("v"))
     got = quantiles.grouped_quantiles(df, [], F.col("v"), {"m": 0.5})
-    want = df.selectExpr("percentile(v, 0.5)").first()[0]
-    assert got.first()["m"] == want
+    assert got.first()["m"] == df.selectExpr("percentile(v, 0.5)").first()[0]
+    assert len(seen) >= 3 and seen == sorted(seen, reverse=True) and seen[-1] <= 500
+
+
+def test_a_column_of_few_values_needs_one_pass(spark):
+    df = spark.range(10_000).select((F.col("id") % 50).cast("double").alias("v"))
+    got = quantiles.grouped_quantiles(df, [], F.col("v"), {"q1": 0.25, "m": 0.5})
+    assert "Exchange" not in plan(got) and tuple(got.first())[3:] == (12.0, 24.5)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import quantiles
-from tidemark.operators.ranks import number_rows, quantile_score
+from tidemark.operators.ranks import number_rows, score_cuts
 
 
 def test_positions_with_heavy_ties(spark):
@@ -33,11 +33,10 @@ def test_nulls_come_first(spark):
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 9, 11, 101])
-def test_scores_are_equal_frequency_cuts(spark, n):
+def test_scores_are_equal_frequency_cuts(n):
     ranks = pd.Series(range(1, n + 1))
     want = list(pd.qcut(ranks, q=min(5, n), labels=False, duplicates="drop") + 1)
-    df = spark.range(1, n + 1).select(quantile_score(F.col("id"), F.lit(n)).alias("s"), "id")
-    assert [r["s"] for r in df.orderBy("id").collect()] == want
+    assert [1 + sum(p > cut for cut in score_cuts(n)) for p in ranks] == want
 
 
 def make_values(spark):
@@ -56,21 +55,19 @@ def make_values(spark):
     )
 
 
-@pytest.mark.parametrize("small, few", [(100_000, 100_000), (50, 100_000), (50, 0)])
-def test_group_quantiles_are_exact(spark, monkeypatch, small, few):
-    """With the small-group rule and without it, with broadcast brackets and with shuffled ones."""
-    monkeypatch.setattr(quantiles, "_SMALL_GROUP", small)
-    monkeypatch.setattr(quantiles, "_FEW_GROUPS", few)
+@pytest.mark.parametrize("bounded, cells, few", [(65_536, 65_536, True), (65_536, 65_536, False), (10, 8, True), (3, 2, False)])
+def test_group_quantiles_are_exact(spark, monkeypatch, bounded, cells, few):
+    """In one pass and in many, with cells as literals and as a written table."""
+    monkeypatch.setattr(quantiles, "_BOUNDED", bounded)
+    monkeypatch.setattr(quantiles, "_CELLS", cells)
     pdf, df = make_values(spark)
     wanted = {"a": 0.1, "q1": 0.25, "m": 0.5, "q3": 0.75}
-    got = quantiles.grouped_quantiles(
-        df, ["g"], F.col("v"), wanted, {"top": F.max("_v")}, accuracy=200
-    ).collect()
+    got = quantiles.grouped_quantiles(df, ["g"], F.col("v"), wanted, few_groups=few).collect()
     assert {r["g"] for r in got} == {"wide", "ties", "one", "two", None}
     for row in got:
         part = pdf[pdf["g"].isna() if row["g"] is None else pdf["g"] == row["g"]]["v"].to_numpy()
         assert row["n"] == len(part)
-        assert row["top"] == part.max()
+        assert (row["least"], row["most"]) == (part.min(), part.max())
         for name, p in wanted.items():
             assert row[name] == pytest.approx(np.quantile(part, p), abs=1e-12)
 

@@ -1,11 +1,12 @@
 import datetime as dt
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.session import literal_rows
-from tidemark.sources import browse, delimited, sinks
+from tidemark.sources import browse, delimited, records, sinks
 from tidemark.streaming import windows
 
 
@@ -136,3 +137,43 @@ def test_rules_on_windows(spark):
                          "rule_id int,metric string,condition string,threshold double,severity string")
     rows = windows.stream_rule_alerts(windows.stream_kpis(df, "ts", "v", "kind"), rules).collect()
     assert {r["rule_id"]: r["observed"] for r in rows} == {1: 12.0, 3: 6.0}
+
+
+def test_quotes_open_at_the_start_of_a_value():
+    for line, before, after in [
+        (b"a,b", False, False), (b'a,"b', False, True), (b'"a', False, True), (b'a"b,c', False, False), (b'5" pipe,"x"', False, False),
+        (b'"a ""b"" c",d', False, False), (b'"a ""b', False, True), (b'end",x', True, False), (b'still "" open', True, True),
+        (b'end","again', True, True), (b'""', False, False), (b'"""', False, True), (b'"', True, False), (b"", True, True),
+    ]:
+        assert records.quote_open(line, b",", before) is after, line
+
+
+@pytest.mark.parametrize("ending", ["\n", "\r\n"])
+def test_large_files_with_quoted_breaks_are_read_in_splits(spark, tmp_path, ending):
+    rng, rows = random.Random(4), []
+    for i in range(3000):
+        note = rng.choice(["plain", 'in "quotes"', "two\nlines", "a\n\nb, c", "x" * rng.randint(0, 300), '\n"\n', ""])
+        rows.append((str(i), note, str(i * 7)))
+    body = "id,note,n" + ending
+    for row in rows:
+        body += ",".join('"' + v.replace('"', '""') + '"' if any(c in v for c in '\n",') else v for v in row) + ending
+    path = write(tmp_path / "in", "a.csv", body.encode())
+    write(tmp_path / "in", "b.csv", f"id,note,n{ending}x,5\" pipe,1{ending}y,\"open{ending}end\",2{ending}1,2,3,4{ending}".encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        frame = delimited.csv_source(spark, path, multiline=True)
+        got = {r["id"]: (r["note"], r["n"]) for r in frame.collect()}
+        assert records._lines(spark, path).select("path", "block").distinct().count() > 5
+        counts = delimited.csv_line_counts(spark, path, multiline=True).first()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert {k: v for k, v in got.items() if k.isdigit()} == {i: (note or None, n) for i, note, n in rows}
+    assert got["x"] == ('5" pipe', "1") and got["y"] == (f"open{ending}end", "2")
+    assert tuple(counts) == (3003, 3002, 0, 1)
+
+
+def test_lines_of_the_wrong_length_are_counted(spark, tmp_path):
+    path = write(tmp_path / "rag", "a.csv", b'a,b,c\n1,2,3\n4,5\n6,7,8,9\n6,7,8,\n"x, y",NA,""\n')
+    assert delimited.csv_line_counts(spark, path).first().asDict() == {"records": 5, "read": 3, "padded": 1, "skipped": 2}
+    assert delimited.csv_line_counts(spark, path, multiline=True).first().asDict() == {"records": 5, "read": 3, "padded": 1, "skipped": 2}

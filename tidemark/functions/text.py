@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from tidemark.functions.date_grammar import to_timestamp_mixed
 from tidemark.functions.fixed_values import (
-    DATE_FORMATS,
     EMAIL,
     FALSE_WORDS,
     NULL_TOKENS,
@@ -40,28 +40,13 @@ def quoted(text: str) -> str:
 
 def to_number(text: Column) -> Column:
     """A number with currency, percent and grouping signs dropped; ``(x)`` means ``-x``."""
-    bare = F.translate(text, NUMBER_SYMBOLS.strip("[]"), "")
+    bare = F.translate(text, NUMBER_SYMBOLS, "")
     signed = F.when(
         bare.startswith("(") & bare.endswith(")"), F.regexp_replace(bare, r"^\((.*)\)$", "-$1")
     ).otherwise(bare)
     return parse_number(signed)
 
 
-def to_timestamp_mixed(text: Column) -> Column:
-    """A timestamp from any of the published date shapes, null when none fits.
-
-    The shape is matched first, so a value is parsed once and a failing parse is rare.
-    """
-    ladder = F
-    for shape, form in DATE_FORMATS:
-        if form is None:
-            parsed = text.try_cast("timestamp_ntz")
-        else:
-            parsed = F.try_to_timestamp(text, F.lit(form)).cast("timestamp_ntz")
-        ladder = ladder.when(text.rlike(shape), parsed)
-    return ladder
-
-
 def to_boolean(text: Column) -> Column:
     word = F.lower(strip(text))
     return F.when(word.isin(TRUE_WORDS), True).when(word.isin(FALSE_WORDS), False)

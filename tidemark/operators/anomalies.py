@@ -91,17 +91,11 @@ def iqr_anomalies(
         ["column"],
         F.col("v"),
         {"q25": 0.25, "q75": 0.75},
-        {
-            "mean": F.avg("_v"),
-            "std": F.stddev_samp("_v"),
-            "_least": F.min("_v"),
-            "_most": F.max("_v"),
-        },
         few_groups=True,
     ).where("n >= 8 and q75 > q25")
     iqr = F.col("q75") - F.col("q25")
     fenced = boxes.select(
-        F.col("column").alias("_c"), "n", "mean", "std", "q25", "q75", "_least", "_most",
+        F.col("column").alias("_c"), "n", "q25", "q75", "least", "most",
         (F.col("q25") - k * iqr).alias("low"),
         (F.col("q75") + k * iqr).alias("high"),
     )
@@ -109,14 +103,16 @@ def iqr_anomalies(
     # One fence row per judged column, so no more rows than columns are broadcast.
     found = (
         rows.join(F.broadcast(fenced), F.col("column") == F.col("_c"))
-        .groupBy("column", "mean", "std", "q25", "q75", "low", "high")
+        .groupBy("column", "q25", "q75", "low", "high")
         .agg(
+            F.avg(v).alias("mean"),
+            F.stddev_samp(v).alias("std"),
             F.count(F.when(v > F.col("high"), 1)).alias("above"),
             F.count(F.when(v < F.col("low"), 1)).alias("below"),
             F.max(F.when(v > F.col("high"), v)).alias("_top"),
             F.min(F.when(v < F.col("low"), v)).alias("_bottom"),
-            F.min(F.when(v > F.col("_least"), v)).alias("_second"),
-            F.max(F.when(v < F.col("_most"), v)).alias("_before_last"),
+            F.min(F.when(v > F.col("least"), v)).alias("_second"),
+            F.max(F.when(v < F.col("most"), v)).alias("_before_last"),
         )
         .where("above + below > 0 and _second < _before_last")
     )

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.dates import CHART_GRAINS, chart_label, choose_grain, whole_days
 from tidemark.functions.numbers import is_temporal, measure, number, percent
+from tidemark.operators.comoments import pair_moments
 from tidemark.operators.quantiles import grouped_quantiles
 from tidemark.operators.ranks import number_rows
+from tidemark.operators.selection import half_of, rows_after
 
 
 def date_bucket(
@@ -347,18 +347,17 @@ def box_stats(
         ["category"],
         number(labelled, value),
         {"q1": 0.25, "median": 0.5, "q3": 0.75},
-        {"_least": F.min("_v"), "_most": F.max("_v")},
         few_groups=True,
     )
     iqr = F.col("q3") - F.col("q1")
     return boxes.where(F.col("n") >= min_rows).select(
         "category",
         F.col("n").alias("count"),
-        F.greatest(F.col("_least"), F.col("q1") - 1.5 * iqr).alias("low"),
+        F.greatest(F.col("least"), F.col("q1") - 1.5 * iqr).alias("low"),
         "q1",
         "median",
         "q3",
-        F.least(F.col("_most"), F.col("q3") + 1.5 * iqr).alias("high"),
+        F.least(F.col("most"), F.col("q3") + 1.5 * iqr).alias("high"),
     )
 
 
@@ -464,7 +463,7 @@ def gauge(df: DataFrame, metric: str, agg: str = "sum") -> DataFrame:
     """One row: value, min, max, target (80 % of max) and the value's place in the range."""
     value = number(df, metric)
     if agg == "median":
-        core = grouped_quantiles(df, [], value, {"value": 0.5}, {"_lo": F.min("_v"), "_hi": F.max("_v")})
+        core = grouped_quantiles(df, [], value, {"value": 0.5}).withColumnsRenamed({"least": "_lo", "most": "_hi"})
     elif agg == "pct":
         core = df.agg(
             F.when(F.sum(value) != 0, F.lit(100.0)).otherwise(F.lit(0.0)).alias("value"),
@@ -494,22 +493,16 @@ def gauge(df: DataFrame, metric: str, agg: str = "sum") -> DataFrame:
     )
 
 
-def _dated_positions(df: DataFrame, metric: str, order_by: list[str]) -> DataFrame:
-    date, *rest = order_by
-    columns = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(order_by)]
-    slim = df.where(F.col(f"`{date}`").isNotNull()).select(*columns, number(df, metric).alias("_m"))
-    return number_rows(slim, [f"_k{i}" for i in range(len(order_by))])
-
-
 def kpi_card(df: DataFrame, metric: str, order_by: list[str], agg: str = "sum") -> DataFrame:
     """The value over all rows against the same measure over the earlier half of them.
 
     ``order_by`` is the date column followed by the columns that make the order unique. The prior
     value needs four dated rows; the variance is of its magnitude. The target is 15 % above.
+    The middle row is found by counting, so no row is sorted.
     """
-    placed = _dated_positions(df, metric, order_by)
-    early = F.col("row_number") <= F.floor(F.col("row_total") / 2)
-    prior = placed.where(early & (F.col("row_total") >= 4)).withColumn("_one", F.lit(1))
+    dated = df.where(F.col(f"`{order_by[0]}`").isNotNull())
+    total, (late,) = half_of(dated, order_by)
+    prior = dated.where(~late & F.lit(total >= 4)).select(number(df, metric).alias("_m"), F.lit(1).alias("_one"))
     now = agg_measure(df.withColumn("_one", F.lit(1)), ["_one"], metric, agg)
     before = agg_measure(prior, ["_one"], "_m", agg).select(
         "_one", F.col("value").alias("prior")
@@ -537,13 +530,23 @@ def kpi_sparkline(
     """The measure over consecutive chunks of rows: (chunk, period, value).
 
     Chunks hold floor(n / pieces) rows, so a short last one follows when n does not divide. With
-    fewer than four dated rows there is no sparkline.
+    fewer than four dated rows there is no sparkline. The last rows of the chunks, fewer than twice
+    the pieces, are found by counting, so no row is sorted.
     """
-    placed = _dated_positions(df, metric, order_by).where(F.col("row_total") >= 4)
-    length = F.greatest(F.lit(1), F.floor(F.col("row_total") / pieces))
-    chunked = placed.withColumn("chunk", F.floor((F.col("row_number") - 1) / length))
+    date = F.col(f"`{order_by[0]}`")
+    dated = df.where(date.isNotNull())
+
+    def ends(rows: int) -> list[int]:
+        length = max(1, rows // pieces)
+        return list(range(length, rows, length))
+
+    total, found = rows_after(dated, {"chunks": order_by}, ends)
+    chunk = sum((after.cast("long") for after in found["chunks"]), F.lit(0).cast("long"))
+    chunked = dated.where(F.lit(total >= 4)).select(
+        chunk.alias("chunk"), date.alias("_date"), number(df, metric).alias("_m")
+    )
     values = agg_measure(chunked, ["chunk"], "_m", agg)
-    starts = chunked.groupBy("chunk").agg(F.to_date(F.min("_k0")).alias("period"))
+    starts = chunked.groupBy("chunk").agg(F.to_date(F.min("_date")).alias("period"))
     return (
         values.join(starts, "chunk")
         .select("chunk", "period", F.round("value", 2).alias("value"))
@@ -585,30 +588,15 @@ def metric_by_dimension(df: DataFrame, dimension: str, metric: str, limit: int =
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson r of each pair of columns: (x, y, pearson, sample_size).
 
-    Each row is stacked into its pairs, so one small aggregation serves all of them in one scan.
-    A pair needs three rows with both numbers and two distinct values on each side among them.
+    One pass over the columns serves all pairs (see :mod:`tidemark.operators.comoments`). A pair
+    needs three rows with both numbers and two distinct values on each side among them.
     """
-    used = columns
-    flat = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(used)])
-    pairs = list(combinations(range(len(used)), 2))
-    cells = ", ".join(f"{i}, {j}, c{i}, c{j}" for i, j in pairs)
-    stacked = flat.select(F.expr(f"stack({len(pairs)}, {cells}) AS (i, j, a, b)"))
-    a, b = F.col("a"), F.col("b")
-    facts = (
-        stacked.where(a.isNotNull() & b.isNotNull())
-        .groupBy("i", "j")
-        .agg(
-            F.covar_pop(a, b).alias("_cov"),
-            (F.stddev_pop(a) * F.stddev_pop(b)).alias("_spread"),
-            F.count(F.lit(1)).alias("sample_size"),
-            ((F.min(a) < F.max(a)) & (F.min(b) < F.max(b))).alias("_varied"),
-        )
-        .where("_varied and sample_size >= 3")
-    )
-    names = F.array(*[F.lit(c) for c in used])
+    facts = pair_moments(df, columns).where("varied and n >= 3")
+    names = F.array(*[F.lit(c) for c in columns])
+    spread = F.sqrt("var_i") * F.sqrt("var_j")
     return facts.select(
         names[F.col("i")].alias("x"),
         names[F.col("j")].alias("y"),
-        F.round(F.try_divide(F.col("_cov"), F.col("_spread")), 4).alias("pearson"),
-        "sample_size",
+        F.round(F.try_divide(F.col("cov"), spread), 4).alias("pearson"),
+        F.col("n").alias("sample_size"),
     )

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.functions.dates import whole_days
 from tidemark.functions.fixed_values import CHURN_TIERS, ROLE_TOKENS, SEGMENT_NOTES
 from tidemark.functions.numbers import is_numeric, number
-from tidemark.operators.ranks import number_rows, quantile_score
+from tidemark.operators.ranks import score_cuts
+from tidemark.operators.selection import rows_after
 from tidemark.session import literal_rows
 
 
@@ -86,7 +87,8 @@ def rfm_scores(df: DataFrame, customer: str, date: str, amount: str) -> DataFram
     """Per customer: recency_days, frequency, monetary and their 1-5 scores.
 
     A customer's rank breaks ties by customer key. Spend is rounded before it is ranked, so the
-    order of a floating-point sum cannot change a score between runs.
+    order of a floating-point sum cannot change a score between runs. The customers at the cuts of
+    all three orders are found by counting, in passes they share; nobody is sorted.
     """
     purchases = _purchases(df, customer, date, amount)
     people = (
@@ -104,16 +106,17 @@ def rfm_scores(df: DataFrame, customer: str, date: str, amount: str) -> DataFram
             "monetary",
         )
     )
-    for key, score in (
-        (F.desc("recency_days"), "r_score"),
-        (F.asc("frequency"), "f_score"),
-        (F.asc("monetary"), "m_score"),
-    ):
-        ranked = number_rows(people, [key, F.asc("customer")])
-        people = ranked.withColumn(
-            score, quantile_score(F.col("row_number"), F.col("row_total"))
-        ).drop("row_number", "row_total")
-    return people
+    orders = {
+        "r_score": [("recency_days", True), "customer"],
+        "f_score": ["frequency", "customer"],
+        "m_score": ["monetary", "customer"],
+    }
+    _, cuts = rows_after(people, orders, score_cuts)
+    scores = [
+        sum((after.cast("int") for after in conditions), F.lit(1)).alias(score)
+        for score, conditions in cuts.items()
+    ]
+    return people.select("*", *scores)
 
 
 def rfm_segments(scores: DataFrame) -> DataFrame:
@@ -298,13 +301,14 @@ def churn_breakdown(customers: DataFrame) -> DataFrame:
 
 def clv_summary(customers: DataFrame) -> DataFrame:
     """One row: averages, churn rate, and the share of spend of the top tenth of customers."""
-    placed = number_rows(customers, [F.desc("historic_spend"), F.asc("customer")])
-    whales = F.col("row_number") <= F.greatest(F.lit(1), F.floor(F.col("row_total") / 10))
+    spenders = [("historic_spend", True), "customer"]
+    _, cuts = rows_after(customers, {"spend": spenders}, lambda n: [max(1, n // 10)])
+    whales = ~cuts["spend"][0]
     high = F.col("churn_risk_tier") == CHURN_TIERS[0]
     spend, people = F.sum("historic_spend"), F.count(F.lit(1))
     top = F.sum(F.when(whales, F.col("historic_spend")))
     at_risk = F.coalesce(F.sum(F.when(high, F.col("historic_spend"))), F.lit(0.0))
-    return placed.agg(
+    return customers.agg(
         people.alias("total_customers"),
         F.round(F.try_divide(spend, people), 2).alias("average_historic_clv"),
         F.round(F.avg("predicted_annual_clv"), 2).alias("average_predicted_annual_clv"),

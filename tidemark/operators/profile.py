@@ -36,10 +36,10 @@ _SHORT = 128
 def name_semantics(name: str) -> tuple[str | None, float]:
     """What a column's name alone says it holds, and how sure that is."""
     plain = normal_name(name)
-    if plain in COUNT_NAMES.split():
+    if plain in COUNT_NAMES:
         return "numeric", 0.84
-    for kind in ALIAS_ORDER.split():
-        if plain in COLUMN_ALIASES[kind].split():
+    for kind in ALIAS_ORDER:
+        if plain in COLUMN_ALIASES[kind]:
             return ("currency" if kind == "revenue" else kind), 0.96
     fits = {
         "has": lambda token: token in plain,
@@ -47,7 +47,7 @@ def name_semantics(name: str) -> tuple[str | None, float]:
         "starts": plain.startswith,
     }
     for kind, confidence, how, tokens in NAME_PARTS:
-        if any(map(fits[how], tokens.split())):
+        if any(map(fits[how], tokens)):
             return kind, confidence
     return None, 0.0
 
@@ -157,7 +157,9 @@ def classify_columns(df: DataFrame, counts: DataFrame | None = None) -> DataFram
         return F.struct(F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence"))
 
     dated = F.struct(F.lit("datetime").alias("kind"), sure_by_name.alias("confidence"))
-    other_names = "customer region category status person source delivery_mode boolean".split()
+    other_names = [
+        "customer", "region", "category", "status", "person", "source", "delivery_mode", "boolean",
+    ]
     ladder = (
         F.when(kind_by_name.isin(PII_KINDS), by_name)
         .when(kind_by_name == "date", dated)
@@ -278,33 +280,26 @@ def dataset_domain(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
 def numeric_stats(df: DataFrame, columns: list[str], approx: bool = False) -> DataFrame:
     """Per column: count, mean, median, std, min, q1, q3, max and 1.5-IQR outliers.
 
-    All columns are stacked and handled in the same passes. ``approx`` takes quartiles from a
-    sketch and saves one pass.
+    All columns are stacked and handled in the same passes: quartiles first, then the rest next to
+    the outliers. ``approx`` takes the quartiles from a sketch.
     """
     rows = long_numbers(df, columns)
-    extras = {
-        "mean": F.avg("_v"),
-        "std": F.stddev_samp("_v"),
-        "min": F.min("_v"),
-        "max": F.max("_v"),
-    }
     if approx:
-        renamed = rows.withColumn("_v", F.col("v"))
-        sketch = renamed.groupBy("column").agg(
+        sketch = rows.groupBy("column").agg(
             F.count(F.lit(1)).alias("n"),
-            F.percentile_approx("_v", [0.25, 0.5, 0.75]).alias("_q"),
-            *[e.alias(name) for name, e in extras.items()],
+            F.min("v").alias("min"),
+            F.max("v").alias("max"),
+            F.percentile_approx("v", [0.25, 0.5, 0.75]).alias("_q"),
         )
         quarters = [F.col("_q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))]
-        facts = sketch.select("column", "n", *extras, *quarters)
+        facts = sketch.select("column", "n", "min", "max", *quarters)
     else:
         quarters = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-        facts = grouped_quantiles(
-            rows, ["column"], F.col("v"), quarters, extras, few_groups=True
-        )
+        facts = grouped_quantiles(rows, ["column"], F.col("v"), quarters, few_groups=True)
+        facts = facts.withColumnsRenamed({"least": "min", "most": "max"})
     iqr = F.col("q3") - F.col("q1")
     fenced = facts.select(
-        F.col("column").alias("_c"), "n", "mean", "median", "std", "min", "q1", "q3", "max",
+        F.col("column").alias("_c"), "n", "median", "min", "q1", "q3", "max",
         (F.col("q1") - 1.5 * iqr).alias("_low"),
         (F.col("q3") + 1.5 * iqr).alias("_high"),
     )
@@ -313,8 +308,12 @@ def numeric_stats(df: DataFrame, columns: list[str], approx: bool = False) -> Da
     # One row of fences per column of the table is broadcast.
     counted = (
         rows.join(F.broadcast(fenced), F.col("column") == F.col("_c"))
-        .groupBy("column", "n", "mean", "median", "std", "min", "q1", "q3", "max")
-        .agg(F.count(F.when(outside, 1)).alias("outlier_count"))
+        .groupBy("column", "n", "median", "min", "q1", "q3", "max")
+        .agg(
+            F.count(F.when(outside, 1)).alias("outlier_count"),
+            F.avg("v").alias("mean"),
+            F.stddev_samp("v").alias("std"),
+        )
     )
     return counted.select(
         "column",

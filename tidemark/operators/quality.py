@@ -12,7 +12,7 @@ from tidemark.functions.text import to_number
 from tidemark.operators.anomalies import long_numbers
 from tidemark.operators.cleaning import cleaning_diff, coerce, duplicate_groups, trim_nulls
 from tidemark.operators.quantiles import grouped_quantiles
-from tidemark.operators.ranks import number_rows
+from tidemark.operators.selection import half_of
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -112,19 +112,21 @@ def outlier_skew(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         ["column"],
         F.col("v"),
         {"q1": 0.25, "q3": 0.75},
-        {"_g1": F.skewness("_v")},
         few_groups=True,
     ).where("n >= 6 and q3 > q1")
     iqr = F.col("q3") - F.col("q1")
     fenced = facts.select(
-        F.col("column").alias("_c"), "n", "_g1",
+        F.col("column").alias("_c"), "n",
         (F.col("q1") - 1.5 * iqr).alias("_low"), (F.col("q3") + 1.5 * iqr).alias("_high"),
     )
     v = F.col("v")
     counted = (
         rows.join(F.broadcast(fenced), F.col("column") == F.col("_c"))
-        .groupBy("column", "n", "_g1")
-        .agg(F.count(F.when((v < F.col("_low")) | (v > F.col("_high")), 1)).alias("outlier_count"))
+        .groupBy("column", "n")
+        .agg(
+            F.count(F.when((v < F.col("_low")) | (v > F.col("_high")), 1)).alias("outlier_count"),
+            F.skewness(v).alias("_g1"),
+        )
     )
     n = F.col("n")
     skew = F.coalesce(F.col("_g1") * F.sqrt(n * (n - 1)) / (n - 2), F.lit(0.0))
@@ -142,16 +144,11 @@ def drift(df: DataFrame, columns: list[str], order_by: list[str]) -> DataFrame:
 
     (column, baseline_mean, recent_mean, mean_shift_pct, status, variance_ratio). ``order_by``
     says what earlier means and must be unique. Needs twenty rows, and five values in each half.
+    The middle row is found by counting, so no row is sorted.
     """
-    used = columns
-    keys = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(order_by)]
-    slim = df.select(*keys, *[number(df, c).alias(f"_c{i}") for i, c in enumerate(used)])
-    placed = number_rows(slim, [f"_k{i}" for i in range(len(order_by))]).where("row_total >= 20")
-    early = F.col("row_number") <= F.floor(F.col("row_total") / 2)
-    cells = [
-        F.struct(F.lit(c).alias("column"), F.col(f"_c{i}").alias("v")) for i, c in enumerate(used)
-    ]
-    stacked = placed.select(early.alias("early"), F.inline(F.array(*cells)))
+    total, (late,) = half_of(df, order_by)
+    cells = [F.struct(F.lit(c).alias("column"), number(df, c).alias("v")) for c in columns]
+    stacked = df.where(F.lit(total >= 20)).select((~late).alias("early"), F.inline(F.array(*cells)))
     halves = stacked.groupBy("column").agg(
         *[
             fold(F.when(half, F.col("v"))).alias(f"{name}_{side}")

@@ -1,21 +1,53 @@
 """Exact interpolated quantiles per group at any group size.
 
-The built-in exact ``percentile`` keeps every distinct value of a group in one task. Here a sketch
-brackets each wanted rank first, and only values inside the brackets are counted one by one.
+The built-in exact ``percentile`` keeps every distinct value of a group in one task. Here the values
+of a group are counted in cells, the cells that hold the wanted ranks are cut into finer ones, and
+so on, until the cells left are small enough to be counted value by value.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
+from tidemark.operators.selection import finer_cell, first_cell
 from tidemark.session import scratch_path
 
-_SMALL_GROUP = 100_000
-# Bracket rows are some 200 bytes besides their keys, so this many are about 20 MB.
-_FEW_GROUPS = 100_000
-_KEY_BYTES = 32 << 20
+#: Rows of a cell that are counted value by value, and the finer cells of a larger one.
+_BOUNDED = 65_536
+_CELLS = 65_536
+
+
+class _Ranks:
+    """The places of the wanted quantiles in a group of ``n`` rows: two neighbours for each."""
+
+    def __init__(self, probabilities: dict[str, float]):
+        self.names = list(probabilities)
+        # Ten decimals absorb the float error of (n-1)*p before it is split.
+        self.places = [F.round((F.col("n") - 1) * F.lit(float(p)), 10) for p in probabilities.values()]
+        self.wanted = []
+        for place in self.places:
+            base = F.floor(place)
+            self.wanted += [base, F.least(base + 1, F.col("n") - 1)]
+        self.count = len(self.wanted)
+
+    def picks(self) -> list[Column]:
+        """For each rank the cell that holds it, from counted cells with their ``_end``."""
+        begin = F.col("_end") - F.col("_c")
+        cell = F.struct("_lo", "_hi", begin.alias("_at"), "_c")
+        return [
+            F.max(F.when((begin <= rank) & (rank < F.col("_end")), cell)).alias(f"_s{j}")
+            for j, rank in enumerate(self.wanted)
+        ]
+
+    def answers(self) -> list[Column]:
+        found = []
+        for i, (name, place) in enumerate(zip(self.names, self.places)):
+            share = place - F.floor(place)
+            low, high = F.col(f"_s{2 * i}._lo"), F.col(f"_s{2 * i + 1}._lo")
+            found.append((low * (1.0 - share) + high * share).alias(name))
+        return found
 
 
 def grouped_quantiles(
@@ -23,125 +55,114 @@ def grouped_quantiles(
     groups: list[str],
     value: Column,
     probabilities: dict[str, float],
-    extras: dict[str, Column] | None = None,
-    accuracy: int = 10_000,
-    few_groups: bool | None = None,
+    few_groups: bool = False,
 ) -> DataFrame:
-    """Linear-interpolated quantiles of ``value`` per group, nulls left out.
-
-    Returns the group columns, ``n`` (non-null values), one column per entry of ``probabilities``,
-    and the ``extras`` (aggregates over the column ``_v``), computed in the first pass.
-
-    Pass 1 sketches each group; a sketch answer is off by at most n/accuracy ranks, so a bracket
-    four times as wide must hold the wanted rank and its neighbour. Groups up to 100,000 rows use
-    their full range. Pass 2 counts the values inside the brackets exactly and folds everything
-    between brackets into one row, so it shuffles a sliver of a large group. A bracket that missed
-    raises instead of returning a wrong number.
-
-    Brackets are broadcast, which spares shuffling the rows, only when there are few of them.
-    ``few_groups`` says that the caller has bounded the groups, by a top-k or a list of columns. If
-    it does not, the sketches are written to the shared scratch folder and measured: up to 100,000
-    with 32 MB of keys are broadcast, and beyond that the join is a shuffled one, where adaptive
-    execution splits a frequent group.
-    """
-    extras = extras or {}
-    slack = 4.0 / accuracy
-    wanted = sorted(probabilities.items(), key=lambda item: item[1])
-    edges = [(max(0.0, p - slack), min(1.0, p + slack)) for _, p in wanted]
-    flat = [edge for pair in edges for edge in pair]
+    """Linear-interpolated quantiles of ``value`` per group, nulls and NaN left out.
 
-    rows = df.select(*[F.col(f"`{g}`") for g in groups], value.cast("double").alias("_v"))
+    Returns the group columns, ``n`` (values), ``least``, ``most`` and one column per entry of
+    ``probabilities``. Groups without values have no row.
+
+    The first pass counts each group in 256 cells per doubling of the value. While a cell with a
+    wanted rank holds more than 65,536 rows of different values, another pass cuts it into as many
+    finer cells; a cell shrinks by that factor each time, so the passes grow with the logarithm of
+    the rows. The last pass counts single values, in cells that are bounded by then; no task ever
+    holds more than the cells of one group. A cell of one value needs no further pass.
+
+    ``few_groups`` says that the caller has bounded the groups, by a top-k or a list of columns;
+    their cells then travel as literals. Otherwise the cells, a row per group, are written to the
+    shared scratch folder after each pass, and adaptive execution joins them.
+    """
+    ranks = _Ranks(probabilities)
+    names = [f"_g{i}" for i in range(len(groups))]
+    rows = df.select(*[F.col(f"`{g}`").alias(n) for g, n in zip(groups, names)], (value.cast("double") + F.lit(0.0)).alias("_v"))
     rows = rows.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    sketch = rows.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", flat, accuracy).alias("_q"),
-        *[column.alias(name) for name, column in extras.items()],
-    )
-    if groups and few_groups is None:
-        path = scratch_path(df.sparkSession, "sketches")
-        sketch.write.parquet(path)
-        sketch = df.sparkSession.read.schema(sketch.schema).parquet(path)
-        key = F.concat_ws("", *[F.col(f"`{g}`").cast("string") for g in groups])
-        size = sketch.agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.coalesce(F.sum(F.octet_length(key)), F.lit(0)).alias("bytes"),
-        ).first()
-        few_groups = size["rows"] <= _FEW_GROUPS and size["bytes"] <= _KEY_BYTES
-    small = F.col("n") <= _SMALL_GROUP
-    lows = [F.when(small, F.col("_min")).otherwise(F.col("_q")[2 * i]) for i in range(len(wanted))]
-    highs = [
-        F.when(small, F.col("_max")).otherwise(F.col("_q")[2 * i + 1]) for i in range(len(wanted))
-    ]
-    brackets = sketch.select(
-        *groups,
-        "n",
-        *[low.alias(f"_lo{i}") for i, low in enumerate(lows)],
-        *[high.alias(f"_hi{i}") for i, high in enumerate(highs)],
-        *extras,
-    )
 
-    joined = _null_safe_join(rows, F.broadcast(brackets) if few_groups else brackets, groups)
-    inside = reduce(
-        Column.__or__,
-        [F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i in range(len(wanted))],
-    )
-    passed = [
-        F.when(F.col("_v") > F.col(f"_hi{i}"), F.col(f"_hi{i}")) for i in range(len(wanted))
-    ]
-    last_edge = F.greatest(*passed) if len(passed) > 1 else passed[0]
-    slot = F.when(inside, F.col("_v")).otherwise(
-        F.coalesce(last_edge, F.lit(float("-inf")))
-    )
-    counted = (
-        joined.withColumn("_slot", slot)
-        .withColumn("_gap", (~inside).cast("int"))
-        .groupBy(*groups, "n", *extras, "_slot", "_gap")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    upto = (
-        Window.partitionBy(*groups)
-        .orderBy("_slot", "_gap")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    ranked = counted.withColumn("_end", F.sum("_c").over(upto)).withColumn(
-        "_begin", F.col("_end") - F.col("_c")
+    keep = _as_literals if few_groups or not groups else _as_written
+    state, open_rows = keep(_first_cells(rows, names, ranks))
+    while open_rows > _BOUNDED:
+        state, open_rows = keep(_narrowed(rows, state, names, ranks, exact=False))
+    if open_rows:
+        state = _narrowed(rows, state, names, ranks, exact=True)
+    return state.select(
+        *[F.col(n).alias(g) for n, g in zip(names, groups)], "n", "least", "most", *ranks.answers()
     )
 
-    def at(rank: Column) -> Column:
-        hit = (F.col("_begin") <= rank) & (rank < F.col("_end"))
-        found = F.when(
-            F.col("_gap") == 1, F.raise_error(F.lit("quantile bracket missed")).cast("double")
-        ).otherwise(F.col("_slot"))
-        return F.max(F.when(hit, found))
 
-    picks, results = [], []
-    for i, (name, p) in enumerate(wanted):
-        # Ten decimals absorb the float error of (n-1)*p before it is split.
-        position = F.round((F.col("n") - 1) * F.lit(p), 10)
-        base = F.floor(position)
-        upper = F.least(base + 1, F.col("n") - 1)
-        picks += [at(base).alias(f"_a{i}"), at(upper).alias(f"_b{i}")]
-        share = position - base
-        results.append(
-            (F.col(f"_a{i}") * (1.0 - share) + F.col(f"_b{i}") * share).alias(name)
-        )
-    # The extras depend on the groups alone, so they ride along as keys: no second pass for them.
-    answers = ranked.groupBy(*groups, "n", *extras).agg(*picks)
-    return answers.select(*groups, "n", *extras, *results)
-
-
-def _null_safe_join(left: DataFrame, right: DataFrame, groups: list[str]) -> DataFrame:
-    """Inner join on the groups where null equals null; the right copies are dropped."""
-    if not groups:
-        return left.crossJoin(F.broadcast(right))
-    renamed = right.select(
-        *[F.col(f"`{g}`").alias(f"_r_{g}") for g in groups],
-        *[F.col(f"`{c}`") for c in right.columns if c not in groups],
+def _first_cells(rows: DataFrame, names: list[str], ranks: _Ranks) -> DataFrame:
+    """One row per group: n, least, most and the cell of each rank."""
+    cells = rows.groupBy(*names, first_cell(F.col("_v")).alias("_cell")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
-    same = reduce(
-        Column.__and__,
-        [left[g].eqNullSafe(renamed[f"_r_{g}"]) for g in groups],
+    group = Window.partitionBy(*names)
+    upto = group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = cells.withColumn("_end", F.sum("_c").over(upto)).withColumn("n", F.sum("_c").over(group))
+    picked = ranked.groupBy(*names).agg(
+        F.max("n").alias("n"), F.min("_lo").alias("least"), F.max("_hi").alias("most"), *ranks.picks()
+    )
+    return picked.where(F.col("n").isNotNull())
+
+
+def _narrowed(rows: DataFrame, state: DataFrame, names: list[str], ranks: _Ranks, exact: bool) -> DataFrame:
+    """The state after one more pass: cells of different values are cut, down to values if ``exact``."""
+    joined = _null_safe_join(rows, state, names)
+    v = F.col("_v")
+    slot, low, high, at = (F.lit(None).cast(t) for t in ("int", "double", "double", "long"))
+    for j in reversed(range(ranks.count)):
+        cell = F.col(f"_s{j}")
+        inside = (cell["_lo"] < cell["_hi"]) & (v >= cell["_lo"]) & (v <= cell["_hi"])
+        slot, low, high, at = (
+            F.when(inside, new).otherwise(old)
+            for new, old in ((F.lit(j), slot), (cell["_lo"], low), (cell["_hi"], high), (cell["_at"], at))
+        )
+    held = joined.select(*names, "n", v, slot.alias("_slot"), low.alias("_low"), high.alias("_high"), at.alias("_from"))
+    held = held.where(F.col("_slot").isNotNull())
+    cut = v if exact else finer_cell(v, F.col("_low"), F.col("_high"), _CELLS)
+    counted = held.groupBy(*names, "n", "_slot", "_from", cut.alias("_cell")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
-    return left.join(renamed, same).drop(*[f"_r_{g}" for g in groups])
+    upto = Window.partitionBy(*names, "_slot").orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumn("_end", F.col("_from") + F.sum("_c").over(upto))
+    picked = ranked.groupBy(*names).agg(*[p.alias(f"_new{j}") for j, p in enumerate(ranks.picks())])
+    merged = _null_safe_join(state, picked, names, "left")
+    cells = [F.coalesce(f"_new{j}", f"_s{j}").alias(f"_s{j}") for j in range(ranks.count)]
+    return merged.select(*names, "n", "least", "most", *cells)
+
+
+def _open_rows(state: DataFrame) -> Column:
+    """Rows of the largest cell of different values, 0 if every cell is one value."""
+    cells = [F.col(c) for c in state.columns if c.startswith("_s")]
+    return F.greatest(F.lit(0), *[F.when(c["_lo"] < c["_hi"], c["_c"]) for c in cells])
+
+
+def _as_written(state: DataFrame) -> tuple[DataFrame, int]:
+    path = scratch_path(state.sparkSession, "cells")
+    state.write.parquet(path)
+    kept = state.sparkSession.read.schema(state.schema).parquet(path)
+    return kept, kept.agg(F.coalesce(F.max(_open_rows(kept)), F.lit(0))).first()[0]
+
+
+def _as_literals(state: DataFrame) -> tuple[DataFrame, int]:
+    """The state of a bounded number of groups, as plan literals."""
+    found = state.withColumn("_open", _open_rows(state)).collect()
+    open_rows = max((row["_open"] for row in found), default=0)
+    fields = state.schema.fields
+
+    def literal(value, kind) -> Column:
+        if isinstance(value, Row):
+            return F.struct(*[literal(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
+        return F.lit(value).cast(kind)
+
+    records = [F.struct(*[literal(row[f.name], f.dataType).alias(f.name) for f in fields]) for row in found]
+    one = state.sparkSession.range(1)
+    if not records:
+        return one.where("false").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields]), 0
+    return F.broadcast(one.select(F.inline(F.array(*records)))), open_rows
+
+
+def _null_safe_join(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """Join on the groups where null equals null; the right copies are dropped. Without groups, right is one row."""
+    if not names:
+        return left.join(F.broadcast(right), F.lit(True), how)
+    renamed = right.select(*[F.col(n).alias(f"_r{n}") for n in names], *[c for c in right.columns if c not in names])
+    same = reduce(Column.__and__, [left[n].eqNullSafe(renamed[f"_r{n}"]) for n in names])
+    return left.join(renamed, same, how).drop(*[f"_r{n}" for n in names])

@@ -51,12 +51,11 @@ def number_rows(
     )
 
 
-def quantile_score(position: Column, total: Column, buckets: int = 5) -> Column:
-    """Score 1..buckets of a position, as equal-frequency cuts of the ranks 1..total give it.
+def score_cuts(total: int, buckets: int = 5) -> list[int]:
+    """The last positions of the buckets but the top one, as equal-frequency cuts of 1..total give them.
 
     A rank equal to a cut point belongs to the lower bucket, which is what separates this from
-    ``ntile``. With fewer rows than buckets every row gets its own score.
+    ``ntile``. With fewer rows than buckets every row gets a bucket of its own.
     """
-    used = F.least(F.lit(buckets), total)
-    cut = F.ceil((position - 1) * used / (total - 1))
-    return F.when(total == 1, F.lit(1)).otherwise(F.greatest(F.lit(1), cut)).cast("int")
+    used = min(buckets, total)
+    return [bucket * (total - 1) // used + 1 for bucket in range(1, used)]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidemark.functions.numbers import number
 from tidemark.operators.charts import correlations, group_counts
 from tidemark.operators.quantiles import grouped_quantiles
-from tidemark.operators.ranks import number_rows
+from tidemark.operators.selection import rows_after
 from tidemark.operators.series import last_two
 
 
@@ -74,13 +74,9 @@ def capped_sql(df: DataFrame, text: str, cap: int | None = None) -> DataFrame:
 
 def column_summary(df: DataFrame, column: str) -> DataFrame:
     """One row: count, sum, mean, median, min and max of a numeric column."""
-    facts = grouped_quantiles(
-        df,
-        [],
-        number(df, column),
-        {"median": 0.5},
-        {"sum": F.sum("_v"), "avg": F.avg("_v"), "min": F.min("_v"), "max": F.max("_v")},
-    )
+    value = number(df, column)
+    middle = grouped_quantiles(df, [], value, {"median": 0.5}).withColumnsRenamed({"least": "min", "most": "max"})
+    facts = middle.crossJoin(F.broadcast(df.agg(F.sum(value).alias("sum"), F.avg(value).alias("avg"))))  # one row each
     rounded = [F.round(c, 2).alias(c) for c in ("sum", "avg", "median", "min", "max")]
     return facts.select(F.col("n").alias("count"), *rounded)
 
@@ -151,16 +147,17 @@ def metric_sparkline(
 ) -> DataFrame:
     """(chunk, value): sums of ``pieces`` equal runs of rows; what is left over is not shown.
 
-    Fewer rows than pieces give one row each.
+    Fewer rows than pieces give one row each. The last rows of the runs are found by counting, so no
+    row is sorted.
     """
-    keys = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(order_by)]
-    slim = df.select(*keys, number(df, metric).alias("_m")).where(F.col("_m").isNotNull())
-    placed = number_rows(slim, [f"_k{i}" for i in range(len(order_by))])
-    length = F.greatest(F.lit(1), F.floor(F.col("row_total") / pieces))
-    chunk = F.floor((F.col("row_number") - 1) / length)
+    present = df.where(number(df, metric).isNotNull())
+    _, ends = rows_after(
+        present, {"runs": order_by}, lambda n: [max(1, n // pieces) * (i + 1) for i in range(pieces)]
+    )
+    chunk = sum((after.cast("long") for after in ends["runs"]), F.lit(0).cast("long"))
     return (
-        placed.groupBy(chunk.alias("chunk"))
-        .agg(F.round(F.sum("_m"), 2).alias("value"))
+        present.groupBy(chunk.alias("chunk"))
+        .agg(F.round(F.sum(number(df, metric)), 2).alias("value"))
         .where(F.col("chunk") < pieces)
         .orderBy("chunk")
     )

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions.fixed_values import FILE_NULL_TOKENS
+from tidemark.sources.records import quoted_records
 
 DELIMITERS = [",", ";", "\t", "|"]
 
@@ -105,12 +106,47 @@ def csv_source(
 ) -> DataFrame:
     """Every column as text. Short lines are padded with null, longer ones than the header skipped.
 
-    A line of the wrong length arrives with its text, whose separators outside quotes tell the two
-    apart. Windows-1252 is read as
-    Latin-1 and its own characters are then mapped, which needs no session setting. Undecodable
-    bytes become the replacement character.
+    Windows-1252 is read as Latin-1 and its own characters are then mapped, which needs no session
+    setting. Undecodable bytes become the replacement character. With ``multiline``, values in
+    quotes may hold line breaks, and large files are still read in splits; only UTF-16 files are
+    then read whole. :func:`csv_line_counts` says how many lines were skipped.
     """
-    plain = encoding.lower().replace("_", "-")
+    names, rows = _parsed(spark, path, sep, encoding, multiline)
+    plain = _plain(encoding)
+    return rows.where("_fits").select(
+        *[_present(_decoded(F.col(f"c{i}"), plain)).alias(name) for i, name in enumerate(names)]
+    )
+
+
+def csv_line_counts(
+    spark: SparkSession,
+    path: str | list[str],
+    sep: str = ",",
+    encoding: str = "utf-8-sig",
+    multiline: bool = False,
+) -> DataFrame:
+    """One row: records below the headers, and of them read, padded and skipped for their length."""
+    _, rows = _parsed(spark, path, sep, encoding, multiline)
+    return rows.agg(
+        F.count(F.lit(1)).alias("records"),
+        F.count_if("_fits").alias("read"),
+        F.count_if(F.col("_fits") & F.col("_line").isNotNull()).alias("padded"),
+        F.count_if(~F.col("_fits")).alias("skipped"),
+    )
+
+
+def _plain(encoding: str) -> str:
+    return encoding.lower().replace("_", "-")
+
+
+def _parsed(
+    spark: SparkSession, path: str | list[str], sep: str, encoding: str, multiline: bool
+) -> tuple[list[str], DataFrame]:
+    """The column names, and all lines as c0, c1, ... with ``_line`` (text of a line of the wrong length) and ``_fits``.
+
+    The separators outside quotes tell long lines from short ones.
+    """
+    plain = _plain(encoding)
     charset = {
         "cp1252": "ISO-8859-1",
         "latin-1": "ISO-8859-1",
@@ -119,32 +155,31 @@ def csv_source(
         "utf-16-be": "UTF-16BE",
     }.get(plain, "UTF-8")
     wide = charset.startswith("UTF-16")
+    options = {
+        "sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_line",
+        "nullValue": _NEVER, "emptyValue": "",
+        "columnPruning": False,  # a line of the wrong length shows only if all of it is parsed
+    }
 
     def reader():
-        return (
-            spark.read.option("sep", sep)
-            .option("encoding", charset)
-            .option("header", True)
-            .option("quote", '"')
-            .option("escape", '"')
-            .option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_line")
-            .option("multiLine", multiline or wide)
-            .option("nullValue", _NEVER)
-            .option("emptyValue", "")
-        )
+        return spark.read.options(**options, encoding=charset, header=True, multiLine=multiline or wide)
 
     found = reader().option("inferSchema", False).csv(path).columns
     names = [_decoded_name(name, plain) for name in found]
     schema = ", ".join(f"c{i} string" for i in range(len(names))) + ", _line string"
-    rows = reader().option("enforceSchema", True).schema(schema).csv(path)
+    if multiline and not wide:
+        record = F.col("record")
+        trimmed = F.when(F.substring(record, -1, 1) == F.lit(b"\r"), F.substring(record, 1, F.length(record) - 1))
+        record = F.coalesce(trimmed, record)
+        text = F.decode(record, charset) if charset != "UTF-8" else F.make_valid_utf8(record.cast("string"))
+        records = quoted_records(spark, path, sep).where("not first")
+        rows = records.select(F.from_csv(text, schema, options).alias("r")).select("r.*")
+    else:
+        rows = reader().option("enforceSchema", True).schema(schema).csv(path)
     line, last = F.col("_line"), F.col(f"c{len(names) - 1}")
     bare = F.regexp_replace(line, '"[^"]*"', "")
     separators = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit("")))
-    kept = rows.where(line.isNull() | (last.isNull() & (separators < len(names))))
-    return kept.select(
-        *[_present(_decoded(F.col(f"c{i}"), plain)).alias(name) for i, name in enumerate(names)]
-    )
+    return names, rows.withColumn("_fits", line.isNull() | (last.isNull() & (separators < len(names))))
 
 
 def _decoded_name(name: str, encoding: str) -> str:
@@ -165,13 +200,15 @@ def csv_folder(spark: SparkSession, path: str) -> DataFrame:
     """All files below ``path``, each read in its own dialect and under its own header, as one table.
 
     Files are grouped by dialect and header, so there are as many reads as kinds of files, however
-    many files there are. Files with line breaks inside quotes are read whole, the others in splits.
-    Columns are matched by name; those that a file lacks are null.
+    many files there are. All are read in splits but for UTF-16 files with line breaks inside
+    quotes. Columns are matched by name; those that a file lacks are null. The driver learns the
+    paths, which it lists for every read anyway, and nothing else of the files.
     """
-    kinds = ["encoding", "sep", "header", "broken"]
-    groups = _files(spark, path).groupBy(*kinds).agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    kinds: dict[tuple, list[str]] = {}
+    for row in _files(spark, path).collect():
+        kinds.setdefault((row["encoding"], row["sep"], row["header"] or "", row["broken"]), []).append(row["path"])
     parts = [
-        csv_source(spark, row["paths"], row["sep"], row["encoding"], multiline=row["broken"])
-        for row in groups.orderBy(*kinds).collect()
+        csv_source(spark, sorted(paths), sep, encoding, multiline=broken)
+        for (encoding, sep, _, broken), paths in sorted(kinds.items())
     ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
