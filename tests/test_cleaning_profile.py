@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import text
+from tidemark.functions import date_grammar, text
 from tidemark.operators import cleaning, insights, privacy, profile, quality, transforms
 from tidemark.plans import report
 
@@ -38,6 +38,35 @@ def test_dates(spark):
     assert one(spark, text.to_timestamp_mixed, "not-a-date", "2024-02-31", "12", "31/02/2024", None) == [None] * 5
 
 
+def test_dates_as_people_type_them(spark):
+    shapes = {
+        "1/5/2024 9:30": (2024, 1, 5, 9, 30), "1/5/2024 9:30 AM": (2024, 1, 5, 9, 30), "1/5/2024 12:05 am": (2024, 1, 5, 0, 5),
+        "1/5/2024 9:30PM": (2024, 1, 5, 21, 30), "01/05/24": (2024, 1, 5), "2024-01": (2024, 1, 1), "Jan 5 2024": (2024, 1, 5),
+        "5.1.2024 9:30": (2024, 1, 5, 9, 30), "2024/1/5 9:30": (2024, 1, 5, 9, 30), "5-Jan-2024": (2024, 1, 5),
+        "13-1-2024 9:30:00": (2024, 1, 13, 9, 30), "January 5, 2024 09:30": (2024, 1, 5, 9, 30), "Sept 3rd, 2024": (2024, 9, 3),
+        "Fri, 5 Jan 2024 09:30:15": (2024, 1, 5, 9, 30, 15), "2024-Jan-05": (2024, 1, 5), "Jan 2024": (2024, 1, 1),
+        "5.13.2024": (2024, 5, 13), "1/5/69": (1969, 1, 5), "2024-01-05 9:30 PM": (2024, 1, 5, 21, 30), "1/5/2024, 9 pm": (2024, 1, 5, 21),
+        "JANUARY 5, 2024": (2024, 1, 5), "1/5/2024 23:59:59.25": (2024, 1, 5, 23, 59, 59, 250000),
+    }
+    assert one(spark, text.to_timestamp_mixed, *shapes) == [dt.datetime(*parts) for parts in shapes.values()]
+    bad = ["13/13/2024", "Jan 32 2024", "1/5/2024 25:00", "1/5/2024 13:00 PM", "1/5/2024 0:10 AM", "Janet 5 2024", "5 2024", "1/5-2024",
+           "12:30", "on 5", "1/5/2024 9:60", "Feb 30, 2024", "", " "]
+    assert one(spark, text.to_timestamp_mixed, *bad) == [None] * len(bad)
+
+
+def test_the_order_of_day_and_month_comes_from_the_column(spark):
+    rows = [("3/4/2024", "3/4/2024", "3/4/2024", "x"), ("25/4/2024", "4/25/2024", "5/4/2024", None), (None, "1/1/2024", "4/4/2024", "y")]
+    df = spark.createDataFrame(rows, "eu string, us string, open string, words string")
+    orders = {r["column"]: r for r in date_grammar.date_order(df, df.columns).collect()}
+    assert [orders[c]["date_order"] for c in df.columns] == ["day first", "month first", "ambiguous", "clear"]
+    assert orders["open"].asDict() == {"column": "open", "filled": 3, "parsed": 3, "day_first": 0, "month_first": 0, "either": 2, "date_order": "ambiguous"}
+    first = date_grammar.with_dates(df, ["eu", "us", "open"]).first()
+    assert (first["eu"].month, first["us"].month, first["open"].month, first["words"]) == (4, 3, 3, "x")
+    shapes = {r["shape"]: r["values"] for r in date_grammar.date_shapes(df, "eu").collect()}
+    assert shapes == {"9/9/9999": 1, "99/9/9999": 1}
+    assert date_grammar.date_order(df.limit(0), ["eu"]).first()["date_order"] == "clear"
+
+
 def test_booleans_and_masks(spark):
     assert one(spark, text.to_boolean, " YES", "0", "maybe", None) == [True, False, None, None]
     assert one(spark, text.mask_email, "alice@x.org", "al@x.org", "nobody", None) == [

@@ -8,7 +8,7 @@ the column says otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -27,7 +27,7 @@ _ISO = r"^\d{4}-\d{1,2}-\d{1,2}([T ].*)?$"
 
 @dataclass(frozen=True)
 class Rule:
-    """One shape of a day: its fields in the order of the pattern's groups.
+    """One shape of a day, and its fields in the order of the pattern's groups.
 
     y, m and d are the year, the month and the day; a and b are a day and a month in an order that
     the numbers or the column decide, day first by default if ``day_first``.
@@ -37,8 +37,14 @@ class Rule:
     fields: str
     day_first: bool = False
 
-    def field(self, day: Column, name: str) -> Column:
-        return F.regexp_extract(day, self.pattern, self.fields.index(name) + 1)
+    def put(self, day: Column) -> Column:
+        """Year, month, day as words; two open numbers keep their order and get a mark."""
+        places = {name: f"${self.fields.index(name) + 1}" for name in self.fields}
+        if "a" in places:
+            words = [places["y"], places["a"], places["b"], "day" if self.day_first else "month"]
+        else:
+            words = [places["y"], places["m"], places.get("d", "1"), "set"]
+        return F.regexp_replace(day, self.pattern, " ".join(words))
 
 
 RULES = [
@@ -55,15 +61,22 @@ RULES = [
 ]
 
 
-def _day_and_clock(text: Column) -> tuple[Column, Column]:
-    clock = F.regexp_extract(text, _CLOCK, 0)
-    day = F.left(text, F.length(text) - F.length(clock))
-    return F.regexp_replace(day, _WEEKDAY, ""), clock
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _words(day: Column) -> Column:
+    """Year, month, day and a mark as four words; null outside the grammar."""
+    ladder = F
+    for rule in RULES:
+        ladder = ladder.when(day.rlike(rule.pattern), rule.put(day))
+    return F.split(ladder, " ")
 
 
 def _year(digits: Column) -> Column:
     """Two digits mean 1969 to 2068."""
-    year = digits.try_cast("int")
+    year = digits.cast("int")
     return F.when(F.length(digits) > 2, year).when(year < 69, year + 2000).otherwise(year + 1900)
 
 
@@ -72,29 +85,12 @@ def _month(word: Column) -> Column:
     return F.coalesce(word.try_cast("int"), place)
 
 
-def _is_day_first(a: Column, b: Column, rule: Rule, day_first: bool | None) -> Column:
-    """Whether the first number is the day: it must be, or it may be and that is the choice."""
-    chosen = rule.day_first if day_first is None else day_first
-    return (a > 12) | ((b <= 12) & F.lit(chosen))
-
-
-def _ymd(day: Column, rule: Rule, day_first: bool | None) -> Column:
-    if "a" in rule.fields:
-        a, b = (rule.field(day, f).try_cast("int") for f in "ab")
-        first = _is_day_first(a, b, rule, day_first)
-        month, date = F.when(first, b).otherwise(a), F.when(first, a).otherwise(b)
-    else:
-        month = _month(rule.field(day, "m"))
-        date = rule.field(day, "d").try_cast("int") if "d" in rule.fields else F.lit(1)
-    return F.struct(_year(rule.field(day, "y")).alias("y"), month.alias("m"), date.alias("d"))
-
-
 def _clock_fields(clock: Column) -> tuple[Column, Column, Column]:
     """Hour, minute and second; no clock is midnight, and a 12-hour clock must have a 12-hour hour."""
     def part(pattern: str) -> Column:
         return F.regexp_extract(clock, pattern, 1)
 
-    hour = F.coalesce(part(r"(\d{1,2})").try_cast("int"), F.lit(0))
+    hour = part(r"(\d{1,2})").cast("int")
     half = F.lower(part(r"([AaPp])\.?[Mm]"))
     twelve = F.when((hour >= 1) & (hour <= 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
     minute = F.coalesce(part(r":(\d{2})").try_cast("int"), F.lit(0))
@@ -102,42 +98,59 @@ def _clock_fields(clock: Column) -> tuple[Column, Column, Column]:
     return F.when(half == "", hour).otherwise(twelve), minute, second
 
 
+def _made(words: Column, clock: Column, day_first: bool | None) -> Column:
+    """The timestamp of four words and a clock."""
+    first, second, mark = F.get(words, F.lit(1)), F.get(words, F.lit(2)), F.get(words, F.lit(3))
+    a, b = first.try_cast("int"), second.cast("int")
+    chosen = (mark == "day") if day_first is None else F.lit(day_first)
+    turned = (mark != "set") & ((a > 12) | ((b <= 12) & chosen))
+    month, date = F.when(turned, b).otherwise(_month(first)), F.when(turned, a).otherwise(b)
+    midnight = F.try_make_timestamp_ntz(_year(F.get(words, F.lit(0))), month, date, F.lit(0), F.lit(0), F.lit(0).cast("decimal(16,6)"))
+    timed = F.try_make_timestamp_ntz(_year(F.get(words, F.lit(0))), month, date, *_clock_fields(clock))
+    return F.when(clock == "", midnight).otherwise(timed)
+
+
+def _order(words: Column) -> Column:
+    """What a day says about the order of day and month: day, month, either or nothing."""
+    a, b = F.get(words, F.lit(1)).try_cast("int"), F.get(words, F.lit(2)).cast("int")
+    open_order = F.get(words, F.lit(3)) != "set"
+    return (
+        F.when(open_order & (a > 12) & (b <= 12), "day")
+        .when(open_order & (b > 12) & (a <= 12), "month")
+        .when(open_order & (a <= 12) & (b <= 12) & (a != b), "either")
+    )
+
+
+def read_date(text: Column, day_first: bool | None = None) -> Column:
+    """A struct of ``at``, the timestamp, and ``order``, what the value says about day and month."""
+    def parse(value: Column) -> Column:
+        clock = F.regexp_extract(value, _CLOCK, 0)
+        return _with(F.struct(value.alias("text"), clock.alias("clock")), parse_day)
+
+    def parse_day(parts: Column) -> Column:
+        day = F.regexp_replace(F.left(parts["text"], F.length(parts["text"]) - F.length(parts["clock"])), _WEEKDAY, "")
+        return _with(day, lambda d: _with(_words(d), lambda words: F.struct(
+            _made(words, parts["clock"], day_first).alias("at"), _order(words).alias("order"))))
+
+    iso = F.when(text.rlike(_ISO), text.try_cast("timestamp_ntz"))
+    return F.coalesce(
+        F.when(iso.isNotNull(), F.struct(iso.alias("at"), F.lit(None).cast("string").alias("order"))), _with(text, parse)
+    )
+
+
 def to_timestamp_mixed(text: Column, day_first: bool | None = None) -> Column:
     """A timestamp from any shape of the grammar, null when none fits or there is no such date.
 
     ``day_first`` settles dates whose first two numbers could both be the month; without it they
     are read month first, but day first between dots. Plain ISO text takes a shorter way.
     """
-    day, clock = _day_and_clock(text)
-    fields = F
-    for rule in RULES:
-        fields = fields.when(day.rlike(rule.pattern), _ymd(day, rule, day_first))
-    parsed = F.try_make_timestamp_ntz(fields["y"], fields["m"], fields["d"], *_clock_fields(clock))
-    return F.when(text.rlike(_ISO), F.coalesce(text.try_cast("timestamp_ntz"), parsed)).otherwise(parsed)
+    return read_date(text, day_first)["at"]
 
 
 def shape(text: Column) -> Column:
-    """The shape of a value: digits as 9, month words as Mon, clock halves as AM; null outside the grammar."""
-    day, clock = _day_and_clock(text)
-    fits = F.lit(False)
-    for rule in RULES:
-        fits = fits | day.rlike(rule.pattern)
-    words = F.regexp_replace(F.regexp_replace(text, _MONTH, "Mon"), r" ?[AaPp]\.?[Mm]\.?$", " AM")
-    return F.when(fits, F.regexp_replace(F.regexp_replace(words, _WEEKDAY, "Day "), r"\d", "9"))
-
-
-def _orders(text: Column) -> Iterator[tuple[str, Column]]:
-    """What each value says about the order of day and month: named conditions."""
-    day, _ = _day_and_clock(text)
-    first, second = F.lit(None).cast("int"), F.lit(None).cast("int")
-    for rule in RULES:
-        if "a" in rule.fields:
-            fits = day.rlike(rule.pattern)
-            first = F.when(fits, rule.field(day, "a").try_cast("int")).otherwise(first)
-            second = F.when(fits, rule.field(day, "b").try_cast("int")).otherwise(second)
-    yield "day_first", (first > 12) & (second <= 12)
-    yield "month_first", (second > 12) & (first <= 12)
-    yield "either", (first <= 12) & (second <= 12) & (first != second)
+    """The shape of a value: digits as 9, month words as Mon, weekdays as Day, clock halves as AM."""
+    words = F.regexp_replace(F.regexp_replace(text, _WEEKDAY, "Day "), _MONTH, "Mon")
+    return F.regexp_replace(F.regexp_replace(words, r" ?[AaPp]\.?[Mm]\.?$", " AM"), r"\d", "9")
 
 
 def date_order(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -149,12 +162,19 @@ def date_order(df: DataFrame, columns: list[str]) -> DataFrame:
     if all could be either, and ``clear`` if no value needs an order. A mixed or ambiguous column is
     read by the default, and its ``either`` says how many values that guesses.
     """
+    read = df.select(*[
+        F.struct(F.col(f"`{c}`").isNotNull().alias("filled"), read_date(F.col(f"`{c}`")).alias("read")).alias(f"c{i}")
+        for i, c in enumerate(columns)
+    ])
     facts = []
-    for name in columns:
-        text = F.col(f"`{name}`")
-        counts = [("filled", text.isNotNull()), ("parsed", to_timestamp_mixed(text).isNotNull()), *_orders(text)]
-        facts.append(F.struct(F.lit(name).alias("column"), *[F.count_if(c).alias(n) for n, c in counts]))
-    rows = df.agg(F.array(*facts).alias("facts")).select(F.inline("facts"))
+    for i, name in enumerate(columns):
+        order = F.col(f"c{i}.read.order")
+        counts = {
+            "filled": F.col(f"c{i}.filled"), "parsed": F.col(f"c{i}.read.at").isNotNull(),
+            "day_first": order == "day", "month_first": order == "month", "either": order == "either",
+        }
+        facts.append(F.struct(F.lit(name).alias("column"), *[F.count_if(c).alias(n) for n, c in counts.items()]))
+    rows = read.agg(F.array(*facts).alias("facts")).select(F.inline("facts"))
     day, month, either = (F.col(c) > 0 for c in ("day_first", "month_first", "either"))
     order = F.when(day & month, "mixed").when(day, "day first").when(month, "month first").when(either, "ambiguous")
     return rows.withColumn("date_order", order.otherwise("clear"))
@@ -173,12 +193,12 @@ def with_dates(df: DataFrame, columns: list[str]) -> DataFrame:
 def date_shapes(df: DataFrame, column: str) -> DataFrame:
     """The distinct shapes of a text column: (shape, values, parsed, first, last).
 
-    Values outside the grammar share a null shape, so there are no more rows than shapes that the
+    Values that are no date share a null shape, so there are no more rows than shapes that the
     grammar has.
     """
     text = F.col(f"`{column}`")
-    read = to_timestamp_mixed(text)
-    rows = df.where(text.isNotNull()).select(shape(text).alias("shape"), read.alias("read"))
+    rows = df.where(text.isNotNull()).select(text.alias("text"), to_timestamp_mixed(text).alias("read"))
+    rows = rows.select(F.when(F.col("read").isNotNull(), shape(F.col("text"))).alias("shape"), "read")
     return rows.groupBy("shape").agg(
         F.count(F.lit(1)).alias("values"), F.count("read").alias("parsed"),
         F.min("read").alias("first"), F.max("read").alias("last"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.operators.selection import finer_cell, first_cell
 from tidemark.session import scratch_path
@@ -20,35 +20,51 @@ _CELLS = 65_536
 
 
 class _Ranks:
-    """The places of the wanted quantiles in a group of ``n`` rows: two neighbours for each."""
+    """The places of the wanted quantiles in a group of ``n`` rows: two neighbours for each.
+
+    Expressions are SQL texts, which are planned much faster than trees of column objects.
+    """
 
     def __init__(self, probabilities: dict[str, float]):
         self.names = list(probabilities)
         # Ten decimals absorb the float error of (n-1)*p before it is split.
-        self.places = [F.round((F.col("n") - 1) * F.lit(float(p)), 10) for p in probabilities.values()]
+        self.places = [f"round((n - 1) * double('{float(p)!r}'), 10)" for p in probabilities.values()]
         self.wanted = []
         for place in self.places:
-            base = F.floor(place)
-            self.wanted += [base, F.least(base + 1, F.col("n") - 1)]
-        self.count = len(self.wanted)
+            self.wanted += [f"floor({place})", f"least(floor({place}) + 1, n - 1)"]
+        self.slots = range(len(self.wanted))
 
     def picks(self) -> list[Column]:
         """For each rank the cell that holds it, from counted cells with their ``_end``."""
-        begin = F.col("_end") - F.col("_c")
-        cell = F.struct("_lo", "_hi", begin.alias("_at"), "_c")
         return [
-            F.max(F.when((begin <= rank) & (rank < F.col("_end")), cell)).alias(f"_s{j}")
+            F.expr(f"max(CASE WHEN _end - _c <= {rank} AND {rank} < _end THEN "
+                   f"named_struct('_lo', _lo, '_hi', _hi, '_at', _end - _c, '_c', _c) END) AS _s{j}")
             for j, rank in enumerate(self.wanted)
         ]
 
     def answers(self) -> list[Column]:
         found = []
         for i, (name, place) in enumerate(zip(self.names, self.places)):
-            share = place - F.floor(place)
-            low, high = F.col(f"_s{2 * i}._lo"), F.col(f"_s{2 * i + 1}._lo")
-            found.append((low * (1.0 - share) + high * share).alias(name))
+            share = f"({place} - floor({place}))"
+            value = F.expr(f"_s{2 * i}._lo * (1.0D - {share}) + _s{2 * i + 1}._lo * {share}")
+            found.append(value.alias(name))
         return found
 
+    def slot(self) -> str:
+        """The number of the first cell of different values that holds the row."""
+        whens = " ".join(
+            f"WHEN _s{j}._lo < _s{j}._hi AND _v >= _s{j}._lo AND _v <= _s{j}._hi THEN {j}" for j in self.slots
+        )
+        return f"CASE {whens} END"
+
+    def of_slot(self, part: str) -> str:
+        return f"CASE _slot {' '.join(f'WHEN {j} THEN _s{j}.{part}' for j in self.slots)} END"
+
+    def open_rows(self) -> str:
+        """Rows of the largest cell of different values, 0 if every cell is one value."""
+        cells = ", ".join(f"CASE WHEN _s{j}._lo < _s{j}._hi THEN _s{j}._c END" for j in self.slots)
+        return f"greatest(0L, {cells})"
+
 
 def grouped_quantiles(
     df: DataFrame,
@@ -69,20 +85,22 @@ def grouped_quantiles(
     holds more than the cells of one group. A cell of one value needs no further pass.
 
     ``few_groups`` says that the caller has bounded the groups, by a top-k or a list of columns;
-    their cells then travel as literals. Otherwise the cells, a row per group, are written to the
-    shared scratch folder after each pass, and adaptive execution joins them.
+    their cells, a row per group, then come to the driver after each pass. Otherwise they are
+    written to the shared scratch folder, and adaptive execution joins them.
     """
     ranks = _Ranks(probabilities)
     names = [f"_g{i}" for i in range(len(groups))]
     rows = df.select(*[F.col(f"`{g}`").alias(n) for g, n in zip(groups, names)], (value.cast("double") + F.lit(0.0)).alias("_v"))
-    rows = rows.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    rows = rows.where("_v IS NOT NULL AND NOT isnan(_v)")
 
-    keep = _as_literals if few_groups or not groups else _as_written
-    state, open_rows = keep(_first_cells(rows, names, ranks))
+    few = few_groups or not groups
+    keep = _as_local if few else _as_written
+    state, open_rows = keep(_first_cells(rows, names, ranks), ranks)
     while open_rows > _BOUNDED:
-        state, open_rows = keep(_narrowed(rows, state, names, ranks, exact=False))
+        state, open_rows = keep(_narrowed(rows, state, names, ranks, exact=False), ranks)
     if open_rows:
         state = _narrowed(rows, state, names, ranks, exact=True)
+        state = keep(state, ranks)[0] if few else state
     return state.select(
         *[F.col(n).alias(g) for n, g in zip(names, groups)], "n", "least", "most", *ranks.answers()
     )
@@ -91,7 +109,7 @@ def grouped_quantiles(
 def _first_cells(rows: DataFrame, names: list[str], ranks: _Ranks) -> DataFrame:
     """One row per group: n, least, most and the cell of each rank."""
     cells = rows.groupBy(*names, first_cell(F.col("_v")).alias("_cell")).agg(
-        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+        F.expr("count(1) AS _c"), F.expr("min(_v) AS _lo"), F.expr("max(_v) AS _hi")
     )
     group = Window.partitionBy(*names)
     upto = group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -99,70 +117,44 @@ def _first_cells(rows: DataFrame, names: list[str], ranks: _Ranks) -> DataFrame:
     picked = ranked.groupBy(*names).agg(
         F.max("n").alias("n"), F.min("_lo").alias("least"), F.max("_hi").alias("most"), *ranks.picks()
     )
-    return picked.where(F.col("n").isNotNull())
+    return picked.where("n IS NOT NULL")
 
 
 def _narrowed(rows: DataFrame, state: DataFrame, names: list[str], ranks: _Ranks, exact: bool) -> DataFrame:
     """The state after one more pass: cells of different values are cut, down to values if ``exact``."""
-    joined = _null_safe_join(rows, state, names)
-    v = F.col("_v")
-    slot, low, high, at = (F.lit(None).cast(t) for t in ("int", "double", "double", "long"))
-    for j in reversed(range(ranks.count)):
-        cell = F.col(f"_s{j}")
-        inside = (cell["_lo"] < cell["_hi"]) & (v >= cell["_lo"]) & (v <= cell["_hi"])
-        slot, low, high, at = (
-            F.when(inside, new).otherwise(old)
-            for new, old in ((F.lit(j), slot), (cell["_lo"], low), (cell["_hi"], high), (cell["_at"], at))
-        )
-    held = joined.select(*names, "n", v, slot.alias("_slot"), low.alias("_low"), high.alias("_high"), at.alias("_from"))
-    held = held.where(F.col("_slot").isNotNull())
-    cut = v if exact else finer_cell(v, F.col("_low"), F.col("_high"), _CELLS)
+    held = _null_safe_join(rows, state, names).withColumn("_slot", F.expr(ranks.slot())).where("_slot IS NOT NULL")
+    held = held.selectExpr(*names, "n", "_v", "_slot", *[
+        f"{ranks.of_slot(part)} AS {name}" for part, name in (("_at", "_from"), ("_lo", "_low"), ("_hi", "_high"))
+    ])
+    cut = F.col("_v") if exact else finer_cell(F.col("_v"), F.col("_low"), F.col("_high"), _CELLS)
     counted = held.groupBy(*names, "n", "_slot", "_from", cut.alias("_cell")).agg(
-        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+        F.expr("count(1) AS _c"), F.expr("min(_v) AS _lo"), F.expr("max(_v) AS _hi")
     )
     upto = Window.partitionBy(*names, "_slot").orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = counted.withColumn("_end", F.col("_from") + F.sum("_c").over(upto))
-    picked = ranked.groupBy(*names).agg(*[p.alias(f"_new{j}") for j, p in enumerate(ranks.picks())])
+    picked = ranked.groupBy(*names).agg(*ranks.picks()).withColumnsRenamed({f"_s{j}": f"_new{j}" for j in ranks.slots})
     merged = _null_safe_join(state, picked, names, "left")
-    cells = [F.coalesce(f"_new{j}", f"_s{j}").alias(f"_s{j}") for j in range(ranks.count)]
-    return merged.select(*names, "n", "least", "most", *cells)
-
-
-def _open_rows(state: DataFrame) -> Column:
-    """Rows of the largest cell of different values, 0 if every cell is one value."""
-    cells = [F.col(c) for c in state.columns if c.startswith("_s")]
-    return F.greatest(F.lit(0), *[F.when(c["_lo"] < c["_hi"], c["_c"]) for c in cells])
+    return merged.selectExpr(*names, "n", "least", "most", *[f"coalesce(_new{j}, _s{j}) AS _s{j}" for j in ranks.slots])
 
 
-def _as_written(state: DataFrame) -> tuple[DataFrame, int]:
+def _as_written(state: DataFrame, ranks: _Ranks) -> tuple[DataFrame, int]:
     path = scratch_path(state.sparkSession, "cells")
     state.write.parquet(path)
     kept = state.sparkSession.read.schema(state.schema).parquet(path)
-    return kept, kept.agg(F.coalesce(F.max(_open_rows(kept)), F.lit(0))).first()[0]
-
-
-def _as_literals(state: DataFrame) -> tuple[DataFrame, int]:
-    """The state of a bounded number of groups, as plan literals."""
-    found = state.withColumn("_open", _open_rows(state)).collect()
-    open_rows = max((row["_open"] for row in found), default=0)
-    fields = state.schema.fields
+    return kept, kept.agg(F.expr(f"coalesce(max({ranks.open_rows()}), 0L)")).first()[0]
 
-    def literal(value, kind) -> Column:
-        if isinstance(value, Row):
-            return F.struct(*[literal(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
-        return F.lit(value).cast(kind)
 
-    records = [F.struct(*[literal(row[f.name], f.dataType).alias(f.name) for f in fields]) for row in found]
-    one = state.sparkSession.range(1)
-    if not records:
-        return one.where("false").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields]), 0
-    return F.broadcast(one.select(F.inline(F.array(*records)))), open_rows
+def _as_local(state: DataFrame, ranks: _Ranks) -> tuple[DataFrame, int]:
+    """The state of a bounded number of groups, a row for each."""
+    found = state.selectExpr("*", f"{ranks.open_rows()} AS _open").collect()
+    local = state.sparkSession.createDataFrame([row[:-1] for row in found], state.schema)
+    return F.broadcast(local), max((row["_open"] for row in found), default=0)
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
     """Join on the groups where null equals null; the right copies are dropped. Without groups, right is one row."""
     if not names:
         return left.join(F.broadcast(right), F.lit(True), how)
-    renamed = right.select(*[F.col(n).alias(f"_r{n}") for n in names], *[c for c in right.columns if c not in names])
+    renamed = right.withColumnsRenamed({n: f"_r{n}" for n in names})
     same = reduce(Column.__and__, [left[n].eqNullSafe(renamed[f"_r{n}"]) for n in names])
     return left.join(renamed, same, how).drop(*[f"_r{n}" for n in names])

@@ -51,7 +51,9 @@ FILTERS = {
     "ne": ("segment", "BUILDING", "segment IS DISTINCT FROM 'BUILDING'"),
     "contains": ("full_name", "ER#00000001", "contains(lower(full_name), 'er#00000001')"),
     "not_contains": ("full_name", "1", "NOT coalesce(contains(full_name, '1'), false)"),
+    "gt": ("quantity", 5, "try_cast(quantity AS DOUBLE) > 5"),
     "gte": ("quantity", 5, "try_cast(quantity AS DOUBLE) >= 5"),
+    "lte": ("quantity", 3, "try_cast(quantity AS DOUBLE) <= 3"),
     "lt": ("quantity", 3, "try_cast(quantity AS DOUBLE) < 3"),
 }
 
@@ -275,22 +277,6 @@ def csv_source(t):
     return delimited.csv_source(t.spark, path, sep=";")
 
 
-@query(
-    "csv_dialects",
-    """SELECT 'utf-8-sig' AS encoding, ';' AS sep, CAST(1 AS BIGINT) AS files,
-      (SELECT count(*) FROM orders) AS rows""",
-)
-def csv_dialects(t):
-    """One file of orders, its dialect found, and its rows counted through that dialect."""
-    path = scratch_path(t.spark, "dialects")
-    t.orders.coalesce(1).write.option("header", True).option("sep", ";").csv(path)
-    found = delimited.csv_dialects(t.spark, path).groupBy("encoding", "sep").agg(
-        F.count(F.lit(1)).alias("files")
-    )
-    rows = delimited.csv_folder(t.spark, path).agg(F.count(F.lit(1)).alias("rows"))
-    return found.crossJoin(F.broadcast(rows))
-
-
 @query(
     "persist_clean",
     f"""SELECT lead_id, try_cast(quantity AS DOUBLE) AS quantity, {DATE.format(c='created_date')}

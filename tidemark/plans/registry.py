@@ -38,6 +38,7 @@ def load_all() -> None:
         catalog_business,
         catalog_charts,
         catalog_data,
+        catalog_dates,
         catalog_growth,
         catalog_quality,
     )
