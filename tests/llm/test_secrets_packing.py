@@ -77,13 +77,24 @@ def test_scan_keeps_rows(spark):
 
 @pytest.mark.parametrize("text", [
     "Hello  World", "a\u0301 b\u00a0c", "x!\x1c!y", "\u03a3\u03a3 it's 12 3", "<|endoftext|> a <| b", "", " \n\t ",
-    "caf\u0065\u0301 \u1e9b\u0323", "don't\x0bcan't", "The.### ab, cd's. X1. \u00e9t\u00e9| (a) A\u0301.", string.printable, "\u2028a\u3000b",
+    "\u0130. D\u0130YARBAK\u0130, x \u0130 a\u0130! I\u0307.", "caf\u0065\u0301 \u1e9b\u0323", "don't\x0bcan't", "The.### ab, cd's. X1. \u00e9t\u00e9| (a) A\u0301.", string.printable, "\u2028a\u3000b",
 ])
 def test_word_ids_are_those_of_the_whole_text(text):
     whole = Tokenizer.from_file(VOCABULARY).encode(text, add_special_tokens=False).ids
     assert packing.WordIds(VOCABULARY)(text).tolist() == whole
 
 
+def test_word_ids_of_random_strings():
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcDEFzé\u0130\u0307\u0301ßΣς中0189.,!?'\"-_()<|> \n\t\u00a0\u200d"))
+    encode, plain = packing.WordIds(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    texts = ["".join(rng.choice(letters, rng.integers(0, 14))) for _ in range(20_000)]
+    wide = np.array([chr(c) for c in range(0x80, 0x560)] + list("ab.,!' "))
+    texts += ["".join(rng.choice(wide, rng.integers(0, 10))) + end for _ in range(4_000) for end in (".", "!?", "'s", " x", "")]
+    for text, whole in zip(texts, plain.encode_batch(texts, add_special_tokens=False)):
+        assert encode(text).tolist() == whole.ids, text
+
+
 def test_word_ids_on_documents(spark, folder, monkeypatch):
     monkeypatch.setattr(packing, "_REMEMBERED", 500)
     encode, plain = packing.WordIds(VOCABULARY), Tokenizer.from_file(VOCABULARY)

@@ -17,7 +17,7 @@ from tidemark.llm.common import LOWER, UPPER, written
 from tidemark.operators.ranks import number_rows
 
 #: Words whose ids a Python worker remembers at a time.
-_REMEMBERED = 250_000
+_REMEMBERED = 1_000_000
 #: Rows read into Python objects at a time.
 _ROWS = 500
 _MARKS = b"!#$%&()*+,-./:;<=>?@[]^_`{|}~"
@@ -31,34 +31,61 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _only_letters(word: bytes) -> bool:
+    """Letters that stay letters in lower case: Latin, Greek and Cyrillic without the dotted capital I."""
+    if word.isalpha():  # ASCII, as these are bytes
+        return True
+    text = word.decode()
+    return text.isalpha() and max(text) < "\u0530" and "\u0130" not in text
+
+
 class WordIds:
     """Ids of texts, as little-endian unsigned 32-bit numbers, under a tokenizer of lower-case words.
 
     The tokenizer must never join characters across white space and must keep letters apart from
-    marks. Each word is encoded once while it is remembered; a word with marks at its end is put
-    together from both. A text that may hold a special token is encoded as a whole.
+    ASCII marks. Each word is encoded once while it is remembered; a word of letters with marks at
+    its end is put together from both. A text that may hold a special token is encoded as a whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = _tokenizer(path)
         self.known: dict[bytes, bytes] = {}
+        names = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(names.values()) + 1, dtype=bool)
+        self.ends_word[[i for name, i in names.items() if name.endswith("</w>")]] = True
 
     def _encode(self, parts: list[bytes]) -> None:
         texts = [part.decode() for part in parts]
         for part, coded in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             self.known[part] = np.asarray(coded.ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: list[bytes]) -> None:
-        cut, parts = [], set()
+    def _encode_letters(self, parts: list[bytes]) -> None:
+        """Words of letters as one text, cut behind the ids that end a word."""
+        ids = np.asarray(self.tokenizer.encode(b" ".join(parts).decode(), add_special_tokens=False).ids, dtype="<u4")
+        ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
+        if len(ends) != len(parts):
+            return self._encode(parts)
+        data, start = ids.tobytes(), 0
+        for part, end in zip(parts, ends.tolist()):
+            self.known[part] = data[start:end]
+            start = end
+
+    def _learn(self, words: set[bytes]) -> None:
+        cut, letters, others = [], set(), set()
         for word in words:
             base = word.rstrip(_MARKS)
-            if base and len(base) < len(word) and base.decode().isalpha():
+            if not _only_letters(base):
+                others.add(word)
+                continue
+            letters.add(base)
+            if len(base) < len(word):
+                others.add(word[len(base) :])
                 cut.append((word, base, word[len(base) :]))
-                parts.update(cut[-1][1:])
-            else:
-                parts.add(word)
-        self._encode([part for part in parts if part not in self.known])
+        if letters := letters.difference(self.known):
+            self._encode_letters(list(letters))
+        if others := others.difference(self.known):
+            self._encode(list(others))
         for word, base, marks in cut:
             self.known[word] = self.known[base] + self.known[marks]
 
@@ -70,8 +97,8 @@ class WordIds:
         words = text.translate(_PLAIN).split(b" ")
         if len(self.known) > _REMEMBERED:
             self.known.clear()
-        if new := dict.fromkeys(word for word in words if word not in self.known):
-            self._learn(list(new))
+        if new := set(words).difference(self.known):
+            self._learn(new)
         return np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype="<u4")
 
 
