@@ -9,9 +9,9 @@ from tidemark.llm import line_dedup
 
 
 def brute(rows):
-    """{row: lines to drop}; rows are (key, text)."""
+    """{row: lines to drop}; rows are (key, text), and of one key at most one has a text."""
     order = lambda k: (k is None, k or 0)
-    lines = [(order(k), at, i, shingles(line) if len(line.split()) >= 5 else set(), line)
+    lines = [(order(k), at, i, shingles(line), line)
              for i, (k, text) in enumerate(rows) for at, line in enumerate((text or "").split("\n"))]
     index, drop = {}, {i: set() for i in range(len(rows))}
     for x in lines:
@@ -66,8 +66,45 @@ def test_near_copies_of_lines(spark):
 
 def test_odd_lines(spark):
     line = "a b c d e f g"
-    check(spark, [(3, line), (1, line + "\n" + line.upper() + "\n\n"), (None, line), (None, "x\n" + line), (2, None), (5, ""),
+    check(spark, [(3, line), (1, line + "\n" + line.upper() + "\n\n"), (None, "x\n" + line), (2, None), (5, ""),
                   (6, "short\nshort"), (7, "y " * 5000 + "\n" + "y " * 4000), (8, " a\tb c  d e f g ")])
+
+
+def test_lines_of_one_to_four_words(spark):
+    notice = "All rights reserved."
+    check(spark, [(1, f"{notice}\n\n\none two three four"), (2, f"x\n{notice}\nALL  rights\treserved."), (3, "x\none two three five"),
+                  (4, "one two three four five\n \n\t"), (5, "x x\nx\nx x x"), (6, notice)])
+
+
+def test_rows_without_keys_and_with_one_key(spark):
+    line = "a b c d e f g"
+    rows = [(None, f"{line}\nfirst"), (None, f"second\n{line}"), (7, f"{line}\nthird"), (7, f"fourth\n{line}"), (7, None), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    out = line_dedup.drop_later_lines(frame).collect()
+    assert sorted(str(r.text) for r in out if line not in str(r.text)) == sorted(
+        [t.replace(f"{line}\n", "").replace(f"\n{line}", "") for k, t in rows if t and k is None]
+        + [next(t for t in ("third", "fourth") if all(line not in str(r.text) or t not in r.text for r in out))] + ["None", "None"])
+    assert sum(line in str(r.text) for r in out) == 1 and {r.doc_id for r in out if line in str(r.text)} == {7}
+
+
+def test_groups_of_near_copies(spark):
+    """Near copies of one line, long ones and a chain: the second round finds what the first leaves."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    rows, chain = [], list(base)
+    for key in range(60):
+        words = list(base)
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(60)] = f"x{rng.randrange(1000)}"
+        chain[(key * 7) % 60] = f"y{key}"
+        rows.append((rng.randrange(10**6) * 100 + key, " ".join(words) + "\n" + " ".join(chain)))
+    long = [f"v{i}" for i in range(700)]
+    rows += [(5_000 + i, " ".join(long[: 700 - 60 * i])) for i in range(6)]
+    check(spark, rows)
+
+
+def test_equal_rows_keep_their_lines(spark):
+    line = "a b c d e f g"
     same = spark.createDataFrame([(1, line, "k"), (1, line, "k")], "doc_id long, text string, n_removed string")
     assert [r.text for r in line_dedup.drop_later_lines(same).collect()] == [line, line]
     assert line_dedup.drop_later_lines(same.limit(0)).count() == 0

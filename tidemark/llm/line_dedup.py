@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm.common import WHITE_SPACE, free_name, lower_ascii, written
 
 _CELLS = 1 << 16  # of the count sketch
-_FILTER = 1 << 20  # cells of the filter that picks candidate lines from the documents
+_FILTER = 1 << 20  # cells of the filters that pick lines and documents before an exact join
 _HOT = 10_000  # a line is hot with more than this part of all lines; so there are no more of them
+_MOST = 255  # sizes and places from here on are packed as this one, and pass every filter
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, at, line): every line of every document; the place makes lines of a document unique."""
+    """(doc, t, at, line): every line of every document with its place.
+
+    A document is named by its key and a hash of its text, so rows that share a key, or lack one,
+    are documents of their own unless they are equal.
+    """
+    whole = F.col(f"`{text}`").cast("string")
     return docs.select(
-        F.col(f"`{key}`").alias("doc"), F.posexplode(F.split(F.col(f"`{text}`").cast("string"), "\n")).alias("at", "line")
+        F.col(f"`{key}`").alias("doc"), F.xxhash64(whole).alias("t"), F.posexplode(F.split(whole, "\n")).alias("at", "line")
     )
 
 
 def _place() -> Column:
     """Order of lines: by document, those without a key last, then by line."""
-    return F.struct(F.col("doc").isNull().alias("no_key"), F.col("doc").alias("doc"), F.col("at").alias("at"))
+    return F.struct(F.col("doc").isNull().alias("no_key"), F.col("doc").alias("doc"), F.col("t").alias("t"), F.col("at").alias("at"))
 
 
 def _hashes(line: str = "line") -> list[Column]:
@@ -28,11 +34,6 @@ def _hashes(line: str = "line") -> list[Column]:
     return [F.xxhash64(line).alias("h"), F.xxhash64(F.lit("line"), F.col(line)).alias("g")]
 
 
-def _counted(n: int) -> Column:
-    """Whether a line has ``n`` words; reads no more of it than those."""
-    return F.col("line").rlike(rf"(?:[^ \t-\r]+[ \t-\r]+){{{n - 1}}}[^ \t-\r]")
-
-
 def _words() -> Column:
     """The words of a line, A-Z in lower case; ``lower`` does just that to ASCII, and faster than ``translate``."""
     line = F.col("line")
@@ -42,23 +43,33 @@ def _words() -> Column:
 
 
 def _grams(n: int) -> Column:
-    """Hashes of the distinct n-word shingles of a line that has n words, in order of size."""
+    """Hashes of the distinct n-word shingles of a line, in order of size; a shorter line is one shingle."""
 
     def hashes(w: Column) -> Column:
-        return F.transform(
+        shingles = F.transform(
             F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)])
         )
+        return F.when(F.size(w) >= n, shingles).otherwise(F.array(F.xxhash64(w)))
 
     # The array around the words names them, so that they are split once and not for each use.
     return F.array_distinct(F.sort_array(F.get(F.transform(F.array(_words()), hashes), F.lit(0))))
 
 
-def _rare_first(hot_cells: list[int]) -> Column:
+def _halves(n: int) -> Column:
+    """Half a hash for each shingle: enough to find candidates, which whole hashes verify.
+
+    Shingles that share one stay apart in the array, so sizes are right and common tokens are no
+    fewer than common shingles.
+    """
+    return F.transform(_grams(n), lambda g: F.shiftright(g, 32).cast("int"))
+
+
+def _rare_first(tokens: Column, hot_cells: list[int]) -> Column:
     """The tokens with those of hot cells last, and in order of size otherwise."""
     if not hot_cells:
-        return F.col("tokens")
+        return tokens
     return F.concat(
-        F.filter("tokens", lambda t: ~_cell(t).isin(hot_cells)), F.filter("tokens", lambda t: _cell(t).isin(hot_cells))
+        F.filter(tokens, lambda t: ~_cell(t).isin(hot_cells)), F.filter(tokens, lambda t: _cell(t).isin(hot_cells))
     )
 
 
@@ -76,88 +87,132 @@ def _common_cells(tokens: DataFrame) -> list[int]:
     return sorted(r["cell"] for r in found if r["n"] > mean + 5 * mean**0.5 + 5)
 
 
-def _needed(a: Column | str, b: Column | str, num: int, den: int) -> Column:
+def _needed(a: Column, b: Column, num: int, den: int) -> Column:
     """Common tokens that sets of sizes a and b need for a similarity of num/den."""
-    return F.ceil((F.col(a) + F.col(b)) * num / (num + den))
+    return F.ceil((a + b) * num / (num + den))
+
+
+def _part(packed: Column | str, shift: int) -> Column:
+    return F.shiftright(packed, shift).bitwiseAND(F.lit(255))
+
+
+def _packed(token: Column, order: Column, size: Column, pos: Column) -> Column:
+    """Token, rough order, size and place in one number: shuffled rows are two numbers long."""
+    return (
+        F.shiftleft(token.cast("long"), 32)
+        .bitwiseOR(F.shiftleft(order.cast("long"), 16))
+        .bitwiseOR(F.shiftleft(F.least(size, F.lit(_MOST)).cast("long"), 8))
+        .bitwiseOR(F.least(pos, F.lit(_MOST)).cast("long"))
+    )
+
+
+def _may_match(one: Column | str, two: Column | str, num: int, den: int) -> Column:
+    """Whether sizes and places in the prefix still allow the similarity; packed maxima say nothing."""
+    a, b, i, j = _part(one, 8), _part(two, 8), _part(one, 0), _part(two, 0)
+    sized = den * F.least(a, b) >= num * F.greatest(a, b)
+    rest = F.least(a - i, b - j) + F.least(i, j) >= _needed(a, b, num, den)
+    return (F.greatest(a, b, i, j) >= _MOST) | (sized & rest)
+
+
+def _heads(lines: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(a, h): a row for each prefix token of each line, ``a`` as :func:`_packed`."""
+    hot_cells = _common_cells(lines.select(_halves(n).alias("tokens")))
+    # A rough order of the lines as they are read, in 16 bits: it only chooses which line of a token goes first.
+    at = F.monotonically_increasing_id()
+    order = F.shiftright(at, 33) % 1024 * 64 + F.least(F.shiftright(at % (1 << 33), 14), F.lit(63))
+    tokens = F.get(F.transform(F.array(_halves(n)), lambda t: _rare_first(t, hot_cells)), F.lit(0))
+    ordered = lines.select("h", order.alias("order"), tokens.alias("tokens")).withColumn("size", F.size("tokens"))
+    prefix = F.col("size") - F.ceil(F.col("size") * num / den).cast("int") + 1
+    heads = ordered.select("h", "order", "size", F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("pos", "token"))
+    return heads.select(_packed(F.col("token"), F.col("order"), F.col("size"), F.col("pos")).alias("a"), "h")
+
+
+def _shared(heads: DataFrame) -> DataFrame:
+    """(token, a, h, first_a, first): rows of tokens that two lines share, with the first line of the token.
+
+    A token of one line ends here, and it is what most tokens are.
+    """
+    by_token = Window.partitionBy("token")
+    marked = heads.repartition(F.shiftright("a", 32)).withColumn("token", F.shiftright("a", 32)).select(
+        "token", "a", "h", F.min(F.struct("a", "h")).over(by_token).alias("least"),
+        (F.min("h").over(by_token) < F.max("h").over(by_token)).alias("two"),
+    )
+    rows = marked.where("two").groupBy("token", "h").agg(F.min("a").alias("a"), F.min("least").alias("least"))
+    return rows.select("token", "a", "h", F.col("least.a").alias("first_a"), F.col("least.h").alias("first"))
 
 
 def later_lines(
     docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, similarity: tuple[int, int] = (3, 4)
 ) -> DataFrame:
-    """(doc, at, h): lines, and the hash of their text, that equal or resemble an earlier line, in order of document and line.
+    """(doc, t, at, h): lines, and the hash of their text, that equal or resemble an earlier line.
 
-    A line's tokens are its distinct n-word shingles, A-Z in lower case; shorter lines never count.
-    Two lines match when the Jaccard similarity of their tokens is at least num/den. Tokens are
-    ordered by rarity (a count sketch over all lines tells common ones), and lines that share a
+    Lines come in order of document and line. A line's tokens are its distinct n-word shingles, A-Z
+    in lower case, or its whole sequence of words if it has fewer; lines without words are left
+    alone. Two lines match when the Jaccard similarity of their tokens is at least num/den. Tokens
+    are ordered by rarity (a count sketch over all lines tells common ones), and lines that share a
     token of their prefixes are candidates if their sizes and the token's places still allow the
-    similarity; candidates are verified on all tokens. Lines of equal text are one candidate. Of
-    lines of which the cluster has very many copies only the first takes part: there are at most
-    10,000 of those, which bounds what is broadcast.
+    similarity; candidates are verified on all tokens.
+
+    Candidates come in two rounds: first each line against one early line of each of its tokens,
+    which settles most near copies of one line, then what is left against all lines that share a
+    token. A line needs one earlier match to go, so a group of near copies is hardly ever compared
+    all against all. Lines of equal text are one candidate; of lines of which the cluster has very
+    many copies only the first takes part: at most 10,000 of those, which bounds what is broadcast.
     """
     num, den = similarity
-    lines = _lines(docs, key, text).where(_counted(n))
-    named = lines.select("doc", "at", "line", *_hashes())
+    named = _lines(docs, key, text).where(F.col("line").rlike(r"[^ \t-\r]")).select("doc", "t", "at", "line", *_hashes())
     classes = written(
         named.groupBy("h", "g").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("copies")), "lines",
     )
     total = classes.agg(F.sum("copies")).first()[0] or 0
     hot = classes.where(F.col("copies") > max(2, total // _HOT)).select("h", "g", F.col("first").alias("only"))
-
     once = named.join(F.broadcast(hot), ["h", "g"], "left").where(F.col("only").isNull() | (F.col("only") == _place()))
-    # Half a hash is a token. Shingles that share one stay apart in the array, so sizes are right and common
-    # tokens are no fewer than common shingles: this finds candidates, and whole hashes verify them.
-    tokens = written(
-        once.select("h", F.transform(_grams(n), lambda g: F.shiftright(g, 32).cast("int")).alias("tokens")), "line-tokens"
-    )
-    ordered = tokens.select("h", F.size("tokens").alias("size"), _rare_first(_common_cells(tokens)).alias("tokens"))
-    prefix = F.col("size") - F.ceil(F.col("size") * num / den).cast("int") + 1
-    heads = ordered.select("h", "size", F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("pos", "token"))
-    heads = heads.select("token", "h", "size", "pos").repartition("token").distinct()
-    one, two = heads.alias("one"), heads.alias("two")
-    fits = (F.col("one.h") < F.col("two.h")) & (
-        den * F.least("one.size", "two.size") >= num * F.greatest("one.size", "two.size")
-    ) & (
-        F.least(F.col("one.size") - F.col("one.pos"), F.col("two.size") - F.col("two.pos"))
-        + F.least("one.pos", "two.pos") >= _needed("one.size", "two.size", num, den)
-    )
-    pairs = written(
-        one.join(two, (F.col("one.token") == F.col("two.token")) & fits)
-        .select(F.col("one.h").alias("a"), F.col("two.h").alias("b")).distinct(), "line-pairs",
-    )
 
-    wanted = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
-    filled = wanted.select(F.pmod("h", F.lit(_FILTER)).alias("cell")).distinct()
-    picked = once.withColumn("cell", F.pmod("h", F.lit(_FILTER))).join(F.broadcast(filled), "cell", "left_semi").select(
-        "h", "g", "line"
-    )
-    sets = written(
-        picked.join(wanted, "h", "left_semi").dropDuplicates(["h", "g"]).select("h", "g", _grams(n).alias("tokens")),
-        "line-sets",
-    )
+    shared = written(_shared(_heads(once, n, num, den)), "line-tokens")
+    sets = written(_sets(once, classes, shared, n), "line-sets")
 
-    def side(name: str, other: str) -> DataFrame:
-        return sets.select(F.col("h").alias(name), F.col("g").alias(f"{name}_g"), F.col("tokens").alias(other))
+    star = shared.where((F.col("h") != F.col("first")) & _may_match("a", "first_a", num, den)).select(
+        F.col("first").alias("one"), F.col("h").alias("two")
+    ).distinct()
+    gone = written(_later_of(star, sets, num, den), "line-gone")
+
+    left = sets.join(gone, ["h", "g"], "left_anti").select("h").distinct()
+    rows = shared.where(F.col("h") != F.col("first")).select("token", "a", "h")
+    open_rows = rows.join(left, "h", "left_semi")
+    other = rows.toDF("token", "other_a", "other")
+    pairs = open_rows.join(other, "token").where((F.col("h") != F.col("other")) & _may_match("a", "other_a", num, den))
+    rest = pairs.select(F.least("h", "other").alias("one"), F.greatest("h", "other").alias("two")).distinct()
+    gone = gone.unionByName(_later_of(rest, sets, num, den)).distinct().withColumn("gone", F.lit(True))
 
-    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-    common = both.withColumn("common", F.size(F.array_intersect("x", "y")))
-    same = common.where(den * F.col("common") >= num * (F.size("x") + F.size("y") - F.col("common"))).select(
-        "a", "a_g", "b", "b_g"
-    )
-    firsts = classes.select("h", "g", "first")
-    placed = same.join(firsts.toDF("a", "a_g", "a_first"), ["a", "a_g"]).join(
-        firsts.toDF("b", "b_g", "b_first"), ["b", "b_g"]
-    )
-    later = F.col("a_first") > F.col("b_first")
-    gone = placed.select(
-        F.when(later, F.col("a")).otherwise(F.col("b")).alias("h"),
-        F.when(later, F.col("a_g")).otherwise(F.col("b_g")).alias("g"),
-    ).distinct().withColumn("gone", F.lit(True))
     affected = classes.join(gone, ["h", "g"], "left").where((F.col("copies") > 1) | F.col("gone")).select(
         "h", "g", "first", F.coalesce("gone", F.lit(False)).alias("gone")
     )
-    return named.select("doc", "at", "h", "g").join(affected, ["h", "g"]).where(
+    return named.select("doc", "t", "at", "h", "g").join(affected, ["h", "g"]).where(
         F.col("gone") | (F.col("first") != _place())
-    ).select("doc", "at", "h")
+    ).select("doc", "t", "at", "h")
+
+
+def _sets(lines: DataFrame, classes: DataFrame, shared: DataFrame, n: int) -> DataFrame:
+    """(h, g, first, tokens): whole hashes of all shingles of the lines that share a token."""
+    wanted = shared.select("h").distinct()
+    filled = wanted.select(F.pmod("h", F.lit(_FILTER)).alias("cell")).distinct()
+    picked = lines.withColumn("cell", F.pmod("h", F.lit(_FILTER))).join(F.broadcast(filled), "cell", "left_semi")
+    firsts = classes.join(wanted, "h", "left_semi").select("h", "g", "first")
+    texts = picked.groupBy("h", "g").agg(F.first("line").alias("line"))
+    return texts.join(firsts, ["h", "g"]).select("h", "g", "first", _grams(n).alias("tokens"))
+
+
+def _later_of(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(h, g): the later line of each pair (one, two) whose similarity is enough."""
+    one, two = (sets.select(*[F.col(c).alias(f"{c}_{side}") for c in sets.columns]) for side in ("one", "two"))
+    both = pairs.join(one, F.col("one") == F.col("h_one")).join(two, F.col("two") == F.col("h_two"))
+    common = both.withColumn("common", F.size(F.array_intersect("tokens_one", "tokens_two")))
+    union = F.size("tokens_one") + F.size("tokens_two") - F.col("common")
+    later = F.col("first_one") > F.col("first_two")
+    return common.where(den * F.col("common") >= num * union).select(
+        F.when(later, F.col("h_one")).otherwise(F.col("h_two")).alias("h"),
+        F.when(later, F.col("g_one")).otherwise(F.col("g_two")).alias("g"),
+    ).distinct()
 
 
 def drop_later_lines(
@@ -167,25 +222,34 @@ def drop_later_lines(
     """``docs`` without the lines of :func:`later_lines`, and how many each has lost in ``removed``.
 
     A document loses a line when an earlier one, of a document with a smaller key or above in the
-    same document, matches it; the earliest of all is never lost. Rows with one key count as one
-    document: equal lines at the same place of both are no later lines of each other. Rows without a key come last and
-    are one document, too. Null texts stay null; other columns and rows stay as they are, and a
-    column ``removed`` is replaced. An empty table stays empty.
+    same document, matches it; the earliest of all is never lost. Rows without a key come last.
+    Rows of one key, or without one, are ordered by a hash of their texts; only if the texts are
+    equal too do they count as one document, and keep the same lines. Null texts stay null; other
+    columns and rows stay as they are, and a column ``removed`` is replaced. An empty table stays
+    empty.
     """
-    lost = later_lines(docs, key, text, n, similarity).groupBy("doc").agg(
-        F.collect_set(F.xxhash64("at", "h")).alias("lost")
+    lost = later_lines(docs, key, text, n, similarity).groupBy("doc", "t").agg(
+        F.collect_set(F.xxhash64("at", "h")).alias("lost")  # lines of one text at most
     )
     docs = docs.drop(removed) if removed in docs.columns else docs
-    doc, gone = free_name(docs, "doc"), free_name(docs, "lost")
-    lost = lost.withColumnsRenamed({"doc": doc, "lost": gone})
-    joined = docs.join(lost, docs[key].eqNullSafe(lost[doc]), "left")
-    lines = F.split(F.col(f"`{text}`").cast("string"), "\n")
+    doc, same, gone, cell = (free_name(docs, name) for name in ("doc", "t", "lost", "cell"))
+    lost = written(lost.withColumnsRenamed({"doc": doc, "t": same, "lost": gone}), "lost-lines")
+    # Rows that lose nothing, as a filter of fixed size tells for most of them, are spared the join.
+    whole = F.col(f"`{text}`").cast("string")
+    marked = docs.withColumn(cell, F.pmod(F.xxhash64(F.col(f"`{key}`"), F.xxhash64(whole)), F.lit(_FILTER)))
+    filled = lost.select(F.pmod(F.xxhash64(F.col(doc), F.col(same)), F.lit(_FILTER)).alias("_cell")).distinct()
+    hit = marked[cell] == filled["_cell"]
+    spared = marked.join(F.broadcast(filled), hit, "left_anti").drop(cell)
+    touched = marked.join(F.broadcast(filled), hit, "left_semi").drop(cell)
+    joined = touched.join(lost, touched[key].eqNullSafe(lost[doc]) & (F.xxhash64(touched[text].cast("string")) == lost[same]), "left")
+    lines = F.split(whole, "\n")
     stays = F.filter(lines, lambda line, i: ~F.array_contains(gone, F.xxhash64(i, F.xxhash64(line))))
     stay = free_name(docs, "stays")
     joined = joined.withColumn(stay, F.when(F.col(gone).isNotNull(), stays))
     kept = F.array_join(stay, "\n")
-    return joined.select(
+    cut = joined.select(
         *[F.when(F.col(gone).isNull(), F.col(f"`{c}`")).otherwise(kept).alias(c) if c == text else F.col(f"`{c}`")
           for c in docs.columns],
         F.coalesce(F.when(F.col(stay).isNotNull(), F.size(lines) - F.size(stay)), F.lit(0)).cast("long").alias(removed),
     )
+    return cut.unionAll(spared.withColumn(removed, F.lit(0).cast("long")))
