@@ -72,6 +72,34 @@ def test_siblings_tables_and_broken_pages():
     assert html.main_text(deep) == "deep"
 
 
+def test_wrappers_and_class_words_around_the_whole_page():
+    body = "<h1>Title</h1><p>One, two, three and some more words of it.</p><p>Four, five.</p>"
+    want = "Title\nOne, two, three and some more words of it.\nFour, five."
+    site = "<nav><a href=x>Home</a> <a href=y>News</a></nav>%s<div class='comments'><p>I like it, a lot.</p></div><footer>me</footer>"
+    for wrapper in ("<form action=x>%s</form>", "<div class='social-science'>%s</div>", "<div class='login-required'>%s</div>",
+                    "<div class='job-search-results'>%s</div>", "<form><div id=related-work>%s</div></form>"):
+        for inner in (body, f"<article>{body}</article>", f"<div><div class=promo><p>Buy now</p></div>{body}</div>"):
+            assert html.main_text("<body>" + site % (wrapper % inner)) == want, (wrapper, inner)
+            assert html.main_text("<body>" + wrapper % (site % inner)) == want, (wrapper, inner)
+    assert html.main_text("<body><nav><a href=x>Home</a></nav><div class=menu>a b</div><footer>c</footer>") == ""
+
+
+def test_short_sections_beside_a_long_one():
+    long = "".join(f"<p>{'many words, ' * 30}{i}</p>" for i in range(9))
+    page = f"<body><section class=s>{long}</section><section class=s><p>Short end.</p></section></body>"
+    assert html.main_text(page).endswith("\nShort end.")
+    assert html.main_text("<body><div><p>One.</p></div><div><p>Two.</p></div></body>") == "One.\nTwo."
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    begun = time.process_time()
+    deep = "".join(f"<div>text {i}, " for i in range(50_000)) + "</p>" * 20_000
+    assert html.main_text(deep)
+    assert time.process_time() - begun < 4
+
+
 def test_pages_keep_their_rows_and_columns(spark):
     rows = [(1, "u", "<p>a</p>", "old"), (1, "u", "<p>a</p>", "old"), (None, None, None, None)]
     out = html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
