@@ -37,7 +37,10 @@ def test_random_strings_and_what_is_excluded():
     assert kinds("D41D8CD98F00B204E9800998ECF8427E") == []  # a digest
     assert kinds("123E4567-E89B-12D3-A456-426614174000") == []  # an identifier
     assert kinds("internationalization_of_everything getUserAccountSettingsFromDatabase") == []
-    assert kinds("é" + random) == []  # part of a longer word
+    assert kinds("é" + random) == kinds(random + "密钥") == [("random", random)]  # other letters end a run
+    token = "ghp_abcdefabcdef0123456789XyZq9WvBt7LmNo"
+    assert kinds(token) == [("random", token), ("hex", "abcdefabcdef0123456789")]
+    assert kinds(f"secret={random}") == [("assign", random)]
     text = "x" * 50 + " " + random
     assert secret_scan.spans_of(text, BYTES)[0][1:3] == (51, 51 + len(random))
 

@@ -20,7 +20,7 @@ BASE = [
 #: Hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGEST_SIZES = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-RUN = re.compile(r"(?<![\w+/=-])[A-Za-z0-9+/_=-]{20,}(?![\w+/=-])")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
 _PATTERNS = [(kind, re.compile(pattern, re.ASCII), group, least) for kind, pattern, group, least in BASE]
 
 
@@ -69,7 +69,7 @@ def spans_of(text: str | None, path: str, ratio: float = 2.2) -> list[tuple[str,
     taken = [(start, end) for start, _, end, _, _ in found]
     for match in RUN.finditer(text or ""):
         start, end = match.span()
-        if not any(a < end and start < b for a, b in taken) and _random(match[0], path, ratio):
+        if not any(a <= start and end <= b for a, b in taken) and _random(match[0], path, ratio):
             found.append((start, len(BASE), end, "random", match[0]))
     return [(kind, start, end, secret) for start, _, end, kind, secret in sorted(found)]
 
@@ -81,7 +81,7 @@ def scan_secrets(
 
     ``assign``, ``access`` and ``hex`` are the leftmost non-overlapping matches of the patterns,
     less those that are too short. ``random`` marks a further run of 20 or more characters of
-    base64 or a name that no such match touches: with a letter, not a UUID or a digest of a known
+    base64 or a name that lies in no such match (it may hold one): with a letter, not a UUID or a digest of a known
     length, and with fewer than ``ratio`` characters a token under the tiktoken vocabulary at
     ``vocabulary`` (a file on every machine; None: ``byte_bpe_50k.tiktoken`` of the installed
     public tokenizers). Of a run without digits that is a compound of words, or of letters of one
