@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import __spark_entry__ as entry
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from tidemark.llm import mixing, sharding
 
@@ -56,6 +57,32 @@ def test_rates_reach_their_targets(spark):
     assert mixing.fit_rates(frame.limit(0), targets) == []
 
 
+def by_gradient(p, n, targets, most, steps=60_000):
+    """Rates by many plain projected gradient steps."""
+    a = (p * n[:, None]).T
+    rate, length = np.ones(len(n)), 1 / np.linalg.eigvalsh(a @ a.T).max()
+    for _ in range(steps):
+        rate = np.clip(rate - length * (a.T @ (a @ rate - targets)), 0, most or np.inf)
+    return a @ rate
+
+
+@pytest.mark.parametrize("share, leak, most", [(0.01, 0.0, 1.0), (0.01, 0.02, 1.0), (0.005, 0.1, 1.0), (0.02, 0.02, None), (0.3, 0.05, 1.0)])
+def test_rates_of_a_rare_domain_against_a_plain_solver(spark, share, leak, most):
+    rng = np.random.default_rng(8)
+    rare = rng.random(3000) < share
+    sure = np.where(rare, 1 - leak * rng.random(3000), leak * rng.random(3000))
+    p, n = np.column_stack([1 - sure, sure]), rng.integers(20, 400, 3000).astype(float)
+    held = (p * n[:, None]).sum(0)
+    targets = np.array([held[0] * 0.95, 0.0 if most else 3 * held[1]])
+    frame = spark.createDataFrame([(a.tolist(), int(b)) for a, b in zip(p, n)], "p array<double>, n long")
+    taken = mixing.fit_rates(frame, targets.tolist(), most)
+    rates = np.array([r.r for r in frame.select(mixing.rate_of(taken, 2, most).alias("r")).collect()])
+    off, plain = (p * n[:, None] * rates[:, None]).sum(0) - targets, by_gradient(p, n, targets, most) - targets
+    assert off @ off <= plain @ plain * 1.1 + (1e-3 * n.sum()) ** 2
+    if most and leak <= 0.02:
+        assert rates[rare].max() < 0.1 and rates[~rare].mean() > 0.9
+
+
 def documents(spark):
     rng = np.random.default_rng(6)
     words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(300)]

@@ -50,20 +50,21 @@ class Classifier:
     def __init__(self, domains: list[str], names: list[str], weights: np.ndarray, bias: np.ndarray):
         self.domains, self.weights, self.bias = domains, weights, bias
         self.index = {name: i for i, name in enumerate(names)}
-        self.known: dict[str, list[int]] = {}  # a word's chosen features, forgotten when there are many
+        self.seen: set[str] = set()  # words met, forgotten when there are many
+        self.useful: dict[str, list[int]] = {}  # those of them with chosen features
 
     def posteriors(self, words: list[str]) -> np.ndarray:
         """Of a text, from its words in lower case."""
-        at: set[int] = set()
-        known = self.known
-        if len(known) > 300_000:
-            known.clear()
-        for word in set(words):
-            chosen = known.get(word)
-            if chosen is None:
-                chosen = known[word] = [self.index[f] for f in word_features(word) if f in self.index]
-            if chosen:
-                at.update(chosen)
+        distinct = set(words)
+        if len(self.seen) > 600_000:
+            self.seen.clear()
+            self.useful.clear()
+        new = distinct.difference(self.seen)
+        for word in new:
+            if chosen := [self.index[f] for f in word_features(word) if f in self.index]:
+                self.useful[word] = chosen
+        self.seen |= new
+        at = set().union(*[self.useful[word] for word in distinct.intersection(self.useful)])
         scores = self.bias + self.weights[sorted(at)].sum(axis=0)
         scores = np.exp(scores - scores.max())
         return scores / scores.sum()
@@ -87,7 +88,8 @@ def train(
     found = F.pandas_udf(_features_of, "array<string>")
     sample = written(
         docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("_text"))
-        .join(chosen, "doc_id").select("domain", found("_text").alias("found")),
+        .join(F.broadcast(chosen), "doc_id")  # ``most_labelled`` rows at most; the texts stay where they are
+        .select("domain", found("_text").alias("found")),
         "sample",
     )
     totals = {r["domain"]: r["count"] for r in sample.groupBy("domain").count().collect()}
@@ -163,42 +165,52 @@ def with_posteriors(
 
 
 def fit_rates(
-    judged: DataFrame, targets: list[float], most: float | None = None, steps: int = 60
+    judged: DataFrame, targets: list[float], most: float | None = None, steps: int = 12, close: float = 1e-4
 ) -> list[list[float]]:
-    """Gradient steps that bring the expected domain tokens of ``judged`` (p, n) to ``targets``.
+    """Steps that bring the expected domain tokens of ``judged`` (p, n) to ``targets``.
 
     The squares of expected total less target are lowered over rates of at least 0 (at most
-    ``most``), from a rate of 1 on. A document's step is its posteriors times the domains'
-    differences over all tokens, so a step is as many numbers as there are domains: the rate of a
-    document follows from the list of steps alone, and no iteration writes a table. Each iteration
-    is one aggregation; they end when a step lowers the squares by less than a thousandth.
+    ``most``), from a rate of 1 on. A step moves a document's rate by its posteriors times one number
+    per domain, and clips it, so the rate of a document follows from the list of steps alone and no
+    iteration writes a table. The numbers are those of a Newton step: they solve for the
+    differences over the documents that the bounds leave free to move, so a rare domain reaches its
+    target as fast as a common one. A step that does not lower the squares is damped, which turns it
+    towards the gradient.
+
+    It ends when every total is within ``close`` of all tokens of its target, when no step lowers
+    the squares by a thousandth any more (targets that no rates reach), or after ``steps`` steps of
+    two aggregations each, or some more where one is damped.
     """
     k = len(targets)
-    p = F.col("p")
-
-    def products(i: int) -> list:
-        return [F.sum(F.col("n") * p[i] * p[j]) for j in range(k)]
-
-    first = judged.agg(F.sum("n"), *[e for i in range(k) for e in products(i)]).first()
-    tokens = float(first[0] or 0)
+    p, aims = F.col("p"), np.array(targets)
+    tokens = float(judged.agg(F.sum("n")).first()[0] or 0)
     if not tokens:
         return []
-    spread = np.array([float(v or 0) for v in first[1:]]).reshape(k, k) / tokens
-    length = 1 / max(float(np.linalg.eigvalsh(spread).max()), 1e-9)
+
+    def totals(taken: list[list[float]]) -> np.ndarray:
+        rated = judged.withColumn("r", rate_of(taken, k, most))
+        sums = rated.agg(*[F.sum(F.col("r") * F.col("n") * p[i]) for i in range(k)]).first()
+        return np.array([float(v or 0) for v in sums]) - aims
+
     taken: list[list[float]] = []
-    before = float("inf")
+    off = totals(taken)
     for _ in range(steps):
-        rate = rate_of(taken, k, most)
-        sums = judged.withColumn("r", rate).agg(*[F.sum(F.col("r") * F.col("n") * p[i]) for i in range(k)]).first()
-        off = np.array([float(v or 0) for v in sums]) - np.array(targets)
-        square = float(off @ off)
-        if square < (1e-4 * tokens) ** 2 or square > 0.999 * before:
+        if np.abs(off).max() <= close * tokens:
             break
-        before = square
-        step = [float(v) for v in length * off / tokens]
-        if taken and max(abs(a) for a in step) < 1e-7:
+        rated = judged.withColumn("r", rate_of(taken, k, most))
+        pull = sum((p[i] * float(off[i]) for i in range(k)), F.lit(0.0))
+        free = ((F.col("r") > 0) | (pull < 0)) & (F.lit(most is None) | (F.col("r") < F.lit(float(most or 0))) | (pull > 0))
+        sums = rated.where(free).agg(*[F.sum(F.col("n") * p[i] * p[j]) for i in range(k) for j in range(k)]).first()
+        spread = np.array([float(v or 0) for v in sums]).reshape(k, k)
+        for damping in (1e-9, 1e-3, 1e-2, 1e-1, 1.0):
+            step = np.linalg.solve(spread + damping * max(spread.trace(), 1e-9 * tokens) * np.eye(k), off)
+            after = totals([*taken, step.tolist()])
+            if after @ after < 0.999 * (off @ off):
+                break
+        else:
             break
-        taken.append(step)
+        taken.append(step.tolist())
+        off = after
     return taken
 
 
