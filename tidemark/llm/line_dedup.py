@@ -116,12 +116,11 @@ def _may_match(one: Column | str, two: Column | str, num: int, den: int) -> Colu
 
 def _heads(lines: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(a, h): a row for each prefix token of each line, ``a`` as :func:`_packed`."""
-    hot_cells = _common_cells(lines.select(_halves(n).alias("tokens")))
     # A rough order of the lines as they are read, in 16 bits: it only chooses which line of a token goes first.
     at = F.monotonically_increasing_id()
     order = F.shiftright(at, 33) % 1024 * 64 + F.least(F.shiftright(at % (1 << 33), 14), F.lit(63))
-    tokens = F.get(F.transform(F.array(_halves(n)), lambda t: _rare_first(t, hot_cells)), F.lit(0))
-    ordered = lines.select("h", order.alias("order"), tokens.alias("tokens")).withColumn("size", F.size("tokens"))
+    tokens = written(lines.select("h", order.alias("order"), _halves(n).alias("tokens")), "line-halves")
+    ordered = tokens.select("h", "order", F.size("tokens").alias("size"), _rare_first(F.col("tokens"), _common_cells(tokens)).alias("tokens"))
     prefix = F.col("size") - F.ceil(F.col("size") * num / den).cast("int") + 1
     heads = ordered.select("h", "order", "size", F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("pos", "token"))
     return heads.select(_packed(F.col("token"), F.col("order"), F.col("size"), F.col("pos")).alias("a"), "h")
