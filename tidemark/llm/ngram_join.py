@@ -206,10 +206,11 @@ def document_sets(docs: DataFrame, key: str, text: str, n: int) -> tuple[DataFra
 
 
 def candidate_links(docs: DataFrame, text: str, n: int, bands: tuple[int, int], hot: np.ndarray, shingles: int) -> DataFrame:
-    """(a, b): names of sets that share enough signatures.
+    """(a, b, star): names of sets that share enough signatures.
 
     Sets that share a signature with few others are counted pair by pair, as linked sets share m of
-    them; all that share one with more than ``_PAIRED`` sets are joined to the first of these.
+    them; all that share one with more than ``_PAIRED`` sets are joined to the first of these, and
+    such a ``star`` stands for all pairs among its sets.
 
     Each task names a set once and hands its signatures over in blocks, one per bucket of the
     signature's hash; the number of buckets follows the number of shingles, so a bucket stays
@@ -262,17 +263,19 @@ def candidate_links(docs: DataFrame, text: str, n: int, bands: tuple[int, int],
                 break
             ends.append(np.stack([node[at + step], node[at]], axis=1))
             scores.append(np.where(thin[at] | thin[at + step], _WHOLE, worth[at]))
+        stars = np.arange(sum(map(len, scores))) < len(scores[0])
         ends, scores = np.concatenate(ends), np.concatenate(scores)
         differ = ends[:, 0] != ends[:, 1]
-        pairs, back = np.unique(ends[differ], axis=0, return_inverse=True)
+        rows = np.column_stack([ends, stars])[differ]
+        pairs, back = np.unique(rows, axis=0, return_inverse=True)
         total = np.bincount(back.ravel(), weights=scores[differ], minlength=len(pairs)).astype(np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "score": total})
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "star": pairs[:, 2] == 1, "score": total})
 
     blocks = docs.select(F.col(f"`{text}`").cast("string").cast("binary").alias("text")).mapInArrow(
         _batches(name), "bucket long, signs binary, nodes binary"
     )
-    scored = blocks.groupBy("bucket").applyInPandas(join, "a long, b long, score long")
-    return scored.groupBy("a", "b").agg(F.sum("score").alias("score")).where(F.col("score") >= _WHOLE).select("a", "b")
+    scored = blocks.groupBy("bucket").applyInPandas(join, "a long, b long, star boolean, score long")
+    return scored.groupBy("a", "b", "star").agg(F.sum("score").alias("score")).where(F.col("score") >= _WHOLE).drop("score")
 
 
 def wanted_sets(docs: DataFrame, text: str, n: int, hashes: DataFrame) -> DataFrame:
@@ -356,12 +359,84 @@ def cluster_links(names: list[bytes], sets: list[np.ndarray], num: int, den: int
                 group[group == group[other]] = group[pivot]
 
 
+def pair_links(names: list[bytes], sets: list[np.ndarray], pairs: np.ndarray, num: int, den: int):
+    """Links (pairs of names) that span the components that the given pairs (places) link, if similar.
+
+    Each pair is compared, but for those that earlier links have joined already.
+    """
+    sizes = np.array([len(s) for s in sets])
+    ids = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(sizes)[:-1])
+    mark = np.zeros(max(int(i.max()) for i in ids) + 1, dtype=bool)
+    root = list(range(len(sets)))
+
+    def find(at: int) -> int:
+        while root[at] != at:
+            root[at] = root[root[at]]
+            at = root[at]
+        return at
+
+    links, marked = [], -1
+    for one, two in pairs[np.argsort(pairs[:, 0], kind="stable")].tolist():
+        a, b = find(one), find(two)
+        if a == b or den * min(sizes[one], sizes[two]) < num * max(sizes[one], sizes[two]):
+            continue
+        if marked != one:
+            if marked >= 0:
+                mark[ids[marked]] = False
+            mark[ids[one]], marked = True, one
+        common = int(np.count_nonzero(mark[ids[two]]))
+        if den * common >= num * (sizes[one] + sizes[two] - common):
+            links.append((names[one], names[two]))
+            root[a] = b
+    return links
+
+
+def paired_links(sets: DataFrame, members: DataFrame, pairs: DataFrame, num: int, den: int, most: int = 1_500_000) -> DataFrame:
+    """(a, b): links among candidate pairs (a, b), which span the components that these pairs link.
+
+    Pairs that hang together are compared in one task, so a set travels once however many partners
+    it has; each pair is compared by itself, so the work grows with the pairs and not with the
+    square of what hangs together. What has more than ``most`` shingles goes to :func:`exact_links`.
+    """
+    groups = written(components(pairs), "groups")
+    known = groups.join(members.select("node", "set", "n_shingles").distinct(), "node").select("node", "root", "set", "n_shingles")
+    weights = written(known.groupBy("root").agg(F.sum("n_shingles").alias("weight")), "group-weights")
+    total, heavy = weights.agg(F.sum("weight"), F.sum((F.col("weight") > most).cast("long"))).first()
+    tasks = F.lit(max(64, 8 * (int(total or 0) // most)))
+    light = weights.where(F.col("weight") <= most).select("root", F.pmod(F.xxhash64("root"), tasks).alias("task"))
+    sized = sets.join(known.join(light, "root"), "set").select("task", "root", "node", "set", "shingles")
+    roots = groups.withColumnsRenamed({"node": "a"})
+    edges = pairs.join(roots, "a").join(light, "root").select("task", "root", "a", "b")
+    edges = edges.toDF("its_task", "its_root", "a", "b")
+
+    def compare(texts: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        links, by_root = [], dict(list(wanted.groupby("its_root", sort=False)))
+        for root, one in texts.drop_duplicates("set").groupby("root", sort=False):
+            if root not in by_root or len(one) < 2:
+                continue
+            at: dict[int, list[int]] = {}
+            for place, node in enumerate(one["node"]):
+                at.setdefault(node, []).append(place)
+            edge = by_root[root]
+            places = [(x, y) for a, b in zip(edge["a"], edge["b"]) for x in at.get(a, ()) for y in at.get(b, ())]
+            places += [(x, y) for same in at.values() for x in same for y in same if x < y]  # sets of one short name
+            if places:
+                values = [np.frombuffer(s, dtype=np.uint64) for s in one["shingles"]]
+                links += pair_links(one["set"].tolist(), values, np.array(places), num, den)
+        return pd.DataFrame(links, columns=["a", "b"], dtype=object)
+
+    links = sized.groupBy("task").cogroup(edges.groupBy("its_task")).applyInPandas(compare, "a binary, b binary")
+    if not heavy:
+        return links
+    large = groups.join(weights.where(F.col("weight") > most).select("root"), "root", "left_semi").select("node", "root")
+    return links.unionByName(exact_links(sets, members, large, num, den, most))
+
+
 def exact_links(sets: DataFrame, members: DataFrame, clusters: DataFrame, num: int, den: int, most: int = 1_500_000) -> DataFrame:
     """(a, b): links of exact similarity that span every linked component of each cluster.
 
-    ``clusters`` is (node, root) of candidate clusters, ``members`` has node, set and n_shingles,
-    ``sets`` is from :func:`wanted_sets`. Small
-    clusters share tasks. A cluster of more than ``most`` shingles is cut into blocks: its sets are
+    ``clusters`` is (node, root) of candidate clusters, and a node may be in several; ``members`` has
+    node, set and n_shingles, ``sets`` is from :func:`wanted_sets`. Small clusters share tasks. A cluster of more than ``most`` shingles is cut into blocks: its sets are
     first compared with one pivot; then blocks of those that did not link with it meet all blocks,
     pair by pair, while those that did are one component already.
     """
@@ -391,7 +466,7 @@ def exact_links(sets: DataFrame, members: DataFrame, clusters: DataFrame, num: i
         return links
 
     large = written(
-        sized.where(F.col("weight") > most).withColumnRenamed("n_shingles", "size").dropDuplicates(["set"]), "large"
+        sized.where(F.col("weight") > most).withColumnRenamed("n_shingles", "size").dropDuplicates(["root", "set"]), "large"
     )
     pivots = large.where(F.col("set") == F.col("pivot")).select("root", F.col("shingles").alias("pivot_shingles"))
 
@@ -438,8 +513,8 @@ def ngram_components(
     Words are runs of other characters than white space, A-Z in lower case. A document's set holds
     its distinct n-word shingles, or its whole word sequence if that is shorter. Two documents link
     when their sets' Jaccard similarity is at least num/den; component_id is the smallest key
-    reachable by links. Candidates come from PartEnum signatures, which miss no link; what shares a
-    signature forms clusters, and inside them links are found by exact counts. Sets are compared by
+    reachable by links. Candidates come from PartEnum signatures, which miss no link, and are compared
+    by exact counts: pair by pair, and around pivots where one signature has many sets. Sets are compared by
     64-bit hashes of their shingles, and equal sets by a 128-bit digest.
 
     A null text and one without words has 0 shingles and its own key. Rows with a null or repeated
@@ -448,10 +523,15 @@ def ngram_components(
     num, den = similarity
     members, hot = document_sets(docs, key, text, n)
     shingles = members.agg(F.sum("n_shingles")).first()[0] or 0
-    pairs = candidate_links(docs, text, n, (num, den), hot, int(shingles))
-    clusters = written(components(pairs), "clusters")
-    hashes = members.join(clusters, "node", "left_semi").groupBy("set").agg(F.min("th").alias("th")).select("th")
-    links = exact_links(wanted_sets(docs, text, n, hashes), members, clusters, num, den)
+    pairs = written(candidate_links(docs, text, n, (num, den), hot, int(shingles)), "candidates")
+    plain, stars = pairs.where("not star").select("a", "b"), pairs.where("star").select("a", "b")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    hashes = members.join(named, "node", "left_semi").groupBy("set").agg(F.min("th").alias("th")).select("th")
+    sets = written(wanted_sets(docs, text, n, hashes), "wanted")
+    # A star stands for all pairs of its sets: those are compared around pivots, star by star.
+    groups = stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    groups = groups.unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    links = paired_links(sets, members, plain, num, den).unionByName(exact_links(sets, members, groups, num, den))
     roots = written(components(links).withColumnRenamed("node", "set"), "roots")
     known = members.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
     firsts = known.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("first"))
