@@ -116,7 +116,7 @@ def test_late_rows_are_dropped_and_closed_windows_equal_the_table(spark, tmp_pat
         spark.createDataFrame(events(0, rows), schema).coalesce(1).write.mode("append").parquet(str(folder))
         time.sleep(1.1)  # a newer file is a later batch
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
-    got = windows.run_available(windows.stream_kpis(stream, "ts", "v", "kind"), "late").collect()
+    got = windows.run_available(windows.stream_kpis(stream, "ts", "v", "kind"), str(tmp_path / "late")).collect()
     table = spark.createDataFrame(events(0, first + second + third[1:]), schema)
     batch = windows.stream_kpis(table, "ts", "v", "kind").where(
         F.col("window_end") <= F.lit("2024-01-01 04:50:00").cast("timestamp")
@@ -177,3 +177,35 @@ def test_lines_of_the_wrong_length_are_counted(spark, tmp_path):
     path = write(tmp_path / "rag", "a.csv", b'a,b,c\n1,2,3\n4,5\n6,7,8,9\n6,7,8,\n"x, y",NA,""\n')
     assert delimited.csv_line_counts(spark, path).first().asDict() == {"records": 5, "read": 3, "padded": 1, "skipped": 2}
     assert delimited.csv_line_counts(spark, path, multiline=True).first().asDict() == {"records": 5, "read": 3, "padded": 1, "skipped": 2}
+
+
+def test_a_stopped_stream_goes_on_where_it_stopped(spark, tmp_path):
+    schema = "at timestamp, kind string, v double"
+    start = dt.datetime(2024, 1, 1)
+    rows = [(start + dt.timedelta(minutes=7 * i), "ab"[i % 2], float(i)) for i in range(400)]
+    source = tmp_path / "events"
+
+    def arrive(part):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(source))
+
+    def kpis():
+        stream = spark.readStream.schema(schema).parquet(str(source))
+        return windows.stream_kpis(stream, "at", "v", "kind", "1 hour")
+
+    folder = str(tmp_path / "run")
+    seen = []
+    for part in (rows[:150], rows[150:151], rows[151:]):
+        arrive(part)
+        seen.append(windows.run_available(kpis(), folder).count())
+    assert 0 < seen[0] < seen[-1]
+    got = windows.run_available(kpis(), folder)
+    whole = windows.stream_kpis(spark.createDataFrame(rows, schema), "at", "v", "kind", "1 hour")
+    closed = whole.where(F.col("window_end") <= F.lit(rows[-1][0] - dt.timedelta(minutes=10)))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, closed.collect()))
+    rules = literal_rows(spark, [(i, m, c, 150.0, "low") for i, (m, c) in enumerate([("total", "gt"), ("events", "lt"), ("mean", "gt"), ("x", "gt"), ("mean", "eq")])],
+                         "rule_id int, metric string, condition string, threshold double, severity string")
+    alerts = windows.stream_rule_alerts(whole, rules)
+    assert "NestedLoop" not in alerts._jdf.queryExecution().executedPlan().toString()
+    values = [r.asDict() for r in whole.collect()]
+    want = sum(r["total"] > 150 for r in values) + sum(r["events"] < 150 for r in values) + sum(r["mean"] > 150 for r in values)
+    assert alerts.count() == want

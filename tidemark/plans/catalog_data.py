@@ -311,7 +311,7 @@ def daily_windows(t):
 
 @query("stream_kpis", f"WITH {CLOSED} SELECT * FROM closed")
 def stream_kpis(t):
-    found = windows.run_available(daily_windows(t), "kpis")
+    found = windows.run_available(daily_windows(t), scratch_path(t.spark, "kpis"))
     return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).withColumn(
         "window_end", F.col("window_end").cast("timestamp_ntz")
     )
@@ -338,7 +338,8 @@ STREAM_RULE_VALUES = ", ".join(
 def stream_rule_alerts(t):
     schema = "rule_id int, metric string, condition string, threshold double, severity string"
     rules = literal_rows(t.spark, STREAM_RULES, schema)
-    found = windows.run_available(windows.stream_rule_alerts(daily_windows(t), rules), "alerts")
+    alerts = windows.stream_rule_alerts(daily_windows(t), rules)
+    found = windows.run_available(alerts, scratch_path(t.spark, "alerts"))
     return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).withColumn(
         "window_end", F.col("window_end").cast("timestamp_ntz")
     )

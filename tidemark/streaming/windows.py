@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.numbers import number
-from tidemark.session import scratch_path
 
 
 def stream_kpis(
@@ -47,37 +46,38 @@ def stream_rule_alerts(windows: DataFrame, rules: DataFrame) -> DataFrame:
     """Windows that break a rule: the window columns with rule_id, severity, observed, threshold.
 
     Rules are ``(rule_id, metric, condition, threshold, severity)`` where the metric is ``events``,
-    ``total`` or ``mean`` and the condition ``gt`` or ``lt``. The join is stream-static.
+    ``total`` or ``mean`` and the condition ``gt`` or ``lt``; others never fire. A window is taken
+    apart into its metrics, which meet the rules on them by name, so any number of rules will do.
+    The join is stream-static.
     """
-    metric = F.col("metric")
-    observed = (
-        F.when(metric == "events", F.col("events").cast("double"))
-        .when(metric == "total", F.col("total"))
-        .when(metric == "mean", F.col("mean"))
+    metrics = ("events", "total", "mean")
+    kept = [c for c in windows.columns if c not in metrics]
+    cells = F.array(*[F.struct(F.lit(m).alias("_metric"), F.col(m).cast("double").alias("observed")) for m in metrics])
+    observed = windows.select(*kept, F.inline(cells))
+    named = rules.select("rule_id", F.col("metric").alias("_of"), "condition", "threshold", "severity")
+    above, below = F.col("observed") > F.col("threshold"), F.col("observed") < F.col("threshold")
+    fires = F.when(F.col("condition") == "gt", above).when(F.col("condition") == "lt", below)
+    return observed.join(named, F.col("_metric") == F.col("_of")).where(fires).select(
+        *kept, "rule_id", "severity", "observed", "threshold"
     )
-    fires = F.when(F.col("condition") == "gt", observed > F.col("threshold")).when(
-        F.col("condition") == "lt", observed < F.col("threshold")
-    )
-    joined = windows.join(rules, fires)
-    kept = [c for c in windows.columns if c not in ("events", "total", "mean")]
-    return joined.select(*kept, "rule_id", "severity", observed.alias("observed"), "threshold")
 
 
-def run_available(stream: DataFrame, purpose: str) -> DataFrame:
-    """Run a stream over all input there is, then return what it wrote.
+def run_available(stream: DataFrame, folder: str) -> DataFrame:
+    """Run a stream over all input there is, then return all rows that it has written to ``folder``.
 
-    Output and progress go to the shared scratch folder, so a restarted stream goes on where it
-    stopped.
+    ``folder`` holds the rows and the progress: a further call with the same folder goes on where
+    the last one stopped, also after a crash, with the windows that were still open then. Rows are
+    written once, as the sink's log counts only finished batches. In append mode windows stay
+    open, and out of the result, until the watermark passes them.
     """
-    spark = stream.sparkSession
-    path = scratch_path(spark, purpose)
+    folder = folder.rstrip("/")
     query = (
         stream.writeStream.format("parquet")
         .outputMode("append")
-        .option("path", f"{path}/rows")
-        .option("checkpointLocation", f"{path}/progress")
+        .option("path", f"{folder}/rows")
+        .option("checkpointLocation", f"{folder}/progress")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
