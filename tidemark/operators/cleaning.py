@@ -58,16 +58,17 @@ def trim_nulls(df: DataFrame) -> DataFrame:
     )
 
 
-def cell_facts(raw: DataFrame, kinds: dict[str, str]) -> DataFrame:
+def cell_facts(raw: DataFrame, kinds: dict[str, str], with_value: bool = False) -> DataFrame:
     """One row per cell: (column, kind, padded, missing_before, missing_after, invalid).
 
+    With ``with_value`` also the trimmed text (the text of a typed value) and the number it reads as.
     Stacking the columns keeps each rule in the plan once, whatever the number of columns. Columns
     that already have a type bring only whether they are null.
     """
     text = set(text_columns(raw))
     cells = ", ".join(
         f"{quoted(c)}, {quoted(kind)}, `{c}` IS NULL, "
-        + (f"`{c}`" if c in text else "CAST(NULL AS STRING)")
+        + (f"`{c}`" if c in text else f"CAST(`{c}` AS STRING)" if with_value else "CAST(NULL AS STRING)")
         + f", {str(c in text).lower()}"
         for c, kind in kinds.items()
     )
@@ -86,10 +87,13 @@ def cell_facts(raw: DataFrame, kinds: dict[str, str]) -> DataFrame:
     )
     judged = trimmed.withColumn("broken", F.col("is_text") & value.isNotNull() & ~reads)
     lost = F.col("broken") & kind.isin(*TYPED_KINDS, "boolean")
+    shown = [value.alias("value"), to_number(value).alias("number")] if with_value else []
+    padded = F.col("raw") != strip(F.col("raw"))
     return judged.select(
         "column",
         "kind",
-        (F.col("raw") != strip(F.col("raw"))).alias("padded"),
+        *shown,
+        (F.when(F.col("is_text"), padded) if with_value else padded).alias("padded"),
         F.col("empty").alias("missing_before"),
         F.when(F.col("is_text"), value.isNull() | lost).otherwise(F.col("empty")).alias(
             "missing_after"
@@ -181,10 +185,20 @@ def duplicate_groups(df: DataFrame) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row: rows, exact duplicates beyond the first, and their share."""
-    extra = duplicate_groups(df).agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("d"))
-    total = df.agg(F.count(F.lit(1)).alias("rows"))
-    return total.crossJoin(F.broadcast(extra)).select(
+    """One row: rows, exact duplicates beyond the first, and their share.
+
+    One aggregation: rows are counted by a 128-bit hash of their values and of which of them are
+    null, combined before they are shuffled, so many copies of one row weigh no more than one.
+    """
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    nulls = F.concat(*[F.when(c.isNull(), "n").otherwise("v") for c in columns])
+    counted = df.groupBy(F.xxhash64(nulls, *columns).alias("h"), F.xxhash64(F.lit("row"), nulls, *columns).alias("g")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    total = counted.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("d")
+    )
+    return total.select(
         "rows",
         F.col("d").alias("duplicate_rows"),
         F.round(F.col("d") / F.greatest(F.col("rows"), F.lit(1)) * 100, 2).alias("duplicate_pct"),
@@ -227,10 +241,18 @@ def cleaning_diff(raw: DataFrame, kinds: dict[str, str]) -> DataFrame:
     (column, kind, rows, trimmed, missing_before, missing_after, invalid, imputable, strategy).
     Nothing is filled. All counts come from one pass over the raw table.
     """
-    rows = cell_facts(raw, kinds).groupBy("column", "kind").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if("padded").alias("trimmed"),
-        *[F.count_if(c).alias(c) for c in ("missing_before", "missing_after", "invalid")],
+    return cleaning_diff_of(cell_facts(raw, kinds), F.lit(1))
+
+
+def cleaning_diff_of(cells: DataFrame, hits: Column) -> DataFrame:
+    """The cleaning diff of cells as :func:`cell_facts` gives them, each standing for ``hits`` cells."""
+    def total(test: str) -> Column:
+        return F.sum(F.when(F.col(test), hits).otherwise(F.lit(0))).cast("long")
+
+    rows = cells.groupBy("column", "kind").agg(
+        F.sum(hits).cast("long").alias("rows"),
+        total("padded").alias("trimmed"),
+        *[total(c).alias(c) for c in ("missing_before", "missing_after", "invalid")],
     )
     fillable = (F.col("missing_after") > 0) & (F.col("missing_after") < F.col("rows"))
     strategy = F.when(fillable & F.col("kind").isin(NUMBER_KINDS), "median").when(

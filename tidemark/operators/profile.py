@@ -30,7 +30,8 @@ from tidemark.operators.anomalies import long_numbers
 from tidemark.operators.cleaning import normal_name
 from tidemark.operators.quantiles import grouped_quantiles
 
-_SHORT = 128
+#: Texts beyond so many characters are named by a digest in histograms.
+LONG = 128
 
 
 def name_semantics(name: str) -> tuple[str | None, float]:
@@ -85,18 +86,18 @@ def value_histogram(df: DataFrame, columns: list[str] | None = None) -> DataFram
     cells = ", ".join(f"{quoted(c)}, CAST(`{c}` AS STRING)" for c in used)
     stacked = df.select(F.expr(f"stack({len(used)}, {cells}) AS (column, text)"))
     text = F.col("text")
-    long = F.length(text) > _SHORT
+    long = F.length(text) > LONG
     facts = {f"long_{name}": F.when(long, test) for name, test in _content_tests(strip(text)).items()}
-    facts["long_folded"] = F.when(long & (strip(text) != ""), _key(F.lower(text)))
+    facts["long_folded"] = F.when(long & (strip(text) != ""), text_key(F.lower(text)))
     keyed = stacked.select(
         "column",
-        F.when(long, _key(text)).otherwise(text).alias("value"),
+        F.when(long, text_key(text)).otherwise(text).alias("value"),
         *[fact.alias(name) for name, fact in facts.items()],
     )
     return keyed.groupBy("column", "value", *facts).agg(F.count(F.lit(1)).alias("hits"))
 
 
-def _key(text: Column) -> Column:
+def text_key(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text, 256))
 
 
@@ -284,19 +285,35 @@ def numeric_stats(df: DataFrame, columns: list[str], approx: bool = False) -> Da
     the outliers. ``approx`` takes the quartiles from a sketch.
     """
     rows = long_numbers(df, columns)
-    if approx:
-        sketch = rows.groupBy("column").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("v").alias("min"),
-            F.max("v").alias("max"),
-            F.percentile_approx("v", [0.25, 0.5, 0.75]).alias("_q"),
-        )
-        quarters = [F.col("_q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))]
-        facts = sketch.select("column", "n", "min", "max", *quarters)
-    else:
-        quarters = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-        facts = grouped_quantiles(rows, ["column"], F.col("v"), quarters, few_groups=True)
-        facts = facts.withColumnsRenamed({"least": "min", "most": "max"})
+    if not approx:
+        return numeric_stats_of(rows.withColumn("w", F.lit(1).cast("long")))
+    return _around_quartiles(rows.withColumn("w", F.lit(1).cast("long")), _sketched(rows))
+
+
+def numeric_stats_of(rows: DataFrame) -> DataFrame:
+    """Statistics per column of (column, v, w): numbers, each standing for ``w`` cells."""
+    quarters = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    facts = grouped_quantiles(rows, ["column"], F.col("v"), quarters, few_groups=True, weight=F.col("w"))
+    return _around_quartiles(rows, facts.withColumnsRenamed({"least": "min", "most": "max"}))
+
+
+def _sketched(rows: DataFrame) -> DataFrame:
+    """n, min, max and quartiles per column, the quartiles from a sketch."""
+    sketch = rows.groupBy("column").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("v").alias("min"),
+        F.max("v").alias("max"),
+        F.percentile_approx("v", [0.25, 0.5, 0.75]).alias("_q"),
+    )
+    quarters = [F.col("_q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))]
+    return sketch.select("column", "n", "min", "max", *quarters)
+
+
+def _around_quartiles(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Statistics of (column, v, w), given n, min, max and quartiles per column.
+
+    Sums are taken around the median, so a large common offset costs no digits.
+    """
     iqr = F.col("q3") - F.col("q1")
     fenced = facts.select(
         F.col("column").alias("_c"), "n", "median", "min", "q1", "q3", "max",
@@ -310,17 +327,19 @@ def numeric_stats(df: DataFrame, columns: list[str], approx: bool = False) -> Da
         rows.join(F.broadcast(fenced), F.col("column") == F.col("_c"))
         .groupBy("column", "n", "median", "min", "q1", "q3", "max")
         .agg(
-            F.count(F.when(outside, 1)).alias("outlier_count"),
-            F.avg("v").alias("mean"),
-            F.stddev_samp("v").alias("std"),
+            F.sum(F.when(outside, F.col("w")).otherwise(F.lit(0))).alias("outlier_count"),
+            F.sum((v - F.col("median")) * F.col("w")).alias("_sum"),
+            F.sum((v - F.col("median")) * (v - F.col("median")) * F.col("w")).alias("_square"),
         )
     )
+    n = F.col("n")
+    spread = F.greatest(F.col("_square") - F.col("_sum") * F.col("_sum") / n, F.lit(0.0))
     return counted.select(
         "column",
-        F.col("n").alias("count"),
-        F.round("mean", 3).alias("mean"),
+        n.alias("count"),
+        F.round(F.col("median") + F.col("_sum") / n, 3).alias("mean"),
         F.round("median", 3).alias("median"),
-        F.round(F.coalesce("std", F.lit(0.0)), 3).alias("std"),
+        F.round(F.when(n > 1, F.sqrt(spread / (n - 1))).otherwise(F.lit(0.0)), 3).alias("std"),
         "min",
         F.round("q1", 3).alias("q1"),
         F.round("q3", 3).alias("q3"),

@@ -72,11 +72,13 @@ def grouped_quantiles(
     value: Column,
     probabilities: dict[str, float],
     few_groups: bool = False,
+    weight: Column | None = None,
 ) -> DataFrame:
     """Linear-interpolated quantiles of ``value`` per group, nulls and NaN left out.
 
     Returns the group columns, ``n`` (values), ``least``, ``most`` and one column per entry of
-    ``probabilities``. Groups without values have no row.
+    ``probabilities``. Groups without values have no row. A ``weight`` says how many values a row
+    stands for, as in a histogram.
 
     The first pass counts each group in 256 cells per doubling of the value. While a cell with a
     wanted rank holds more than 65,536 rows of different values, another pass cuts it into as many
@@ -90,7 +92,8 @@ def grouped_quantiles(
     """
     ranks = _Ranks(probabilities)
     names = [f"_g{i}" for i in range(len(groups))]
-    rows = df.select(*[F.col(f"`{g}`").alias(n) for g, n in zip(groups, names)], (value.cast("double") + F.lit(0.0)).alias("_v"))
+    rows = df.select(*[F.col(f"`{g}`").alias(n) for g, n in zip(groups, names)], (value.cast("double") + F.lit(0.0)).alias("_v"),
+                     *([] if weight is None else [weight.cast("long").alias("_w")]))
     rows = rows.where("_v IS NOT NULL AND NOT isnan(_v)")
 
     few = few_groups or not groups
@@ -109,7 +112,7 @@ def grouped_quantiles(
 def _first_cells(rows: DataFrame, names: list[str], ranks: _Ranks) -> DataFrame:
     """One row per group: n, least, most and the cell of each rank."""
     cells = rows.groupBy(*names, first_cell(F.col("_v")).alias("_cell")).agg(
-        F.expr("count(1) AS _c"), F.expr("min(_v) AS _lo"), F.expr("max(_v) AS _hi")
+        F.expr("sum(_w) AS _c" if "_w" in rows.columns else "count(1) AS _c"), F.expr("min(_v) AS _lo"), F.expr("max(_v) AS _hi")
     )
     group = Window.partitionBy(*names)
     upto = group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -123,12 +126,13 @@ def _first_cells(rows: DataFrame, names: list[str], ranks: _Ranks) -> DataFrame:
 def _narrowed(rows: DataFrame, state: DataFrame, names: list[str], ranks: _Ranks, exact: bool) -> DataFrame:
     """The state after one more pass: cells of different values are cut, down to values if ``exact``."""
     held = _null_safe_join(rows, state, names).withColumn("_slot", F.expr(ranks.slot())).where("_slot IS NOT NULL")
-    held = held.selectExpr(*names, "n", "_v", "_slot", *[
+    weight = ["_w"] if "_w" in rows.columns else []
+    held = held.selectExpr(*names, "n", "_v", *weight, "_slot", *[
         f"{ranks.of_slot(part)} AS {name}" for part, name in (("_at", "_from"), ("_lo", "_low"), ("_hi", "_high"))
     ])
     cut = F.col("_v") if exact else finer_cell(F.col("_v"), F.col("_low"), F.col("_high"), _CELLS)
     counted = held.groupBy(*names, "n", "_slot", "_from", cut.alias("_cell")).agg(
-        F.expr("count(1) AS _c"), F.expr("min(_v) AS _lo"), F.expr("max(_v) AS _hi")
+        F.expr("sum(_w) AS _c" if "_w" in rows.columns else "count(1) AS _c"), F.expr("min(_v) AS _lo"), F.expr("max(_v) AS _hi")
     )
     upto = Window.partitionBy(*names, "_slot").orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = counted.withColumn("_end", F.col("_from") + F.sum("_c").over(upto))

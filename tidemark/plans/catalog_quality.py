@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.fixed_values import EMAIL, NULL_TOKENS, PII_PATTERNS
-from tidemark.operators import cleaning, insights, kpis, privacy, profile, quality
+from tidemark.operators import cells, cleaning, insights, kpis, privacy, profile, quality
 from tidemark.plans.registry import query, rnd
 
 ONE_LEAD = """SELECT
@@ -657,10 +657,12 @@ SCORES = f"""WITH {DRIFT}, n AS (SELECT {rnd('sum(missing_count) / sum(rows) * 1
 
 
 def scorecard(t):
+    """Nulls and names from one histogram of the cells, duplicates from the rows."""
+    counted = cells.written_cells(leads(t), KINDS)
     return quality.quality_scorecard(
-        quality.null_counts(clean_leads(t)),
+        cells.null_counts_of(counted),
         cleaning.duplicate_rows(clean_leads(t)),
-        quality.schema_health(cleaning.trim_nulls(leads(t))),
+        cells.schema_health_of(counted, list(KINDS)),
         event_drift(t),
     )
 
@@ -708,13 +710,15 @@ CLEAN_STATS = stats_sql(f"({CLEAN})", LEAD_NUMBERS)
     UNION ALL SELECT 'outliers', "column", outlier_count, 'medium' FROM s WHERE outlier_count > 0""",
 )
 def data_alerts(t):
-    counts = lead_histogram(t)
+    """All reports from one histogram of the cells, but for the duplicate rows."""
+    counted = cells.written_cells(leads(t), KINDS)
+    values = cells.histogram_of(counted)
     return cleaning.data_alerts(
-        cleaning.cleaning_diff(leads(t), KINDS),
+        cells.diff_of(counted),
         cleaning.duplicate_rows(clean_leads(t)),
-        cleaning.duplicate_ids(counts, ["lead_id"]),
-        cleaning.column_flags(counts),
-        profile.numeric_stats(clean_leads(t), LEAD_NUMBERS),
+        cleaning.duplicate_ids(values, ["lead_id"]),
+        cleaning.column_flags(values),
+        cells.numeric_stats_of(counted),
     )
 
 
