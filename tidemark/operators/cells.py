@@ -13,7 +13,7 @@ def written_cells(raw: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """(column, kind, value, number, padded, missing_before, missing_after, invalid, hits), written once.
 
     A row stands for all cells of a column that hold one text and fare alike in cleaning: ``value``
-    is that text trimmed, null where it is missing, or its SHA-256 if it is long; ``number`` what it
+    is that text trimmed, null where it is missing, or its start and its SHA-256 if it is long; ``number`` what it
     reads as. One pass over the table serves cleaning diffs, flags, repeated identifiers,
     statistics and scores; each of them then reads this histogram, which is as large as the
     distinct cells, and never the table again.

@@ -78,7 +78,7 @@ def value_histogram(df: DataFrame, columns: list[str] | None = None) -> DataFram
 
     One grouping of the stacked columns serves distinct counts, modes, flags, case variants and
     classification. Partial aggregation folds frequent values before the shuffle. Values longer
-    than 128 characters are keyed by their SHA-256, so long texts are not shuffled; what the
+    than 128 characters are keyed by their first 80 and their SHA-256, so long texts are not shuffled; what the
     classification and the case variants need of them is worked out before (``long_*``, null for
     short values): every test of the content, and the key of the text in lower case.
     """
@@ -98,7 +98,14 @@ def value_histogram(df: DataFrame, columns: list[str] | None = None) -> DataFram
 
 
 def text_key(text: Column) -> Column:
-    return F.concat(F.lit("sha256:"), F.sha2(text, 256))
+    """A short name of a long text: its first 80 characters and its SHA-256."""
+    return F.concat(F.left(text, F.lit(80)), F.lit("… sha256:"), F.sha2(text, 256))
+
+
+def shown(value: Column, digits: int = 0) -> Column:
+    """A histogram's value to look at: a long text as its first 80 characters and so many digits of its digest."""
+    mark = "… #$1" if digits else "…"
+    return F.regexp_replace(value, rf"… sha256:([0-9a-f]{{{digits}}})[0-9a-f]{{{64 - digits}}}$", mark)
 
 
 def _content_tests(text: Column) -> dict[str, Column]:
@@ -203,19 +210,20 @@ def column_kinds(df: DataFrame) -> dict[str, str]:
 def column_profile(df: DataFrame, samples: int = 3) -> DataFrame:
     """Classification plus missing counts, masked samples and the domain of the dataset.
 
-    Samples are the first distinct values in text order, as ``a | b | c``.
+    Samples are the first distinct values in text order, as ``a | b | c``; of values of more than 128
+    characters the first 80 are shown.
     """
     counts = value_histogram(df)
     facts = classify_columns(df, counts)
     line = Window.partitionBy("column").orderBy("value")
     present = counts.where(F.col("value").isNotNull()).select("column", "value")
     firsts = present.withColumn("at", F.row_number().over(line)).where(F.col("at") <= samples)
-    shown = firsts.join(facts.select("column", "semantic_type"), "column").groupBy("column").agg(
+    sampled = firsts.join(facts.select("column", "semantic_type"), "column").groupBy("column").agg(
         F.array_join(
             F.transform(
                 F.array_sort(
                     F.collect_list(
-                        F.struct("at", mask_by(F.col("value"), F.col("semantic_type")).alias("m"))
+                        F.struct("at", mask_by(shown(F.col("value")), F.col("semantic_type")).alias("m"))
                     )
                 ),
                 lambda s: s["m"],
@@ -228,7 +236,7 @@ def column_profile(df: DataFrame, samples: int = 3) -> DataFrame:
     )
     return (
         facts.join(missing, "column")
-        .join(shown, "column", "left")
+        .join(sampled, "column", "left")
         .withColumn("samples", F.coalesce("samples", F.lit("")))
     )
 
@@ -374,7 +382,8 @@ def dimensions(
     """(column, place, label, value): counts of columns that can split a chart.
 
     A dimension has between 2 and ``most`` distinct values. Wider columns are dropped before
-    anything is ranked.
+    anything is ranked. Labels of more than 128 characters show their first 80 and part of a digest,
+    which tells labels with one start apart.
     """
     columns = [c for c, kind in kinds.items() if kind in DIMENSION_KINDS]
     counts = value_histogram(df, columns).where(F.col("value").isNotNull())
@@ -385,5 +394,5 @@ def dimensions(
         "place", F.row_number().over(line)
     )
     return placed.where(F.col("place") <= top).select(
-        "column", "place", F.col("value").alias("label"), F.col("hits").alias("value")
+        "column", "place", shown(F.col("value"), 8).alias("label"), F.col("hits").alias("value")
     )
