@@ -249,7 +249,7 @@ def test_long_texts_show_their_start(spark):
     long = ["x" * 100 + "a" * 50, "x" * 100 + "b" * 50]
     df = spark.createDataFrame([(long[0],), (long[1],), (long[1],), ("short",)], "category string")
     row = profile.column_profile(df).first()
-    assert row["samples"] == " | ".join(["short", "x" * 80 + "…", "x" * 80 + "…"])
+    assert row["samples"] == " | ".join(["short", "x" * 80, "x" * 80])  # masks keep 80 characters
     labels = [(r["label"], r["value"]) for r in profile.dimensions(df, {"category": "category"}).orderBy("place").collect()]
     assert labels[0][1] == 2 and len({label for label, _ in labels}) == 3
     assert all(len(label) in (5, 91) for label, _ in labels)
