@@ -7,6 +7,7 @@ samples; every row is then scored by its interval.
 
 from __future__ import annotations
 
+import hashlib
 import sys
 
 import numpy as np
@@ -31,19 +32,27 @@ def _expected_depth(size: int) -> float:
     return 2.0 * (np.log(size - 1) + 0.5772156649015329) - 2.0 * (size - 1) / size
 
 
-def _grow(values: np.ndarray, limit: int, rng: np.random.Generator) -> list[tuple[float, float]]:
-    """Random splits of the sorted sample: (upper end of interval, path length), left to right."""
+def _chance(seed: int, tree: int, node: int) -> float:
+    """The random number of a node: it depends on nothing but its place, so any engine draws the same."""
+    return int(hashlib.md5(f"{seed}:{tree}:{node}".encode()).hexdigest()[:13], 16) / 16**13
+
+
+def _grow(values: np.ndarray, limit: int, seed: int, tree: int) -> list[tuple[float, float]]:
+    """Random splits of the sorted sample: (upper end of interval, path length), left to right.
+
+    Nodes are numbered from 1, the children of a node 2n and 2n + 1.
+    """
     steps: list[tuple[float, float]] = []
-    pending = [(values, 0, np.inf)]
+    pending = [(values, 0, np.inf, 1)]
     while pending:
-        part, depth, upto = pending.pop()
+        part, depth, upto, node = pending.pop()
         if depth >= limit or len(part) <= 1 or part[0] == part[-1]:
             steps.append((upto, depth + _expected_depth(len(part))))
             continue
-        cut = rng.uniform(part[0], part[-1])
+        cut = part[0] + _chance(seed, tree, node) * (part[-1] - part[0])
         left = int(np.searchsorted(part, cut, side="right"))
-        pending.append((part[left:], depth + 1, upto))
-        pending.append((part[:left], depth + 1, cut))
+        pending.append((part[left:], depth + 1, upto, 2 * node + 1))
+        pending.append((part[:left], depth + 1, cut, 2 * node))
     return steps
 
 
@@ -59,15 +68,18 @@ def isolation_forest_flags(
     """One row: rows scored, rows flagged, and the score at the contamination cut.
 
     Rows are dealt to trees by a hash of their key and cut to ``sample`` per tree before the
-    shuffle, so a tree sees a fixed number of rows however large the table is. The flagged rows
+    shuffle, so a tree sees a fixed number of rows however large the table is. Each split's random
+    number is a hash of the seed, the tree and the node, so the forest does not depend on how the
+    rows are dealt to tasks. Rows without a key are scored, but no tree samples them. The flagged rows
     score strictly above the (1 - contamination) quantile of the scores.
     """
-    rows = df.select(number(df, column).alias("v"), F.col(f"`{key}`").alias("k"))
+    rows = df.select(number(df, column).alias("v"), F.col(f"`{key}`").cast("string").alias("k"))
     rows = rows.where(F.col("v").isNotNull())
+    place = F.md5(F.concat(F.lit(f"{seed}:"), F.col("k")).cast("binary"))
     dealt = rows.select(
         "v",
-        F.pmod(F.xxhash64(F.lit(seed), F.col("k")), F.lit(trees)).alias("tree"),
-        F.xxhash64(F.lit(seed + 1), F.col("k")).alias("_draw"),
+        (F.conv(F.substring(place, 1, 7), 16, 10).cast("long") % trees).alias("tree"),
+        F.md5(F.concat(F.lit(f"{seed + 1}:"), F.col("k")).cast("binary")).alias("_draw"),
     )
     draw = Window.partitionBy("tree").orderBy("_draw", "v")
     samples = dealt.withColumn("_at", F.row_number().over(draw)).where(F.col("_at") <= sample)
@@ -76,7 +88,7 @@ def isolation_forest_flags(
         tree = int(pdf["tree"].iloc[0])
         values = np.sort(pdf["v"].to_numpy(dtype=float))
         limit = int(np.ceil(np.log2(max(len(values), 2))))
-        steps = _grow(values, limit, np.random.default_rng([seed, tree]))
+        steps = _grow(values, limit, seed, tree)
         norm = max(_expected_depth(len(values)), 1e-12)
         return pd.DataFrame(
             {
@@ -105,18 +117,16 @@ def isolation_forest_flags(
     by_score = (
         histogram.join(F.broadcast(scores), "step").groupBy("score").agg(F.sum("hits").alias("hits"))
     )
-    upward = Window.orderBy("score")  # at most trees * sample scores
-    ranked = by_score.select("score", "hits", F.sum("hits").over(upward).alias("upto"))
-    total = by_score.agg(F.sum("hits").alias("n"))
-    kept = ranked.crossJoin(F.broadcast(total))
-    cut = kept.where(F.col("upto") >= F.ceil(F.col("n") * (1 - contamination))).agg(
-        F.min("score").alias("cut")
+    # At most trees * sample scores come together here, each with its rows.
+    upward, whole = Window.orderBy("score"), Window.partitionBy()
+    ranked = by_score.select(
+        "score", "hits", F.sum("hits").over(upward).alias("upto"), F.sum("hits").over(whole).alias("n")
     )
-    return kept.crossJoin(F.broadcast(cut)).agg(
+    reached = F.col("upto") >= F.ceil(F.col("n") * (1 - contamination))
+    kept = ranked.withColumn("cut", F.min(F.when(reached, F.col("score"))).over(whole))
+    return kept.agg(
         F.max("n").alias("rows"),
-        F.coalesce(F.sum(F.when(F.col("score") > F.col("cut"), F.col("hits"))), F.lit(0)).alias(
-            "flagged"
-        ),
+        F.coalesce(F.sum(F.when(F.col("score") > F.col("cut"), F.col("hits"))), F.lit(0)).alias("flagged"),
         F.max("cut").alias("cut_score"),
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tidemark.functions.fixed_values import CHURN_TIERS, HOLT, OLS, SEGMENT_NOTES, WMA
@@ -332,7 +334,47 @@ def iqr_anomalies_high(t):
     return anomalies.iqr_anomalies(t.documents, ["n_chars", "doc_id"], "high")
 
 
-@query("isolation_forest_flags")
+def forest_sql(table: str, value: str, key: str, trees: int = 100, sample: int = 256, cut: float = 0.05, seed: int = 42) -> str:
+    """The isolation forest grown level by level, a named query for each."""
+    depth = math.ceil(math.log2(sample))
+    hexed = "CAST('0x' || substr(md5({}), 1, {}) AS BIGINT)"
+    place = hexed.format(f"'{seed}:' || CAST({key} AS VARCHAR)", 7)
+    chance = hexed.format(f"'{seed}:' || CAST(tree AS VARCHAR) || ':' || CAST(node AS VARCHAR)", 13) + " / CAST(16 AS DOUBLE) ** 13"
+    expected = ("(CASE WHEN {0} <= 1 THEN 0.0 WHEN {0} = 2 THEN 1.0 ELSE "
+                "2.0 * (ln({0} - 1) + 0.5772156649015329) - 2.0 * ({0} - 1) / {0} END)")
+    parts = [
+        f"""m0 AS (SELECT tree, 1 AS node, v, CAST('inf' AS DOUBLE) AS upto FROM (SELECT {place} % {trees} AS tree,
+          {value} AS v, row_number() OVER (PARTITION BY {place} % {trees}
+            ORDER BY md5('{seed + 1}:' || CAST({key} AS VARCHAR)), {value}) AS position
+          FROM {table} WHERE {value} IS NOT NULL) WHERE position <= {sample})""",
+        "sizes AS (SELECT tree, count(*) AS size, ceil(log2(greatest(count(*), 2))) AS deepest FROM m0 GROUP BY tree)",
+    ]
+    for k in range(depth + 1):
+        parts.append(f"""n{k} AS (SELECT tree, node, any_value(upto) AS upto, count(*) AS n, min(v) AS lo, max(v) AS hi,
+          any_value(size) AS size, any_value(deepest) AS deepest FROM m{k} JOIN sizes USING (tree) GROUP BY tree, node)""")
+        parts.append(f"""s{k} AS (SELECT *, lo + {chance} * (hi - lo) AS cut FROM n{k}
+          WHERE n > 1 AND lo < hi AND {k} < deepest)""")
+        parts.append(f"""l{k} AS (SELECT tree, upto, ({k} + {expected.format('n')}) / greatest({expected.format('size')}, 1e-12) AS path
+          FROM n{k} WHERE NOT (n > 1 AND lo < hi AND {k} < deepest))""")
+        parts.append(f"""m{k + 1} AS (SELECT m.tree, 2 * m.node + CASE WHEN m.v <= s.cut THEN 0 ELSE 1 END AS node, m.v,
+          CASE WHEN m.v <= s.cut THEN s.cut ELSE m.upto END AS upto FROM m{k} m JOIN s{k} s ON m.tree = s.tree AND m.node = s.node)""")
+    parts += [
+        "leaves AS (" + " UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(depth + 1)) + ")",
+        f"vals AS (SELECT {value} AS v, count(*) AS hits FROM {table} WHERE {value} IS NOT NULL GROUP BY 1)",
+        """scored AS (SELECT q.v, any_value(q.hits) AS hits, round(2.0 ** (-avg(l.path)), 9) AS score
+          FROM (SELECT v, hits, tree FROM vals, sizes) q ASOF JOIN leaves l ON q.tree = l.tree AND q.v <= l.upto GROUP BY q.v)""",
+        """ranked AS (SELECT score, sum(hits) AS hits, sum(sum(hits)) OVER (ORDER BY score) AS upto,
+          sum(sum(hits)) OVER () AS n FROM scored GROUP BY score)""",
+        f"cutting AS (SELECT min(score) AS cut FROM ranked WHERE upto >= ceil(n * (1 - {cut})))",
+    ]
+    return (
+        "WITH " + ",\n".join(parts)
+        + """ SELECT CAST(max(n) AS BIGINT) AS rows, CAST(coalesce(sum(hits) FILTER (score > cut), 0) AS BIGINT) AS flagged,
+        max(cut) AS cut_score FROM ranked, cutting"""
+    )
+
+
+@query("isolation_forest_flags", forest_sql("events", "value", "event_id"))
 def isolation_forest_flags(t):
     return isolation.isolation_forest_flags(t.events, "value", "event_id")
 
