@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.dates import CHART_GRAINS, chart_label, choose_grain, whole_days
@@ -160,7 +162,11 @@ def dense_grid(
     anything, but so all three need the same columns and reuse one shuffle.
     """
     labelled = with_label(with_label(df, x, grain, "_x"), y, grain, "_y")
-    cells = agg_measure(labelled, ["_x", "_y"], metric, agg)
+    return grid_of(agg_measure(labelled, ["_x", "_y"], metric, agg), top_x, top_y)
+
+
+def grid_of(cells: DataFrame, top_x: int, top_y: int) -> DataFrame:
+    """The dense grid of cells (_x, _y, value, count)."""
 
     def best(key: str, k: int) -> DataFrame:
         counts = cells.groupBy(key).agg(F.sum("count").alias("_rows"), F.max("value").alias("_v"))
@@ -331,9 +337,10 @@ def funnel(
 
 
 def box_stats(
-    df: DataFrame, value: str, by: str | None = None, top_n: int = 8, min_rows: int = 4
+    df: DataFrame, value: str, by: str | None = None, top_n: int = 8, min_rows: int = 4,
+    categories: list[str | None] | None = None,
 ) -> DataFrame:
-    """Unrounded box of each of the most frequent categories, or one box over all rows.
+    """Unrounded box of each of the most frequent categories (or of those given), or one over all rows.
 
     (category, count, low, q1, median, q3, high): the whiskers reach 1.5 IQR beyond the quartiles
     but never past the smallest and largest value.
@@ -341,7 +348,12 @@ def box_stats(
     if by is None:
         labelled = df.withColumn("category", F.lit(value))
     else:
-        labelled = _top_category_rows(df.withColumn("category", F.col(f"`{by}`").cast("string")), top_n)
+        labelled = df.withColumn("category", F.col(f"`{by}`").cast("string"))
+        if categories is None:
+            labelled = _top_category_rows(labelled, top_n)
+        else:
+            named = F.col("category").isin([c for c in categories if c is not None])
+            labelled = labelled.where(named | F.col("category").isNull() if None in categories else named)
     boxes = grouped_quantiles(
         labelled,
         ["category"],
@@ -370,9 +382,11 @@ def _top_category_rows(labelled: DataFrame, top_n: int) -> DataFrame:
     )
 
 
-def box_plot(df: DataFrame, value: str, by: str | None = None, top_n: int = 8) -> DataFrame:
+def box_plot(
+    df: DataFrame, value: str, by: str | None = None, top_n: int = 8, categories: list[str | None] | None = None
+) -> DataFrame:
     """Rounded boxes: (category, count, min, q1, median, q3, max)."""
-    boxes = box_stats(df, value, by, top_n)
+    boxes = box_stats(df, value, by, top_n, categories=categories)
     return boxes.select(
         "category",
         "count",
@@ -440,6 +454,41 @@ def histogram(df: DataFrame, value: str, min_bins: int = 6, max_bins: int = 20)
     )
 
 
+def histograms(df: DataFrame, limits: dict[str, tuple[int, float, float]], min_bins: int = 6, max_bins: int = 20) -> DataFrame:
+    """(column, bin, count) for many columns in one pass, empty bins included.
+
+    ``limits`` gives each column's number of values, smallest and largest value, as a profile knows
+    them; the bins are those of :func:`histogram`.
+    """
+    used = {c: (n, lo, hi) for c, (n, lo, hi) in limits.items() if n and lo < hi}
+    bins = {c: min(max_bins, max(min_bins, math.ceil(math.log2(n) + 1))) for c, (n, _, _) in used.items()}
+    cells, every = [], []
+    for c, (_, lo, hi) in used.items():
+        place = F.floor((number(df, c) - lo) * bins[c] / (hi - lo))
+        cells.append(F.struct(F.lit(c).alias("column"), F.least(place, F.lit(bins[c] - 1)).cast("int").alias("bin")))
+        every += [(c, i) for i in range(bins[c])]
+    schema = "column string, bin int"
+    if not used:
+        return df.sparkSession.createDataFrame([], schema + ", count long")
+    hits = df.select(F.inline(F.array(*cells))).where("bin IS NOT NULL").groupBy("column", "bin").agg(F.count(F.lit(1)).alias("hits"))
+    whole = df.sparkSession.createDataFrame(every, schema)
+    return whole.join(hits, ["column", "bin"], "left").select("column", "bin", F.coalesce("hits", F.lit(0)).alias("count"))
+
+
+def scatter_pairs(df: DataFrame, pairs: list[tuple[str, str]], key: str, points: int = 600) -> DataFrame:
+    """(pair, x, y): for each pair of columns a reproducible sample of its points, all in one pass.
+
+    As in :func:`scatter`, rows are taken in the order of a hash of their key, ties by the point;
+    each task keeps ``points`` rows a pair before the shuffle.
+    """
+    key_text = F.col(f"`{key}`").cast("string")
+    stacked = df.select(F.md5(key_text.cast("binary")).alias("_h"), key_text.alias("_k"), F.inline(F.array(*[
+        F.struct(F.lit(i).alias("pair"), number(df, x).alias("x"), number(df, y).alias("y")) for i, (x, y) in enumerate(pairs)
+    ]))).where("x IS NOT NULL AND y IS NOT NULL")
+    line = Window.partitionBy("pair").orderBy("_h", "_k", "x", "y")
+    return stacked.withColumn("_at", F.row_number().over(line)).where(F.col("_at") <= points).select("pair", "x", "y")
+
+
 def scatter(
     df: DataFrame, x: str, y: str, key: str, size: str | None = None, points: int = 600
 ) -> DataFrame:

@@ -408,7 +408,62 @@ def auto_charts(t):
     )
 
 
-@query("auto_charts_lineitem")
+LINES, FLAG, STATUS = "SELECT * FROM lineitem", "l_returnflag", "l_linestatus"
+LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+def count_sql(c: str) -> str:
+    return f"SELECT {c} AS label, count(*) AS value FROM lineitem GROUP BY 1"
+
+
+def mean_sql(c: str) -> str:
+    return f"SELECT {c} AS label, {rnd('avg(l_quantity)', 3)} AS value FROM lineitem GROUP BY 1"
+
+
+def points_sql(x: str, y: str) -> str:
+    return f"""SELECT {x} AS x, {y} AS y FROM lineitem
+      ORDER BY md5(CAST(l_orderkey AS VARCHAR)), CAST(l_orderkey AS VARCHAR), {x}, {y} LIMIT 500"""
+
+
+LINE_PAIRS = """SELECT x, y, pearson FROM (SELECT *, row_number() OVER (ORDER BY abs(pearson) DESC, x, y) AS r FROM ("""
+LINE_PAIRS += " UNION ALL ".join(
+    f"SELECT '{a}' AS x, '{b}' AS y, {rnd(f'corr({a}, {b})', 4)} AS pearson FROM lineitem"
+    for i, a in enumerate(LINE_NUMBERS) for b in LINE_NUMBERS[i + 1:]
+) + ")) WHERE r <= 3"
+AUTO_LINES = [
+    *[mark(f"bar_{c}", "bar", count_sql(c), "label", "value") for c in (FLAG, STATUS)],
+    mark("trend", "line", series_sql("lineitem", "l_shipdate", "count(*)"), "period", "value"),
+    *[mark(f"hist_{c}", "histogram", histogram_sql("lineitem", c, 5), "bin", "count") for c in LINE_NUMBERS],
+    *[mark(f"pie_{c}", "pie", count_sql(c), "label", "value") for c in (FLAG, STATUS)],
+    *[mark(f"avg_{c}_l_quantity", "bar", mean_sql(c), "label", "value") for c in (FLAG, STATUS)],
+    mark("scatter", "correlation", LINE_PAIRS, "x", "pearson", "y"),
+    *[
+        mark(f"scatter_{a}_{b}", "scatter", points_sql(a, b), "x", "y")
+        for i, a in enumerate(LINE_NUMBERS) for b in LINE_NUMBERS[i + 1:]
+    ],
+    mark(f"treemap_{FLAG}", "treemap",
+         f"SELECT {FLAG} AS label, {rnd('sum(l_quantity)', 2)} AS value FROM lineitem GROUP BY 1", "label", "value"),
+    mark(f"funnel_{FLAG}", "funnel", funnel_sql(LINES, FLAG, "sum(l_quantity)", "LIMIT 5"), "stage", "value"),
+    *[
+        mark(f"combo_{FLAG}", "combo",
+             f"SELECT {FLAG} AS label, {rnd(agg, 2)} AS value FROM lineitem GROUP BY 1", "label", "value", f"'{c}'")
+        for c, agg in (("l_quantity", "sum(l_quantity)"), ("l_extendedprice", "avg(l_extendedprice)"))
+    ],
+    *[
+        mark("box_l_quantity", "box_plot", box_sql(LINES, FLAG, "l_quantity", 5), "category", part, f"'{part}'")
+        for part in ("min", "q1", "median", "q3", "max")
+    ],
+    mark(f"stacked_{FLAG}_{STATUS}", "stacked_bar", stacked_sql(LINES, FLAG, STATUS, "sum(l_quantity)", 6, 4),
+         "label", "value", "series"),
+    mark(f"heatmap_{FLAG}_{STATUS}", "heatmap", heat_sql(LINES, FLAG, STATUS, "sum(l_quantity)", 6, 5), "x", "value", "y"),
+    *[
+        mark("gauge_l_quantity", "gauge", "SELECT sum(l_quantity) AS v FROM lineitem", f"'{name}'", rnd(f"v * {factor}", 2))
+        for name, factor in (("value", "1.0"), ("target", "1.15"), ("max", "1.3"))
+    ],
+]
+
+
+@query("auto_charts_lineitem", " UNION ALL ".join(AUTO_LINES))
 def auto_charts_lineitem(t):
     """The chart set of a table with several numbers and no revenue column."""
     kinds = {
