@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import date_grammar
-from tidemark.operators import charts
+from tidemark.operators import charts, sketches
 from tidemark.plans.registry import query
 from tidemark.session import scratch_path
 from tidemark.sources import delimited
@@ -229,3 +229,35 @@ def correlations_wide(t):
         F.col("l_tax").alias("t"), missing.alias("r"),
     )
     return charts.correlations(wide, list("qpdtr"))
+
+
+SKETCHED = ["l_quantity", "l_extendedprice", "l_partkey", "l_shipdate"]
+
+
+def sketched_sql(c: str) -> str:
+    number = "NULL::DOUBLE" if c == "l_shipdate" else f"{c}::DOUBLE"
+    return f"""SELECT '{c}' AS "column", count(*) AS rows, CAST(count(*) - count({c}) AS BIGINT) AS missing,
+      min({number}) AS "min", max({number}) AS "max", true AS distinct_close, true AS median_close FROM lineitem"""
+
+
+@query("sketched_profile", " UNION ALL ".join(map(sketched_sql, SKETCHED)))
+def sketched_profile(t):
+    """A profile merged from the sketches of two halves, with its estimates held against exact values."""
+    rows, half = t.lineitem.select(*SKETCHED), F.col("l_quantity") <= 20
+    parts = sketches.merged(sketches.column_sketches(rows.where(half)), sketches.column_sketches(rows.where(~half)))
+    found = sketches.sketch_report(parts)
+    exact = rows.agg(*[F.count_distinct(c).alias(c) for c in SKETCHED]).select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("_c"), F.col(c).alias("_n")) for c in SKETCHED
+    ])))
+    named = [F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in SKETCHED[:-1]]
+    medians = found.select(F.col("column").alias("_c"), "median")
+    below = rows.select(F.inline(F.array(*named))).join(F.broadcast(medians), "_c").groupBy("_c").agg(
+        F.avg((F.col("_v") < F.col("median")).cast("double")).alias("_low"),
+        F.avg((F.col("_v") <= F.col("median")).cast("double")).alias("_high"),
+    )
+    held = found.join(exact, F.col("column") == F.col("_c")).drop("_c").join(below, F.col("column") == F.col("_c"), "left")
+    return held.select(
+        "column", "rows", "missing", "min", "max",
+        (F.abs(F.col("distinct") / F.col("_n") - 1) < 0.08).alias("distinct_close"),
+        F.coalesce((F.col("_low") < 0.52) & (F.col("_high") > 0.48), F.lit(True)).alias("median_close"),
+    )
