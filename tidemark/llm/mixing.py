@@ -64,7 +64,8 @@ class Classifier:
             if chosen := [self.index[f] for f in word_features(word) if f in self.index]:
                 self.useful[word] = chosen
         self.seen |= new
-        at = set().union(*[self.useful[word] for word in distinct.intersection(self.useful)])
+        useful = self.useful
+        at = set().union(*[useful[word] for word in distinct if word in useful])
         scores = self.bias + self.weights[sorted(at)].sum(axis=0)
         scores = np.exp(scores - scores.max())
         return scores / scores.sum()
