@@ -105,3 +105,36 @@ def test_pairs_of_vectors_around_a_common_direction(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     out = {r.vec_id: r for r in embedding_dedup.near_duplicates(frame, passes=2, window=4, block=256).collect()}
     assert sum(out[10_000 + i].component_id == out[i].component_id for i in range(150)) >= 147
+
+
+def test_sorted_passes_for_labels_of_every_size_and_concentration(spark):
+    rng = np.random.default_rng(6)
+    spread = np.exp(0.5 * rng.standard_normal((3500, 1)))
+    around = rng.standard_normal((3500, 64)) * spread + 45.0 * (np.arange(64) == 0)
+    small = rng.standard_normal((200, 64))
+    small[100:] = small[:100] + 0.3 * rng.standard_normal((100, 64))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(around)] + [(9000 + i, v.tolist(), 2) for i, v in enumerate(small)]
+    rows += [(9900 + i, v.tolist(), 3) for i, v in enumerate(small[:3])] + [(9950, small[0].tolist(), 4)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    classes = embedding_dedup.vector_classes(frame, "vec_id", "embedding", "label")
+    plans = {r.label: r for r in embedding_dedup.label_plans(classes, 0.93, 24, 32, 0.01).collect()}
+    assert (plans[1].mean and sum(x * x for x in plans[1].mean)) > 0.93
+    assert plans[1].turns == 96 and plans[2].turns == 24 and plans[3].turns == plans[4].turns == 1
+    links = embedding_dedup.window_links(classes, embedding_dedup.label_plans(classes, 0.93, 24, 32, 0.01), 0.93, 32, 256, 7)
+    known = {r.node: (r.label, r["first"]) for r in classes.collect()}
+    assert {known[r.a][0] for r in links.collect()} == {1, 2}  # both labels' links come from sorted passes
+    out = {r.vec_id: r for r in embedding_dedup.near_duplicates(frame).collect()}
+    for label in (1, 2):
+        ids = np.array([r[0] for r in rows if r[2] == label])
+        unit = np.array([r[1] for r in rows if r[2] == label])
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        near = unit @ unit.T >= 0.93
+        lowest = np.arange(len(ids))
+        while True:
+            new = np.where(near, lowest[None, :], len(ids)).min(axis=1)
+            if (new == lowest).all():
+                break
+            lowest = new
+        assert sum(out[i].n_links for i in ids) >= 0.99 * (near.sum() - len(ids))
+        assert sum(out[i].component_id == ids[c] for i, c in zip(ids, lowest)) >= 0.99 * len(ids)
+        assert all(out[i].n_links <= n - 1 for i, n in zip(ids, near.sum(axis=1)))
