@@ -5,7 +5,7 @@ import random
 import __spark_entry__ as entry
 import corpus_pipeline
 from tests.llm.test_ngram_join import edited, shingles
-from tidemark.llm import line_dedup
+from tidemark.llm import common, line_dedup
 
 
 def brute(rows):
@@ -103,6 +103,29 @@ def test_groups_of_near_copies(spark):
     check(spark, rows)
 
 
+def test_candidates_share_enough_of_their_prefixes(spark):
+    """A pair leaves only if what its prefixes share, and all that comes behind them, is not enough."""
+    def packed(size, pos):
+        return (1 << 32) | (size << 8) | pos
+
+    few = [(1, 2, packed(56, i), packed(56, i), 1) for i in range(6)]
+    many = [(3, 4, packed(56, i), packed(56, i), 1) for i in range(7)]
+    equal = [(5, 6, packed(56, i), packed(56, i), 2) for i in range(4)]  # shingles that share their half hash
+    long = [(7, 8, packed(255, 3), packed(255, 3), 1)]
+    rows = spark.createDataFrame(few + many + equal + long, "one long, two long, a long, b long, times long")
+    assert {tuple(r) for r in line_dedup._candidates(rows, 3, 4).collect()} == {(3, 4), (5, 6), (7, 8)}
+
+
+def test_tables_of_a_step_are_deleted_after_it(spark, tmp_path, monkeypatch):
+    made = iter(range(1000))
+    monkeypatch.setattr(common, "scratch_path", lambda _, purpose: f"{tmp_path}/{purpose}-{next(made)}")
+    line = "a b c d e f g h"
+    frame = spark.createDataFrame([(1, line), (2, f"{line}\n{line} i"), (3, "other")], "doc_id long, text string")
+    out = line_dedup.drop_later_lines(frame)
+    assert next(made) > 5 and [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()] == ["lost-lines"]
+    assert {r.doc_id: (r.text, r.n_removed) for r in out.collect()} == {1: (line, 0), 2: ("", 2), 3: ("other", 0)}
+
+
 def test_equal_rows_keep_their_lines(spark):
     line = "a b c d e f g"
     same = spark.createDataFrame([(1, line, "k"), (1, line, "k")], "doc_id long, text string, n_removed string")
