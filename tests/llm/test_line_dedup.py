@@ -4,6 +4,7 @@ import random
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from pyspark.sql import functions as F
 from tests.llm.test_ngram_join import edited, shingles
 from tidemark.llm import common, line_dedup
 
@@ -116,6 +117,37 @@ def test_candidates_share_enough_of_their_prefixes(spark):
     assert {tuple(r) for r in line_dedup._candidates(rows, 3, 4).collect()} == {(3, 4), (5, 6), (7, 8)}
 
 
+def test_words_lower_no_letters_but_a_to_z(spark):
+    points = spark.range(1, 0x110000).where("id < 55296 or id > 57343").where("id not in (9, 10, 11, 12, 13, 32, 65279)")
+    lines = points.selectExpr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32') as line")
+    wrong = lines.where(line_dedup._words() != F.array(common.lower_ascii("line")))
+    assert lines.count() > 1_000_000 and wrong.limit(5).collect() == []
+
+
+def test_halves_name_each_distinct_shingle_once(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = ["a b c d e f g h", "A b a b a b a b a b a b", "y " * 5000, "x x", "one", "\u00c9T\u00c9 \u00e9t\u00e9 b c d e\tf"]
+    texts += [" ".join(rng.choices("abcd", k=rng.randint(1, 400))) for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "h long, line string")
+
+    def sizes():
+        return {r.h: r.tokens for r in line_dedup._with_halves(frame, 5).select("h", "tokens").collect()}
+
+    for h, tokens in sizes().items():
+        assert len(tokens) == len(shingles(texts[h])) and tokens == sorted(tokens), texts[h]
+    monkeypatch.setattr(line_dedup.F, "hash", lambda *words: F.pmod(F.xxhash64(*words), F.lit(50)).cast("int"))
+    for h, tokens in sizes().items():  # all lines of some length now hold a half twice
+        assert len(tokens) == len(shingles(texts[h])), texts[h]
+
+
+def test_tokens_of_hot_cells_come_last(spark):
+    cell = line_dedup._CELLS
+    rows = [([1, 1, 2, cell + 7, 9 * cell + 3],), ([7, 7, 8],), ([4, 5],), ([-cell + 7, 0, 7],)]
+    frame = spark.createDataFrame(rows, "tokens array<int>")
+    got = [r.t for r in frame.select(line_dedup._rare_first(F.col("tokens"), [7, 2]).alias("t")).collect()]
+    assert got == [[1, 1, 9 * cell + 3, 2, cell + 7], [8, 7, 7], [4, 5], [0, -cell + 7, 7]]
+
+
 def test_tables_of_a_step_are_deleted_after_it(spark, tmp_path, monkeypatch):
     made = iter(range(1000))
     monkeypatch.setattr(common, "scratch_path", lambda _, purpose: f"{tmp_path}/{purpose}-{next(made)}")
