@@ -1,5 +1,6 @@
 """Shards: sizes, slots and cut groups; mixing: planted domains, targets and odd rows."""
 
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -101,6 +102,28 @@ def documents(spark):
             spark.createDataFrame(labels + [(None, 1, 1), (3, None, 0)], "doc_id long, quality int, toxic int"))
 
 
+def test_chosen_features_are_found_as_word_by_word():
+    letters, low = re.compile(r"[^\W\d_]+"), "abcdefghijklmnopqrstuvwxyz"
+
+    def of_word(word):
+        parts = letters.findall(word)
+        found = {*parts, *[p[:k] + "*" for p in parts for k in (4, 5, 6) if len(p) > k]}
+        return found if word[-1].isalnum() else found | {"*" + word[-3:].lstrip(low)}
+
+    texts = ["Abcd abcde abcdef, ABCDEFGH! x\u00b2y \u00b2 don't a_b _ 12ab34 ab* * $$* \u00c9t\u00e9s!!!", "", None, "a\x1cb.\x85c d\u0130bcdefg."]
+    rng = np.random.default_rng(3)
+    texts += ["".join(rng.choice(list("aabbccdE \u00e9\u00df.,%_*7 "), 300)) for _ in range(40)]
+    every = [set().union(*map(of_word, set((t or "").lower().split()))) for t in texts]
+    assert [mixing.features(t) for t in texts] == every
+    names = sorted(set().union(*every))[::3]
+    model = mixing.Classifier(["a", "b"], names, rng.normal(size=(len(names), 2)), np.zeros(2))
+    for text, found in zip(texts, every):
+        scores = model.weights[[i for i, name in enumerate(names) if name in found]].sum(axis=0)
+        words = (text or "").lower().split()
+        assert np.allclose(model.posteriors(words), np.exp(scores) / np.exp(scores).sum())
+    assert not any(len(held) > len(names) for held in vars(model).values() if isinstance(held, (dict, set)))  # it keeps no words
+
+
 def test_mixing_leaves_out_what_has_no_weight(spark):
     docs, labels = documents(spark)
     out = mixing.mix(docs, mixing.label_domains(labels), mixing.CLEAN_WEIGHTS, most=1.0).collect()
