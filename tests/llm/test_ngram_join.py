@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -107,3 +108,37 @@ def test_odd_rows(spark):
     out = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.ngram_components(frame).collect())
     assert out == [("1", 1, "1")] * 3 + [("None", 0, "None"), ("None", 1, "1"), ("None", 1, "None")]
     assert ngram_join.ngram_components(frame.limit(0)).count() == 0
+
+
+def test_a_bucket_of_single_signatures_takes_little_memory():
+    # 400,000 signatures of one set each, and 3 that two sets share: 75 bytes for each were held at once before, 18 now.
+    rng = np.random.default_rng(7)
+    sign = rng.integers(0, 2**62, 400_000).astype(np.uint64) * np.uint64(4)
+    node = rng.integers(-(2**62), 2**62, 400_000) * 2
+    sign, node = np.append(sign, sign[:3]), np.append(node, [2, 2, 2])
+    node[:3] = 4
+    tracemalloc.start()
+    out = ngram_join._scored_pairs(sign, node)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.values.tolist() == [[4, 2, False, 36]]
+    assert peak < 40 * len(sign)
+
+
+def test_blocks_are_handed_over_by_their_signatures(monkeypatch):
+    # One batch of many texts, as Arrow hands them over, was collected whole before.
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices("abcdefghijklmnop", k=60)).encode() for _ in range(300)]
+    hot = np.zeros(1 << 18, dtype=bool)
+
+    def signed(held):
+        monkeypatch.setattr(ngram_join, "_HELD", held)
+        blocks = [[(s, v) for s, v in zip(b["signs"].to_pylist(), b["nodes"].to_pylist())]
+                  for b in ngram_join._blocks(iter(texts), 5, ngram_join.Bands(3, 4), hot, 8)]
+        return [sum(len(s) for s, _ in b) // 8 for b in blocks], sorted(
+            pair for b in blocks for s, v in b for pair in zip(np.frombuffer(s, np.uint64).tolist(), np.frombuffer(v, np.int64).tolist())
+        )
+
+    (whole, all_at_once), (sizes, in_blocks) = signed(1 << 40), signed(500)
+    assert len(whole) == 1 and in_blocks == all_at_once
+    assert len(sizes) > 10 and max(sizes) < 700
