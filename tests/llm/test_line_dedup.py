@@ -187,3 +187,23 @@ def test_near_copies_with_repeated_and_null_keys(spark):
     out = corpus_pipeline.drop_near_copies(spark, frame, "")
     assert sorted((str(r.doc_id), r.text is None) for r in out.collect()) == [
         ("1", False), ("3", True), ("None", False), ("None", True)]
+
+
+def test_only_lines_that_may_match_are_read_again(spark, monkeypatch):
+    """Pairs are verified in rounds on the hashes at hand; before, the shingles of all lines of pairs were written."""
+    kept, write = {}, line_dedup.written
+
+    def written(df, purpose, paths=None):
+        out = write(df, purpose, paths)
+        kept.setdefault(purpose, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", written)
+    monkeypatch.setattr(line_dedup, "_ROUND", 1)
+    rows = []
+    for i in range(40):  # lines of two shingles that share one
+        rows += [(2 * i, f"a{i} b{i} c{i} d{i} e{i} x{i}"), (2 * i + 1, f"y{i} a{i} b{i} c{i} d{i} e{i}")]
+    long = [f"w{i}" for i in range(40)]
+    rows += [(100, " ".join(long)), (101, " ".join([*long[:-1], "z"])), (102, " ".join(long)), (None, " ".join(long[1:]))]
+    check(spark, rows)
+    assert sum(kept["line-pairs"]) > 3 and sum(kept["line-sets"]) <= 6
