@@ -142,3 +142,37 @@ def test_blocks_are_handed_over_by_their_signatures(monkeypatch):
     (whole, all_at_once), (sizes, in_blocks) = signed(1 << 40), signed(500)
     assert len(whole) == 1 and in_blocks == all_at_once
     assert len(sizes) > 10 and max(sizes) < 700
+
+
+def test_what_travels_to_a_bucket_is_told_apart(spark):
+    # 16 bytes a signature before.
+    sign = np.array([0, 3, (1 << 64) - 1, 0xABCDEF0123456789], dtype=np.uint64)
+    sent = ngram_join._sent(sign.tobytes())
+    assert len(sent) == 5 * len(sign)
+    assert ngram_join._received([sent[:5], sent[5:]]).tolist() == [int(s) % (1 << 40) for s in sign]
+    for text in (b"a", b"a b c d e f", b"z " * 50):
+        name = ngram_join._node(ngram_join._print(ngram_join.Shingles(5)(text)))
+        assert ngram_join._received([ngram_join._sent(np.array([name + 1]).tobytes())]).tolist() == [name + 1]
+
+
+def test_candidates_are_read_in_rounds(spark, monkeypatch):
+    """A round's sets are gone before the next is read; before, all sets lay on the disks at once."""
+    rounds, paths, write = [], [], ngram_join.written
+
+    def written(df, purpose, kept=None):
+        out = write(df, purpose, kept)
+        if purpose == "wanted":
+            for path in paths:
+                assert not spark._jvm.java.io.File(path).exists()
+            paths.extend(p.removeprefix("file:") for p in kept if "/wanted-" in p)
+            rounds.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", written)
+    monkeypatch.setattr(ngram_join, "_ROUND", 1)
+    rng, rows = random.Random(4), []
+    for i in range(24):
+        words = [f"w{i}x{k}" for k in range(60)]
+        rows += [(3 * i + k, " ".join(words[: 60 - k])) for k in range(1 + rng.randrange(3))]
+    check(spark, rows)
+    assert len(rounds) == 3 and min(rounds) > 0 and max(rounds) < sum(rounds)
