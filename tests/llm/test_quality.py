@@ -72,3 +72,26 @@ def test_query_keeps_what_is_good(spark, folder):
     rates = {r.quality: r.kept for r in out.join(labels, "doc_id").where("not base_failed").groupBy("quality").agg(
         F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
     assert rates[1] > 0.99
+
+
+def test_the_pipeline_writes_no_texts_to_judge_them(spark, monkeypatch):
+    import corpus_pipeline
+
+    columns, write = [], quality.written
+
+    def written(df, *names):
+        columns.extend(field.simpleString() for field in df.schema)
+        return write(df, *names)
+
+    monkeypatch.setattr(quality, "written", written)
+    good = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(6)]
+    rows = [(1, good[0]), (1, good[0]), (1, good[1]), (2, None), (2, ""), (None, good[2]), (None, "x"), (3, "x"), (4, good[3] + " ##" * 90)]
+    frame = spark.createDataFrame([(k, t, "en", None, 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(1, 1), (4, 0)], "doc_id long, quality int")
+    monkeypatch.setattr(corpus_pipeline, "_labels", lambda *_: labels)
+    out = corpus_pipeline.quality_rules(spark, frame, "").collect()
+    old = quality.judge_quality(frame, labels, carry=["text", "lang", "source", "n_chars"]).where("kept").select(frame.columns)
+    columns = columns[: columns.index("grow:boolean")]
+    assert not any(c.endswith(":string") for c in columns)
+    assert sorted(out, key=str) == sorted(old.collect(), key=str) and len(out) == 4
+    assert corpus_pipeline.quality_rules(spark, frame.limit(0), "").count() == 0
